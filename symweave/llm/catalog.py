@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import exact_dedup
+from symweave.llm import bpe_trie, exact_dedup
 from symweave.llm.shared import table
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_trie.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    return {f.__name__: f for f in (op4_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
