@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, simhash
+from symweave.llm import bpe_trie, exact_dedup, labelled, quality, simhash, toxicity
 from symweave.llm.shared import table
 
 
+def _judged(spark: SparkSession, sf_dir: str, of, label: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = of.fit(docs, table(spark, sf_dir, "labels"), label)
+    return of.rated(docs, model).select(
+        "doc_id",
+        (F.col("doc_id").isNull() | (labelled.remainder(F.col("doc_id"), of.FOLDS) == of.HELD)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, toxicity, "toxic")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, quality, "quality")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"))
 
@@ -35,7 +54,7 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op4_bpe, op6_quality, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -76,12 +76,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in texts laid end to end, and each word's text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of `letters`, by default [^\\x20\\x09-\\x0D]+) in texts laid end to end, and each word's text."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = letters[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = inside.copy()
