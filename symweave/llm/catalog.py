@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, labelled, quality, simhash, toxicity
+from symweave.llm import bpe_trie, exact_dedup, labelled, pii, quality, simhash, toxicity
 from symweave.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,7 +58,7 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_bpe, op6_quality, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op4_bpe, op6_quality, op7_pii, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -107,8 +107,8 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base^0..base^(n-1) and their inverses modulo 2^64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+        size = max(n, 1 << 16)
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return have[0][:n], have[1][:n]
