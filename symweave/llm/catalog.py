@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, labelled, pii, quality, simhash, toxicity
+from symweave.llm import bpe_trie, exact_dedup, flac, labelled, pii, quality, simhash, toxicity
 from symweave.llm.shared import table
 
 
@@ -30,6 +30,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, quality, "quality")
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_bpe, op6_quality, op7_pii, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_flac, op4_bpe, op6_quality, op7_pii, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
