@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, flac, labelled, pii, quality, simhash, toxicity
+from symweave.llm import bpe_trie, exact_dedup, flac, labelled, pii, quality, simhash, substring_dedup, toxicity
 from symweave.llm.shared import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.parsed(table(spark, sf_dir, "documents"), "digest")
+
+
 def _judged(spark: SparkSession, sf_dir: str, of, label: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = of.fit(docs, table(spark, sf_dir, "labels"), label)
@@ -62,7 +66,7 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_flac, op4_bpe, op6_quality, op7_pii, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op6_quality, op7_pii, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
