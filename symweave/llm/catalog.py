@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, flac, labelled, pii, quality, simhash, substring_dedup, toxicity
+from symweave.llm import bpe_trie, exact_dedup, flac, labelled, language, mixing, pii, quality, simhash, substring_dedup, toxicity
 from symweave.llm.shared import table
 
 
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, toxicity, "toxic")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, quality, "quality")
 
@@ -46,6 +50,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,7 +74,7 @@ FROM rows WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op6_quality, op7_pii, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
