@@ -115,7 +115,11 @@ def verdicts(index: DataFrame) -> DataFrame:
     counts = staged(hot.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "copy", "first")).alias("one")), "contents")
     kinds = counts.groupBy("anchor").agg((F.min("content") != F.max("content")).alias("mixed"))
     here = F.struct("doc_id", "copy", "first").eqNullSafe(F.col("one"))
-    hot = hot.join(counts, ["anchor", "content"]).join(F.broadcast(kinds), "anchor").withColumn("turn", F.when(here, 1).otherwise(2))
+    # The COMMON most frequent contents are settled where they are read; those left have few rows each.
+    heavy = staged(counts.orderBy(F.desc("n"), "anchor", "content").limit(COMMON), "heavy")
+    met = hot.join(F.broadcast(heavy), ["anchor", "content"])
+    left = hot.join(F.broadcast(heavy), ["anchor", "content"], "left_anti").join(counts, ["anchor", "content"])
+    hot = met.unionByName(left).join(F.broadcast(kinds), "anchor").withColumn("turn", F.when(here, 1).otherwise(2))
     keep = ["doc_id", "copy", "first", "size", "n", "turn", "mixed"]
     both = rare.select(keep).unionAll(hot.select(keep))
     full, open_ = F.col("n") > 1, F.col("mixed") & ((F.col("n") == 1) | (F.col("turn") == 1))
