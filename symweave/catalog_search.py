@@ -42,32 +42,32 @@ def _with(body: str, more: str = "") -> str:
     return f"WITH RECURSIVE {GRAPH_SQL}{',' + more if more else ''} {body}"
 
 
-@_add("search_full_text", _with("SELECT id, round(score, 6) AS score FROM fts", BM25.format(terms="'asia', 'united', 'supplier'")))
+@_add("search_full_text", _with("SELECT id, round(score, 6) AS score FROM fts", BM25.format(terms="'asia', 'america', 'supplier'")))
 def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _nodes(spark, sf_dir).select("id", "name", "qualified_name")
-    return textindex.ranked(textindex.build(rows), "Asia UNITED supplier").select("id", F.round("score", 6).alias("score"))
+    return textindex.ranked(textindex.build(rows), "Asia AMERICA supplier").select("id", F.round("score", 6).alias("score"))
 
 
 @_add("search_phrase")
 def phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _nodes(spark, sf_dir).select("id", "name", "qualified_name")
-    return textindex.ranked(textindex.build(rows), "united_sta").select("id", F.round("score", 6).alias("score"))
+    return textindex.ranked(textindex.build(rows), "nation_1").select("id", F.round("score", 6).alias("score"))
 
 
-@_add("search_by_part", _with("SELECT id, CASE WHEN lower(name) = 'china' THEN 1.0 WHEN starts_with(lower(name), 'china') THEN 0.9 WHEN contains(lower(name), 'china') THEN 0.8 ELSE 0.7 END AS score FROM nodes WHERE contains(lower(name), 'china') OR contains(lower(qualified_name), 'china')"))
+@_add("search_by_part", _with("SELECT id, CASE WHEN lower(name) = 'nation_1' THEN 1.0 WHEN starts_with(lower(name), 'nation_1') THEN 0.9 WHEN contains(lower(name), 'nation_1') THEN 0.8 ELSE 0.7 END AS score FROM nodes WHERE contains(lower(name), 'nation_1') OR contains(lower(qualified_name), 'nation_1')"))
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.by_part(_nodes(spark, sf_dir), "CHINA").select("id", "score")
+    return search.by_part(_nodes(spark, sf_dir), "Nation_1").select("id", "score")
 
 
 @_add(
     "search_by_spelling",
     _with(
         "SELECT id, 1.0 / (1 + d) AS score FROM (SELECT n.id, near.d, row_number() OVER (PARTITION BY n.name ORDER BY file_path, start_line, n.id) AS place FROM nodes n JOIN near USING (name)) WHERE place <= 5",
-        "near AS (SELECT name, levenshtein(lower(name), 'framce') AS d FROM (SELECT DISTINCT name FROM nodes) WHERE levenshtein(lower(name), 'framce') <= 2 ORDER BY d, name LIMIT 50)",
+        "near AS (SELECT name, levenshtein(lower(name), 'natiom_7') AS d FROM (SELECT DISTINCT name FROM nodes) WHERE levenshtein(lower(name), 'natiom_7') <= 2 ORDER BY d, name LIMIT 50)",
     ),
 )
 def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.by_spelling(_nodes(spark, sf_dir), "framce").select("id", "score")
+    return search.by_spelling(_nodes(spark, sf_dir), "natiom_7").select("id", "score")
 
 
 @_add("search_filters", _with("SELECT id, name FROM nodes WHERE kind IN ('function', 'class') AND contains(lower(file_path), 'asia') AND contains(lower(name), 'a') ORDER BY name, id LIMIT 20"))
@@ -79,31 +79,31 @@ def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add(
     "search_ranked",
     _with(
-        f"SELECT id, round(score + {KIND_SQL} + CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'france') THEN 10 ELSE 0 END + CASE WHEN lower(name) = 'france' THEN 80 WHEN starts_with(lower(name), 'france') THEN floor(10 + 30 * 6 / length(name) + 0.5) WHEN contains(lower(name), 'france') THEN 10 ELSE 0 END + CASE WHEN contains(lower(regexp_replace(file_path, '/[^/]*$', '')), 'france') THEN 5 WHEN contains(lower(file_path), 'france') THEN 3 ELSE 0 END, 6) AS score FROM fts JOIN nodes USING (id) ORDER BY 2 DESC, id LIMIT 15",
-        BM25.format(terms="'france'"),
+        f"SELECT id, round(score + {KIND_SQL} + CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), 'africa') THEN 10 ELSE 0 END + CASE WHEN lower(name) = 'africa' THEN 80 WHEN starts_with(lower(name), 'africa') THEN floor(10 + 30 * 6 / length(name) + 0.5) WHEN contains(lower(name), 'africa') THEN 10 ELSE 0 END + CASE WHEN contains(lower(regexp_replace(file_path, '/[^/]*$', '')), 'africa') THEN 5 WHEN contains(lower(file_path), 'africa') THEN 3 ELSE 0 END, 6) AS score FROM fts JOIN nodes USING (id) ORDER BY 2 DESC, id LIMIT 15",
+        BM25.format(terms="'africa'"),
     ),
 )
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
     index = textindex.build(nodes.select("id", "name", "qualified_name"))
-    return search.search(nodes, index, "France", 15).select("id", F.round("score", 6).alias("score"))
+    return search.search(nodes, index, "Africa", 15).select("id", F.round("score", 6).alias("score"))
 
 
 @_add(
     "search_exact_names",
     _with(
         "SELECT id, score FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY score DESC, id) AS place FROM found) WHERE place <= 25 ORDER BY score DESC, id LIMIT 50",
-        "named AS (SELECT * FROM nodes WHERE lower(name) IN ('asia', 'china')), few AS (SELECT lower(name) AS low FROM named GROUP BY 1 HAVING count(DISTINCT file_path) < 10), "
+        "named AS (SELECT * FROM nodes WHERE lower(name) IN ('asia', 'nation_12')), few AS (SELECT lower(name) AS low FROM named GROUP BY 1 HAVING count(DISTINCT file_path) < 10), "
         "found AS (SELECT id, name, 1.0 + CASE WHEN file_path IN (SELECT file_path FROM named WHERE lower(name) IN (SELECT low FROM few)) THEN 20 ELSE 0 END AS score FROM named)",
     ),
 )
 def exact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.by_exact_names(_nodes(spark, sf_dir), ["Asia", "CHINA"]).select("id", "score")
+    return search.by_exact_names(_nodes(spark, sf_dir), ["Asia", "Nation_12"]).select("id", "score")
 
 
-@_add("search_name_part", _with("SELECT id, name FROM nodes WHERE contains(lower(name), 'an') AND NOT starts_with(lower(name), 'an') ORDER BY length(name), name, id LIMIT 30"))
+@_add("search_name_part", _with("SELECT id, name FROM nodes WHERE contains(lower(name), 'ation_1') AND NOT starts_with(lower(name), 'ation_1') ORDER BY length(name), name, id LIMIT 30"))
 def name_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.by_name_part(_nodes(spark, sf_dir), "AN", 30, not_prefix=True).select("id", "name")
+    return search.by_name_part(_nodes(spark, sf_dir), "ATION_1", 30, not_prefix=True).select("id", "name")
 
 
 @_add("part_name_distances", "SELECT DISTINCT p_name, least(levenshtein(lower(p_name), 'blue ring'), 4) AS distance FROM part")
@@ -115,14 +115,14 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add(
     "symbol_points",
     _with(
-        f"SELECT id, {KIND_SQL} AS kind_points, CASE WHEN lower(name) = 'unitedkingdom' THEN 80 WHEN lower(name) IN ('united', 'kingdom') THEN 60 WHEN starts_with(lower(name), 'unitedkingdom') THEN floor(10 + 30 * 13 / length(name) + 0.5)::INTEGER WHEN contains(lower(name), 'united') AND contains(lower(name), 'kingdom') THEN 15 WHEN contains(lower(name), 'unitedkingdom') THEN 10 ELSE 0 END AS name_points, "
+        f"SELECT id, {KIND_SQL} AS kind_points, CASE WHEN lower(name) = 'asianation_2' THEN 80 WHEN lower(name) IN ('asia', 'nation_2') THEN 60 WHEN starts_with(lower(name), 'asianation_2') THEN floor(10 + 30 * 12 / length(name) + 0.5)::INTEGER WHEN contains(lower(name), 'asia') AND contains(lower(name), 'nation') THEN 15 WHEN contains(lower(name), 'asianation_2') THEN 10 ELSE 0 END AS name_points, "
         + "+".join(
             f"CASE WHEN contains(lower(regexp_extract(file_path, '[^/]*$')), '{t}') THEN 10 ELSE 0 END + CASE WHEN contains(lower(regexp_replace(file_path, '/?[^/]*$', '')), '{t}') THEN 5 WHEN contains(lower(file_path), '{t}') THEN 3 ELSE 0 END"
-            for t in ("united", "kingdom")
+            for t in ("nation_2", "asia", "nation")
         )
         + " AS path_points FROM nodes"
     ),
 )
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = "United Kingdom"
+    line = "Asia NATION_2"
     return _nodes(spark, sf_dir).select("id", kind_points(F.col("kind")).alias("kind_points"), name_points(F.col("name"), line).alias("name_points"), path_points(F.col("file_path"), line).alias("path_points"))
