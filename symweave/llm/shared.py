@@ -2,54 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from symweave.plans.staging import staged
+
+__all__ = ["SPACE", "mix", "powers", "slices", "span_hashes", "staged", "table", "text_bytes", "word_spans"]
+
 #: ASCII white space of every contract: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where no such setting exists (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: nothing is left to ask
-            return
-
-
-def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    if not _written:
-        atexit.register(_sweep)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
