@@ -135,9 +135,14 @@ def fused(seen: DataFrame, names: list[str]) -> DataFrame:
     n = len(names)
     if not n:
         return seen.select("doc_id", "page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), "declared")
-    own = F.array_position("likelihood", F.array_max("likelihood")).cast("int")
+
+    def winner(values: list[Column]) -> Column:
+        """The largest value and minus its place; the first of equals."""
+        return F.greatest(*[F.struct(v.alias("value"), F.lit(-k).alias("place")) for k, v in enumerate(values)]) if n > 1 else F.struct(values[0].alias("value"), F.lit(0).alias("place"))
+
+    own = winner([F.col("likelihood")[k] for k in range(n)])
     # A text without trigrams has equal likelihoods and votes for nothing.
-    seen = seen.withColumn("vote", F.when(F.array_max("likelihood") > F.array_min("likelihood"), own))
+    seen = seen.withColumn("vote", F.when(F.array_max("likelihood") > F.array_min("likelihood"), 1 - own["place"]))
     flag = seen.withColumn("flag", F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNull(), "-").otherwise("?"))
     votes = [F.sum(F.when(F.col("vote") == k + 1, 1.0).otherwise(0.0)) for k in range(n)]
 
@@ -169,11 +174,11 @@ def fused(seen: DataFrame, names: list[str]) -> DataFrame:
         .join(F.broadcast(flags), F.col("flag") == F.col("k_by_flag"))  # one row a language and two more
         .join(tails, F.col("suffix").eqNullSafe(F.col("k_by_tail")))
     )
-    total = F.array(*[F.col("likelihood")[k] + F.log(F.col("prior")[k]) + F.col("by_flag")[k] + F.col("by_tail")[k] for k in range(n)])
-    met = met.select("doc_id", "page_id", "declared", "vote", total.alias("total")).withColumn("best", F.array_max("total"))
+    totals = [F.col("likelihood")[k] + F.log(F.col("prior")[k]) + F.col("by_flag")[k] + F.col("by_tail")[k] for k in range(n)]
+    met = met.select("doc_id", "page_id", "declared", "vote", F.array(*totals).alias("total")).withColumn("best", winner([F.col("total")[k] for k in range(n)]))
     labels = F.array(*map(F.lit, names))
-    mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))
-    return met.select("doc_id", "page_id", labels[F.array_position("total", F.col("best")).cast("int") - 1].alias("lang"), F.round(1 / mass, 6).alias("score"), labels[F.col("vote") - 1].alias("text_lang"), "declared")
+    mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best.value")))
+    return met.select("doc_id", "page_id", F.get(labels, -F.col("best.place")).alias("lang"), F.round(1 / mass, 6).alias("score"), F.get(labels, F.col("vote") - 1).alias("text_lang"), "declared")
 
 
 def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
