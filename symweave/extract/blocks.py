@@ -33,8 +33,9 @@ class Table:
 #: Words before a parenthesis that declare nothing, and further ones that call nothing.
 _CONTROL = frozenset("if for while switch catch return function new typeof await else do try throw sizeof foreach elseif unless until when with using lock yield".split())
 _KEYWORDS = _CONTROL | frozenset(
-    "async if for while switch catch return function new typeof await else do try throw sizeof match loop fn func def when with in is as case super this self elseif elsif foreach echo print unless until and or not using lock yield import export default delete void var let const public private protected static class struct interface enum trait impl extends implements where select go defer chan map range make panic".split()
+    "async if for while switch catch return function new typeof await else do try throw sizeof loop fn func def when with in is as case super this self elseif elsif foreach unless until and or not using lock yield import export default void var let const public private protected static class struct interface enum trait impl extends implements where ".split()
 )
+_MORE_KEYWORDS = {"go": frozenset("go defer chan map range make panic select".split()), "php": frozenset("echo print".split()), "rust": frozenset(["match"]), "scala": frozenset(["match"])}
 _ARROW = rf"\b(?:const|let|var)\s+(?P<name>{NAME})\s*(?::[^=;\n]+)?=\s*(?:async\s+)?(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|{NAME})\s*(?::[^=;{{}}\n]+)?=>"
 _JS = Table(
     [
@@ -83,7 +84,7 @@ TABLES: dict[str, Table] = {
     ),
     "kotlin": Table(
         [("class", rf"\b(?:class|object)\s+(?P<name>{NAME})"), ("interface", rf"\binterface\s+(?P<name>{NAME})"), ("enum", rf"\benum\s+class\s+(?P<name>{NAME})"), ("function", rf"\bfun\s+(?:<[^(\n]*>\s*)?(?:(?P<receiver>\w+)(?:<[^(\n]*>)?\??\.)?(?P<name>{NAME})\s*\("), ("type_alias", rf"\btypealias\s+(?P<name>{NAME})"), ("property", rf"^\s*{_MODIFIED}(?:val|var)\s+(?P<name>{NAME})")],
-        [r"^\s*import\s+(?P<name>[\w.*]+)"], r"\)?\s*:\s*([\w.<>(), ]+?)(?=\s*\{|\n)", None, None, r"\b(public|private|protected|internal)\b", "public", rf"@(?P<name>{NAME})",
+        [r"^\s*import\s+(?P<name>[\w.*]+)"], r"\)?\s*:\s*([\w.<>(), ]+?)(?=\s*\{|\n|\s*$)", None, None, r"\b(public|private|protected|internal)\b", "public", rf"@(?P<name>{NAME})",
     ),
     "swift": Table(
         [("class", rf"\b(?:class|actor)\s+(?!func\b|var\b)(?P<name>{NAME})"), ("struct", rf"\bstruct\s+(?P<name>{NAME})"), ("interface", rf"\bprotocol\s+(?P<name>{NAME})"), ("enum", rf"\benum\s+(?P<name>{NAME})"), ("class", rf"\bextension\s+(?P<name>{NAME})"), ("function", rf"\bfunc\s+(?P<name>{NAME})"), ("type_alias", rf"\btypealias\s+(?P<name>{NAME})")],
@@ -272,6 +273,9 @@ def extract(found: Found, text: str) -> None:
                 found.node("import", name, line, line, [], root, signature=re.sub(r"\s+", " ", m[0].strip())[:200])
                 found.ref(root, name, "imports", line)
     declared = {at for at in spans}
+    keywords = _KEYWORDS | _MORE_KEYWORDS.get(found.language, frozenset())
+    heads = sorted((v[0], v[0] + len(v[5])) for v in spans.values() if v[2] in ("class", "struct", "interface", "trait", "enum"))
+    head_starts = [a for a, _ in heads]
     bodiless = [(a, b) for a, b, _, k in ids if k in ("interface", "trait", "enum", "type_alias")]
     for m in _CALL.finditer(code):
         at = m.start("name")
@@ -280,11 +284,16 @@ def extract(found: Found, text: str) -> None:
         if dot and head in ("this", "self", "super", "cls", "base"):
             name = rest
         last = re.split(r"\.|::", name)[-1]
-        if at in declared or any(at <= a < m.end("name") for a in (at + len(name) - len(last),) if a in declared) or last in _KEYWORDS or name in _KEYWORDS:
+        if at in declared or any(at <= a < m.end("name") for a in (at + len(name) - len(last),) if a in declared) or last in keywords or name in keywords:
             continue
+        k = bisect.bisect_right(head_starts, at) - 1
+        if k >= 0 and at < heads[k][1]:
+            continue  # the head of a type: bases, not calls
         if code[at - 1 : at] in ("@", "#") or code[at - 1 : at] == "[" and found.language in ("csharp", "rust", "php"):
             continue  # a decorator or attribute
         owner = within(at)
+        if found.language in ("c", "cpp", "java", "csharp", "dart") and owner == within(at, ("class", "struct")) != root:
+            continue  # a member's declaration
         if any(a < at < b for a, b in bodiless) and owner == within(at, ("interface", "trait", "enum", "type_alias")):
             continue  # the signature of a member
         if m["new"]:

@@ -115,6 +115,7 @@ def inside(path: Column, root: str) -> Column:
 
 def proximity(a: Column, b: Column) -> Column:
     """15 for each leading directory that two paths share, 80 at most."""
-    pairs = F.zip_with(F.split(dirname(a), "/"), F.split(dirname(b), "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    folders = lambda p: F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1)
+    pairs = F.zip_with(folders(a), folders(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
     shared = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct((s["n"] + F.when(s["on"] & same, 1).otherwise(0)).alias("n"), (s["on"] & same).alias("on")))
     return F.least(shared["n"] * 15, F.lit(80))

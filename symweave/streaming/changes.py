@@ -47,5 +47,7 @@ def debounced(events: DataFrame, quiet: str = QUIET, by: str | None = None) -> D
 
 def watch(events: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, quiet: str = QUIET, late: str = "10 seconds") -> StreamingQuery:
     """Runs `act` on the closed bursts of a stream of events (ts, path). Bursts close once the watermark has passed them."""
-    bursts = debounced(events.withWatermark("ts", late), quiet)
+    # A stream's sessions need a key; this one has a single value and is no constant to the optimizer.
+    keyed = events.withColumn("tree", F.when(F.col("ts").isNotNull(), 0)).withWatermark("ts", late)
+    bursts = debounced(keyed, quiet, "tree").drop("tree")
     return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(act).start()
