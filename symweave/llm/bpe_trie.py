@@ -6,8 +6,8 @@ seam with the token before it no merge would cross.  So distinct words are put i
 depth first: for each node (prefix) the last token is found once and shared by all words below it, and the path
 from the root is all that is kept.  An Aho-Corasick automaton over the vocabulary lists the suffix tokens of a node.
 
-Encodings of white-space-free chunks are memoised in each worker up to a bound; beyond it the memo starts anew,
-which changes no result.
+Encodings of white-space-free chunks are memoised in each worker up to a bound; frequent ones stay, which changes no
+result.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; the two special tokens are matched
 literally in the raw text, as the tokenizers library does by default; code points assigned after Unicode 15 may fall
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from symweave.llm.shared import slices
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-MEMO = 400_000
+MEMO = 600_000
 FOREVER = 1 << 40
 #: White space for str.split that is not white space for the tokenizer.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -75,6 +75,7 @@ class TrieBpe:
         self.ids: dict[str | int, str] = {}
         self.shown: dict[str | int, str] = {}
         self.word: dict[str, tuple[str, str]] = {}
+        self.old_ids, self.old_shown, self.old_word = dict(self.ids), dict(self.shown), dict(self.word)
 
     def seam(self, a: int, b: int, below: int = FOREVER) -> bool:
         """Whether no merge of a rank under `below` joins the end of token a to the start of token b, going back through both tokens' merges."""
@@ -126,37 +127,24 @@ class TrieBpe:
                 queue.append(state)
 
     def _next(self, state: int, symbol: int) -> int:
-        step = self.step
+        """The state after a symbol; ways over failure links are noted, so each is walked once."""
+        step, at = self.step, state
         while True:
-            to = step.get(state << 20 | symbol)
-            if to is not None:
-                return to
-            if not state:
-                return 0
-            state = self.fail[state]
+            to = step.get(at << 20 | symbol)
+            if to is None and at:
+                at = self.fail[at]
+                continue
+            to = to or 0
+            if at != state:
+                step[state << 20 | symbol] = to
+            return to
 
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Token ids of distinct non-empty words, by one depth-first walk of their trie."""
-        inner, final, length, ends, seams = self.inner, self.final, self.length, self.ends, self.seams
+        inner, final, length, ends, seams, step = self.inner, self.final, self.length, self.ends, self.seams, self.step
         states, last = [0], [-1]  # along the path from the root
-
-        def grow(symbol: int, depth: int) -> tuple[int, int]:
-            """The node below depth - 1 by this symbol: its automaton state and last token."""
-            state = self._next(states[depth - 1], symbol)
-            for t in ends[state]:
-                before = depth - length[t]
-                if not before:
-                    return state, t
-                key = last[before] << 20 | t
-                fits = seams.get(key)
-                if fits is None:
-                    if len(seams) > 2 * MEMO:
-                        seams.clear()
-                    fits = seams[key] = self.seam(last[before], t)
-                if fits:
-                    return state, t
-            raise ValueError("merges are not in order of creation")
-
+        if len(seams) > 2 * MEMO:
+            seams.clear()
         previous = b""
         for word in sorted(words):
             n, shared = len(word), 0
@@ -164,11 +152,27 @@ class TrieBpe:
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del states[shared + 1 :], last[shared + 1 :]
-            for depth in range(shared + 1, n):
-                state, token = grow(inner[word[depth - 1]], depth)
-                states.append(state)
-                last.append(token)
-            _, token = grow(final[word[-1]], n)
+            state = states[shared]
+            for depth in range(shared + 1, n + 1):
+                # The node below by the next symbol: its automaton state and last token.  The word's last symbol ends it.
+                symbol = inner[word[depth - 1]] if depth < n else final[word[-1]]
+                to = step.get(state << 20 | symbol)
+                state = self._next(state, symbol) if to is None else to
+                for token in ends[state]:
+                    before = depth - length[token]
+                    if not before:
+                        break
+                    key = last[before] << 20 | token
+                    fits = seams.get(key)
+                    if fits is None:
+                        fits = seams[key] = self.seam(last[before], token)
+                    if fits:
+                        break
+                else:
+                    raise ValueError("merges are not in order of creation")
+                if depth < n:
+                    states.append(state)
+                    last.append(token)
             found, depth = [token], n - length[token]
             while depth:
                 found.append(last[depth])
@@ -195,25 +199,51 @@ class TrieBpe:
         return self._plain(text)
 
     def learn(self, chunks: set[str | int]) -> None:
-        """Puts the encodings of all these chunks in the memo."""
-        if len(self.ids) + len(chunks) > MEMO:
-            self.ids.clear()
-            self.shown.clear()
-        if len(self.word) > MEMO:
-            self.word.clear()
-        new = [c for c in chunks if c not in self.ids]
-        cut = {c: [c] if c.isascii() and c.isalpha() else self.pieces_of(c) for c in new if isinstance(c, str)}
-        words = {w for pieces in cut.values() for w in pieces if w not in self.word}
-        letters = {w.encode(): w for w in words}
-        for code, ids in self.encode_words(list(letters)):
-            self.word[letters[code]] = " ".join(map(str, ids)), " ".join([self.name[i] for i in ids])
-        for c in new:
-            if isinstance(c, int):
-                self.ids[c], self.shown[c] = str(c), self.name[c]
+        """Puts the encodings of all these chunks in the memo.
+
+        The memo has two generations: when the younger is full it becomes the older one, from which chunks come back as they occur
+        again; so frequent chunks stay and rare ones go.
+        """
+        if len(self.ids) > MEMO // 2:
+            self.old_ids, self.old_shown, self.ids, self.shown = self.ids, self.shown, {}, {}
+        if len(self.word) > MEMO // 2:
+            self.old_word, self.word = self.word, {}
+        ids, shown, word = self.ids, self.shown, self.word
+        new: list[tuple[str, list[str]]] = []
+        words: set[str] = set()
+        for c in chunks.difference(ids):
+            known = self.old_ids.get(c)
+            if known is not None:
+                ids[c], shown[c] = known, self.old_shown[c]
+            elif isinstance(c, int):
+                ids[c], shown[c] = str(c), self.name[c]
+            else:
+                if c.isascii() and c.isalpha():
+                    pieces = [c]
+                elif c.isascii() and c[:-1].isalpha() and not c[-1].isalnum():
+                    pieces = [c[:-1], c[-1]]
+                else:
+                    pieces = self.pieces_of(c)
+                new.append((c, pieces))
+                words.update(pieces)
+        missing = []
+        for w in words.difference(word):
+            known = self.old_word.get(w)
+            if known is None:
+                missing.append(w)
+            else:
+                word[w] = known
+        letters = {w.encode(): w for w in missing}
+        name = self.name
+        for code, found in self.encode_words(list(letters)):
+            word[letters[code]] = " ".join(map(str, found)), " ".join([name[i] for i in found])
+        for c, pieces in new:
+            if len(pieces) == 1:
+                ids[c], shown[c] = word[pieces[0]]
             else:
-                both = [self.word[w] for w in cut[c]]
-                self.ids[c] = " ".join([x[0] for x in both])
-                self.shown[c] = " ".join([x[1] for x in both])
+                both = [word[w] for w in pieces]
+                ids[c] = " ".join([x[0] for x in both])
+                shown[c] = " ".join([x[1] for x in both])
 
     def encode(self, text: str | None) -> list[int]:
         chunks = self.chunks(text or "")
