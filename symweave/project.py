@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symweave.extract import frame
 from symweave.extract.imports import export_table, import_table
 from symweave.graph import Graph
-from symweave.operators import analytics, context, explore, imports, lookups, resolve, search, textindex, traversal
+from symweave.operators import analytics, context, conventions, explore, imports, lookups, resolve, search, textindex, traversal
 from symweave.plans.staging import staged
 from symweave.sources import store, tree
 from symweave.streaming import changes
@@ -17,8 +17,9 @@ from symweave.streaming import changes
 def build(sources: DataFrame, aliases=()) -> Graph:
     """The full graph of sources (path, content): extraction, imports, names."""
     graph = frame.indexed(sources)
+    named = conventions.by_convention(graph.refs, graph.nodes, conventions.detected(sources))
     found = imports.by_import(graph.refs, graph.nodes, import_table(sources), export_table(sources), graph.files, aliases)
-    edges = resolve.edges_of(resolve.resolved(graph.refs, graph.nodes, found), graph.refs, graph.nodes).withColumn("edge_id", F.monotonically_increasing_id())
+    edges = resolve.edges_of(resolve.resolved(graph.refs, graph.nodes, named, found), graph.refs, graph.nodes).withColumn("edge_id", F.monotonically_increasing_id())
     return Graph(graph.nodes, graph.edges.unionByName(edges, allowMissingColumns=True), graph.files, graph.refs)
 
 
@@ -73,8 +74,8 @@ class Project:
     def context(self, question: str, budget: context.Budget = context.Budget()) -> tuple[DataFrame, DataFrame]:
         return context.relevant(self.graph, self.text, question, budget)
 
-    def affected(self, paths: list[str], depth: int = 5) -> DataFrame:
-        return analytics.affected(self.graph, self.spark.createDataFrame([(p,) for p in paths], "path string"), depth)
+    def affected(self, paths: list[str], depth: int = 5, pattern: str | None = None) -> DataFrame:
+        return analytics.affected(self.graph, self.spark.createDataFrame([(p,) for p in paths], "path string"), depth, pattern)
 
     def status(self) -> DataFrame:
         return analytics.statistics(self.graph)

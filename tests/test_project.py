@@ -125,3 +125,29 @@ def test_text_index_matches_known_scores(spark):
     }.items():
         got = {r.id: r.score for r in textindex.ranked(index, query).collect()}
         assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_conventions(spark):
+    from symweave.operators import conventions
+    from symweave.schema import NODES, REFS, conform
+
+    nodes = spark.createDataFrame([("a", "UserService", "class", "x/other/UserService.java"), ("b", "UserService", "class", "x/services/UserService.java"), ("c", "useCart", "function", "src/hooks/useCart.ts"), ("d", "Cart", "class", "x/a/Cart.java")], "id string, name string, kind string, file_path string")
+    refs = spark.createDataFrame([(1, "UserService", "java"), (2, "useCart", "typescript"), (3, "Cart", "java"), (4, "Nothing", "java"), (5, "UserService", "python")], "ref_id long, reference_name string, language string")
+    got = {r.ref_id: (r.target, r.confidence) for r in conventions.by_convention(conform(refs, REFS), conform(nodes, NODES), ["spring", "react"]).collect()}
+    assert got == {1: ("b", 0.85), 2: ("c", 0.85), 3: ("d", 0.7)}
+    assert conventions.by_convention(refs, nodes, []).count() == 0
+    assert conventions.detected(spark.createDataFrame([("a.py", "from django.db import x"), ("b", None)], "path string, content string")) == ["django"]
+
+
+def test_views_and_commands(kept, capsys):
+    from symweave import render
+    from symweave.__main__ import main
+
+    assert render.files_view(kept.graph.files, "flat", "src/b") == "src/base.ts"
+    assert render.files_view(kept.graph.files, "grouped").startswith("typescript (8)")
+    assert render.files_view(kept.graph.files, "tree", depth=1) == "src/"
+    found = kept.context("How does DerivedThing print")
+    assert "DerivedThing" in render.context(*found) and '"nodes"' in render.context(*found, "json") and "class DerivedThing" in render.context(*found, "tree")
+    for verb, word in (("status", None), ("query", "formatValue"), ("node", "DerivedThing"), ("callers", "formatValue")):
+        assert main([verb, *([word] if word else []), "--root", kept.root, "--graph", kept.at]) == 0
+    assert "DerivedThing" in capsys.readouterr().out
