@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words (letters and digits, lower case) and word stems of four bytes, hashed.  The terms that tell the
+Terms are words (letters and digits, lower case) and word stems of four to six bytes, hashed.  The terms that tell the
 classes apart best keep a linear weight and a vector of factors; the inner product of two terms' vectors is the weight
 of their meeting in one document, so an insult next to a group mention can count for more than both alone.  Fitted by
 adaptive gradient steps on the logistic loss of at most ``SAMPLE`` labelled rows; scoring reads every whole text.
@@ -16,12 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.labelled import SAMPLE, remainder, sample, scored, training_rows
+from symweave.llm.labelled import remainder, sample, scored, training_rows
 from symweave.llm.quality import LOWER
 from symweave.llm.shared import mix, span_hashes, word_spans
 
-BITS, KNOWN, FACTORS, STEM = 20, 4096, 8, 4
+BITS, KNOWN, FACTORS, STEMS = 22, 4096, 8, (4, 5, 6)
 FOLDS, HELD = 4, 2
+#: Labelled rows that the model is fitted on at most.
+SAMPLE = 16384
 LETTERS = np.zeros(256, bool)
 LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
@@ -31,14 +33,17 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, ends, doc = word_spans(data, offsets, LETTERS)
     data = LOWER[data]
     words = span_hashes(data, starts, ends)
-    long = ends - starts > STEM
-    stems = mix(span_hashes(data, starts[long], starts[long] + STEM, 3))
-    return np.concatenate([doc, doc[long]]), (np.concatenate([words, stems]) >> np.uint64(64 - BITS)).astype(np.int64)
+    docs, keys = [doc], [words]
+    for n in STEMS:
+        long = ends - starts > n
+        docs.append(doc[long])
+        keys.append(mix(span_hashes(data, starts[long], starts[long] + n, n)))
+    return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def informative(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Buckets by falling chi-square of presence against the label, KNOWN at most; each in two rows or more."""
-    seen, hits = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    seen, hits = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for c, f in zip(y, rows):
         seen[f] += 1
         hits[f] += c
@@ -50,10 +55,10 @@ def informative(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return best[chi[best] > 6.6]  # a chance of one in a hundred
 
 
-def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 12, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors."""
+def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 16, rate: float = 0.5, slow: float = 0.05, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors.  Weights move at `rate`, bias and factors at `slow`: pairs explain what single terms leave open."""
     rng = np.random.default_rng(11)
-    w, v = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
+    w, v = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
     bias = float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)))
     gw, gv, gb = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6), 1e-6
     for _ in range(rounds):
@@ -64,19 +69,19 @@ def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 12, ra
             z = bias + w[f].sum() + 0.5 * (total @ total - (own * own).sum())
             slope = 1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) - y[i]
             gb += slope * slope
-            bias -= rate * slope / np.sqrt(gb)
+            bias -= slow * slope / np.sqrt(gb)
             if len(f):
                 step = slope + decay * w[f]
                 gw[f] += step * step
                 w[f] -= rate * step / np.sqrt(gw[f])
                 step = slope * (total - own) + decay * own
                 gv[f] += step * step
-                v[f] -= rate * step / np.sqrt(gv[f])
+                v[f] -= slow * step / np.sqrt(gv[f])
     return bias, w, v
 
 
 class Model:
-    """Scores texts; a table of 2^20 small numbers and KNOWN weights."""
+    """Scores texts; a table of 2^22 small numbers and KNOWN weights."""
 
     def __init__(self, y: np.ndarray, rows: list[np.ndarray]):
         self.flat = float(y.mean()) if len(y) else 0.0

@@ -208,3 +208,21 @@ def test_pii_terms_that_disclose(spark):
     assert "zanzibar" in found and "hello" not in found and "now" not in found
     clean = {r.doc_id: r.sanitised for r in pii.sanitised(docs, pii.spans(docs)).collect()}
     assert "zanzibar" not in clean[0] and "@" not in clean[0] and clean[100] == text[100]
+
+
+def test_factors_learn_pairs_that_no_sum_of_weights_can():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows, y = [], []
+    for _ in range(2000):  # a pair of terms counts when both or neither of them stands there
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array([k for k, has in ((0, a), (1, b)) if has] + list(rng.choice(np.arange(2, 12), 3, replace=False))))
+        y.append(float(a == b))
+    bias, w, v = toxicity.train(np.array(y), rows, 12, rounds=60)
+
+    def says(f):
+        total = v[f].sum(0)
+        return bias + w[f].sum() + 0.5 * (total @ total - (v[f] ** 2).sum()) > 0
+
+    assert np.mean([says(f) == (t > 0.5) for f, t in zip(rows, y)]) > 0.95
