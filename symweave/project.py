@@ -14,15 +14,29 @@ from symweave.sources import store, tree
 from symweave.streaming import changes
 
 
-def build(sources: DataFrame, aliases=()) -> Graph:
-    """The full graph of sources (path, content): extraction, imports, names."""
-    graph = frame.indexed(sources)
+def linked(graph: Graph, sources: DataFrame, aliases=()) -> Graph:
+    """graph (as extracted) with an edge for each reference that resolves: by framework convention, by import, by name."""
     named = conventions.by_convention(graph.refs, graph.nodes, conventions.detected(sources))
     found = imports.by_import(graph.refs, graph.nodes, import_table(sources), export_table(sources), graph.files, aliases)
     edges = resolve.edges_of(resolve.resolved(graph.refs, graph.nodes, named, found), graph.refs, graph.nodes).withColumn("edge_id", F.monotonically_increasing_id())
     return Graph(graph.nodes, graph.edges.unionByName(edges, allowMissingColumns=True), graph.files, graph.refs)
 
 
+def build(sources: DataFrame, aliases=()) -> Graph:
+    """The full graph of sources (path, content)."""
+    return linked(frame.indexed(sources), sources, aliases)
+
+
+def rebuilt(graph: Graph, sources: DataFrame, found: DataFrame, aliases=()) -> Graph:
+    """graph brought up to sources: only changed files (found: path, change) are extracted; all references are resolved again, since a change may give any of
+    them another target.  The result equals a full build."""
+    fresh = frame.indexed(sources.join(found.filter("change <> 'removed'").select("path"), "path", "left_semi"))
+    own = graph.edges.filter("provenance is null or provenance <> 'resolution'")
+    kept = lookups.without_files(Graph(graph.nodes, own, graph.files, graph.refs), found.select("path"))
+    refs = staged(kept.refs.unionByName(fresh.refs).withColumn("ref_id", F.monotonically_increasing_id()), "refs")
+    return linked(Graph(kept.nodes.unionByName(fresh.nodes), kept.edges.unionByName(fresh.edges), kept.files.unionByName(fresh.files), refs), sources, aliases)
+
+
 class Project:
     """A graph kept at `at` for the tree at `root`."""
 
@@ -42,7 +56,8 @@ class Project:
         now = sources.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
         found = staged(changes.changed(self.graph.files, now), "changes")
         if not found.isEmpty():
-            self.index()
+            store.save(rebuilt(self.graph, sources, found), self.at)
+            self._graph = self._index = None
         return found
 
     @property
