@@ -95,13 +95,13 @@ def _rows(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, source, n_tokens, weight of the source, copies."""
+    """One row per row of docs: doc_id, source, n_tokens, weight of the source, copies, and place, the key that orders each pass over the source."""
     rows = staged(_rows(docs, text, doc_id, source), "sources")
     mix = weights(rows, entropy, repeats, budget)
     mix = staged(mix, "weights")
     drawn = plan(rows, mix)
     named = mix.select(F.col("source").alias("s"), "weight")
-    return drawn.join(named, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "source", F.col("n").alias("n_tokens"), F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), "copies")
+    return drawn.join(named, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "source", F.col("n").alias("n_tokens"), F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), "copies", "place")
 
 
 def drawn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None) -> DataFrame:

@@ -175,3 +175,42 @@ def test_language_of_documents_and_pages(spark):
     assert len(docs) == len(truth) and sum(r.lang == truth[r.doc_id] for r in docs) / len(docs) > 0.98
     pages = [r for r in rows if r.page_id is not None]
     assert sum(r.lang == r.declared for r in pages) / len(pages) > 0.98
+
+
+def test_mixing_against_a_plain_version(spark):
+    """Weights by a fine scan of exponents; passes over each source in the order of place."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from symweave.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice(["a"] * 12 + ["b"] * 3 + ["c", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("p")).collect()}
+    tokens = {i: len(t.split()) for i, t, _ in rows}
+    of = {}
+    for i, _, s in rows:
+        of.setdefault(s, []).append(i)
+    share = {s: sum(tokens[i] for i in ids) / sum(tokens.values()) for s, ids in of.items()}
+
+    def weights(a):
+        power = {s: p**a for s, p in share.items()}
+        return {s: p / sum(power.values()) for s, p in power.items()}
+
+    entropy = lambda w: -sum(p * math.log(p) for p in w.values())
+    best = max(a / 20000 for a in range(20001) if entropy(weights(a / 20000)) >= 0.9 * math.log(len(share)))
+    want = weights(best)
+    got = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    for s, ids in of.items():
+        assert abs(got[ids[0]].weight - want[s]) < 1e-3 and got[ids[0]].source == s
+        quota = got[ids[0]].weight * sum(tokens.values())
+        total = sum(tokens[i] for i in ids)
+        passes, left = int(quota // total), quota % total
+        took, open_ = 0, True
+        for i in sorted(ids, key=lambda i: (place[i] % mixing.BUCKETS, place[i], i)):
+            took += tokens[i]
+            extra = int(took <= left)
+            if abs(took - left) > 1:
+                assert got[i].copies == passes + extra
