@@ -17,7 +17,7 @@ from symweave.functions.paths import dirname, is_test_file
 from symweave.functions.words import path_points, search_terms, stems
 from symweave.graph import Graph
 from symweave.operators.lookups import between
-from symweave.operators.search import by_exact_names, search
+from symweave.operators.search import by_exact_names, search_each
 from symweave.operators.textindex import TextIndex
 from symweave.operators.traversal import bfs, hierarchy
 from symweave.plans.staging import staged
@@ -86,27 +86,23 @@ def _brief(found: DataFrame) -> DataFrame:
 
 
 def definitions(nodes: DataFrame, index: TextIndex, symbols: list[str], n: int) -> DataFrame | None:
-    """Definitions whose names start like a symbol or one of its stems; short names first."""
-    out = None
-    for word in dict.fromkeys([*symbols, *(s for w in symbols for s in stems(w))]):
-        title = word[:1].upper() + word[1:].lower()
-        if title == word:
-            continue
-        hits = search(nodes, index, title, 30, DEFINITIONS).filter(F.lower("name").startswith(title.lower()))
-        brevity = F.greatest(F.lit(0.0), 10 - (F.length("name") - len(title)) / 3)
-        hits = _brief(_top(hits.withColumn("score", F.col("score") + 15 + brevity), n))
-        out = hits if out is None else out.unionAll(hits)
-    return out
+    """Definitions whose names start like a symbol or one of its stems; short names first, n for each."""
+    words = dict.fromkeys([*symbols, *(s for w in symbols for s in stems(w))])
+    titles = [t for w in words if (t := w[:1].upper() + w[1:].lower()) != w]
+    if not titles:
+        return None
+    hits = search_each(nodes, index, titles, 30, DEFINITIONS).filter(F.lower("name").startswith(F.lower("asked")))
+    brevity = F.greatest(F.lit(0.0), 10 - (F.length("name") - F.length("asked")) / 3)
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))
+    return _brief(hits.withColumn("score", F.col("score") + 15 + brevity).withColumn("place", place).filter(F.col("place") <= n))
 
 
 def by_terms(nodes: DataFrame, index: TextIndex, question: str, n: int) -> DataFrame | None:
     """Each term searched by itself; five more for every further term that finds a symbol."""
-    out = None
-    for term in search_terms(question):
-        hits = _brief(search(nodes, index, term, 2 * n, SEARCHABLE))
-        out = hits if out is None else out.unionAll(hits)
-    if out is None:
+    terms = search_terms(question)
+    if not terms:
         return None
+    out = search_each(nodes, index, terms, 2 * n, SEARCHABLE)
     return _top(out.groupBy("id", "name", "kind", "file_path").agg((F.max("score") + (F.count("*") - 1) * 5).alias("score")), 2 * n)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions.words import Query, edit_distance, kind_points, name_points, parse_query, path_points
-from symweave.operators.textindex import TextIndex, ranked
+from symweave.operators.textindex import TextIndex, ranked, ranked_each
 from symweave.plans.staging import staged
 
 
@@ -82,6 +82,40 @@ def search(nodes: DataFrame, index: TextIndex, line: str, limit: int = 10, kinds
     return rescored(found, query.text).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def search_each(nodes: DataFrame, index: TextIndex, words: list[str], limit: int, kinds: Iterable[str] = ()) -> DataFrame:
+    """search() for many single words at once: their rows with a column `asked`.  A word goes on to the next channel where the one before found nothing."""
+    words = list(dict.fromkeys(w for w in words if w))
+    own = nodes.filter(F.col("kind").isin(list(kinds))) if (kinds := list(kinds)) else nodes
+    asked = nodes.sparkSession.createDataFrame([(w,) for w in words], "asked string")
+    hits = ranked_each(index, words)
+    found = staged(own.join(hits, "id").select(*own.columns, "score", "asked"), "found")
+
+    def open_words(done: DataFrame) -> list[str]:
+        return [r[0] for r in asked.join(done.select("asked").distinct(), "asked", "left_anti").collect()]  # words of one question
+
+    left = open_words(found)
+    for channel, least in ((by_part, 2), (by_spelling, 3)):
+        more = None
+        for w in left:
+            if len(w) >= least:
+                part = (channel(own, w) if channel is by_part else channel(own, w, max(2 * limit, 50))).withColumn("asked", F.lit(w))
+                more = part if more is None else more.unionByName(part)
+        if more is not None:
+            more = staged(more, "found")
+            found = found.unionByName(more)
+            left = [w for w in open_words(found) if w in left]
+    best = found.groupBy("asked").agg(F.max("score").alias("score")).filter(F.length("asked") > 1)
+    place = F.row_number().over(Window.partitionBy("asked").orderBy("id"))
+    same = own.join(best, F.lower("name") == F.lower("asked")).withColumn("place", place).filter("place <= 20").drop("place")
+    found = found.unionByName(same.join(found.select("id", "asked"), ["id", "asked"], "left_anti").select(found.columns))
+    points = F.lit(0)
+    for w in words:
+        points = F.when(F.col("asked") == w, path_points(F.col("file_path"), w) + name_points(F.col("name"), w)).otherwise(points)
+    scored = found.withColumn("score", F.col("score") + kind_points(F.col("kind")) + points)
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+
+
 def by_exact_names(nodes: DataFrame, names: list[str], limit: int = 50) -> DataFrame:
     """Symbols of the given names; those in a file of a distinctive name (one that stands in under ten files) score 20 more; each name
     gets its share of the limit, eight at least."""

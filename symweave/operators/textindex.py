@@ -51,23 +51,49 @@ def terms_of(text: str) -> list[list[str]]:
     return [p for p in (re.findall(r"[^\W_]+", w.lower()) for w in cleaned.split() if w not in OPERATORS) if p]
 
 
-def ranked(index: TextIndex, text: str) -> DataFrame:
-    """(id, score): rows that hold any phrase of the query, by BM25."""
-    spark = index.postings.sparkSession
-    total, mean = index.lengths.agg(F.count("*"), F.avg("d")).first()
+def _hits(index: TextIndex, phrases: list[tuple[int, list[str]]]) -> DataFrame | None:
+    """(phrase, id, f): weighted hits of numbered phrases."""
     hits = None
     weight = F.create_map(*[F.lit(x) for pair in index.weights.items() for x in pair])
-    for k, phrase in enumerate(terms_of(text)):
+    for k, phrase in phrases:
         found = index.postings.filter(F.col("term").startswith(phrase[-1])).select("id", "col", "pos")
         for back, word in enumerate(reversed(phrase[:-1]), 1):
             before = index.postings.filter(F.col("term") == word).select("id", "col", (F.col("pos") + back).alias("pos"))
             found = found.join(before, ["id", "col", "pos"], "left_semi")
         found = found.groupBy("id").agg(F.sum(weight[F.col("col")]).alias("f")).select("id", F.lit(k).alias("phrase"), "f")
         hits = found if hits is None else hits.unionAll(found)
+    return hits
+
+
+def _scored(index: TextIndex, phrases: list[tuple[int, list[str]]]) -> DataFrame | None:
+    """(phrase, id, part): each phrase's share of a row's score."""
+    total, mean = index.lengths.agg(F.count("*"), F.avg("d")).first()
+    hits = _hits(index, phrases)
     if hits is None or not total:
-        return spark.createDataFrame([], "id string, score double")
+        return None
     hits = staged(hits, "hits")
     rarity = hits.groupBy("phrase").agg(F.count("*").alias("n")).select("phrase", F.greatest(F.log((F.lit(total) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR)).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / mean))
     # rarity has one row a phrase of the query.
-    return hits.join(F.broadcast(rarity), "phrase").join(index.lengths, "id").groupBy("id").agg(F.sum(part).alias("score"))
+    return hits.join(F.broadcast(rarity), "phrase").join(index.lengths, "id").select("phrase", "id", part.alias("part"))
+
+
+def ranked(index: TextIndex, text: str) -> DataFrame:
+    """(id, score): rows that hold any phrase of the query, by BM25."""
+    parts = _scored(index, list(enumerate(terms_of(text))))
+    if parts is None:
+        return index.postings.sparkSession.createDataFrame([], "id string, score double")
+    return parts.groupBy("id").agg(F.sum("part").alias("score"))
+
+
+def ranked_each(index: TextIndex, words: list[str]) -> DataFrame:
+    """(asked, id, score): ranked() for each of many queries, in one pass."""
+    phrases, of = [], []
+    for w in words:
+        for phrase in terms_of(w):
+            phrases.append((len(phrases), phrase))
+            of.append(w)
+    parts = _scored(index, phrases)
+    if parts is None:
+        return index.postings.sparkSession.createDataFrame([], "asked string, id string, score double")
+    return parts.groupBy(F.get(F.array(*map(F.lit, of)), F.col("phrase")).alias("asked"), "id").agg(F.sum("part").alias("score"))
