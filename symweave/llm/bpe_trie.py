@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from symweave.llm.shared import slices
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-MEMO = 600_000
+MEMO = 300_000
 FOREVER = 1 << 40
 #: White space for str.split that is not white space for the tokenizer.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -272,7 +272,7 @@ def digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text",
         bpe = encoder(path)
         sha = hashlib.sha256
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 cut = [bpe.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
                 bpe.learn(set().union(*cut))
                 ids, shown = bpe.ids.__getitem__, bpe.shown.__getitem__
@@ -294,7 +294,7 @@ def encoded(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 cut = [bpe.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
                 bpe.learn(set().union(*cut))
                 ids = [[int(i) for c in chunks for i in bpe.ids[c].split()] for chunks in cut]
