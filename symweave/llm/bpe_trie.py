@@ -245,6 +245,11 @@ class TrieBpe:
                 ids[c] = " ".join([x[0] for x in both])
                 shown[c] = " ".join([x[1] for x in both])
 
+    def forget(self) -> None:
+        """Empties the memo: workers live on after a task, and other stages need the memory."""
+        for memo in (self.ids, self.shown, self.word, self.old_ids, self.old_shown, self.old_word, self.seams):
+            memo.clear()
+
     def encode(self, text: str | None) -> list[int]:
         chunks = self.chunks(text or "")
         self.learn(set(chunks))
@@ -283,6 +288,7 @@ def digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text",
                     codes.append(sha(code.encode()).hexdigest())
                     texts.append(sha(" ".join(map(shown, chunks)).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder(path).forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -299,6 +305,7 @@ def encoded(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text",
                 bpe.learn(set().union(*cut))
                 ids = [[int(i) for c in chunks for i in bpe.ids[c].split()] for chunks in cut]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        encoder(path).forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
