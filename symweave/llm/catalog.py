@@ -55,7 +55,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.classes(table(spark, sf_dir, "documents"))
+    found = simhash.classes(table(spark, sf_dir, "documents"), bits=simhash.LIMIT)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

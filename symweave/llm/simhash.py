@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symweave.llm import near_copies
 from symweave.llm.components import components
 from symweave.llm.shared import mix, slices, staged
 
@@ -148,8 +149,15 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_linked, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links)."""
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links).
+
+    Links are near copies by whole shingle sets (near_copies), or with bits=LIMIT fingerprints (op9's contract) at that many bits or fewer.
+    """
+    if bits is None:
+        return near_copies.classes(docs, text, doc_id)
+    if bits != LIMIT:
+        raise ValueError(f"the keys are made for {LIMIT} bits")
     rows = staged(fingerprints(docs, text, doc_id), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes))
