@@ -5,10 +5,10 @@ a base value.  Terms within WINDOW words of an entity are counted with it in doc
 are all terms and all documents.  A term discloses an entity where its pointwise mutual information with the entity
 reaches SHARE of the entity's own information, -log2 p(entity): it then tells nearly as much as the entity itself.  Such
 terms become further spans: ``remove`` where the share is one (the term occurs nowhere without the entity), else
-``generalise``.  A pair counts once for each different text, and a single text is no evidence.
+``generalise``.  An entity of a single document counts like any other.
 
 Defined cases: a null text is the empty text; offsets are code points, end exclusive; texts without entities have no
-spans; copies of one text count once as evidence; an empty table gives an empty result; other columns may have any name.
+spans; copies of one text are documents like any other; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from symweave.llm.shared import slices, span_hashes, staged, text_bytes, word_spans
 
-WINDOW, SHARE, SUPPORT = 6, 0.8, 2
+WINDOW, SHARE = 6, 0.8
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds and their parts.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -148,7 +148,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     inner = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     for whole in batches:
         for batch in slices(whole, "text"):
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             near: list[list] = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -158,12 +158,12 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 around = contexts(text, spans) if spans else []
                 hashes = term_hash([t for _, t, _, _ in around]).view(np.int64).tolist() if around else []
                 near.append([{"entity": e, "term": h, "start": x, "stop": y} for (e, _, x, y), h in zip(around, hashes)])
-                row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(shown.encode()).hexdigest(), shown, _hashed(text.encode()) if spans else 0]
+                row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(shown.encode()).hexdigest(), shown]
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(out[6], pa.int64()), pa.array(near, pa.list_(inner))],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "copy", "near"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(near, pa.list_(inner))],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
             )
 
 
@@ -186,12 +186,9 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs[text].alias("text")).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
     """(entity, term, exact): pairs whose mutual information reaches `share` of the entity's information."""
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("copy").alias("texts"), F.countDistinct("row").alias("c")).filter(F.col("texts") >= support)
-    pairs = staged(pairs, "pairs")
-    if not pairs.take(1):
-        return pairs.select("entity", "term", F.lit(True).alias("exact"))
+    pairs = staged(near.groupBy("entity", "term").agg(F.countDistinct("row").alias("c")), "pairs")
     total = docs.count()
     of = near.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.countDistinct("row").alias("n"))
     terms = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
@@ -205,11 +202,11 @@ def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE, support:
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, counts by kind, base_sha256 and all spans."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    shape = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, copy bigint, near array<struct<entity:bigint,term:bigint,start:int,stop:int>>"
+    shape = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, near array<struct<entity:bigint,term:bigint,start:int,stop:int>>"
     found = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(_found, shape)
     rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "spans")
-    near = rows.select("row", "copy", F.explode("near").alias("x")).select("row", "copy", "x.*")
-    told = staged(disclosing(near, docs, SHARE, SUPPORT), "disclosing")
+    near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    told = staged(disclosing(near, docs), "disclosing")
     extra = (
         near.join(told, ["entity", "term"])
         .groupBy("row", "start", "stop")
