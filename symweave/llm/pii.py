@@ -1,11 +1,12 @@
 """Personal data with information-theoretic sanitisation.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers by fixed patterns.  A protected entity is
-a base value.  Terms within WINDOW words of an entity are counted with it in documents over the whole corpus, as
-are all terms and all documents.  A term discloses an entity where its pointwise mutual information with the entity
-reaches SHARE of the entity's own information, -log2 p(entity): it then tells nearly as much as the entity itself.  Such
-terms become further spans: ``remove`` where the share is one (the term occurs nowhere without the entity), else
-``generalise``.  An entity of a single document counts like any other.
+a base value.  Every word outside the base spans of a document that holds an entity is counted with it, in whole
+documents over the whole corpus, as are all terms and all documents.  A term discloses an entity where its pointwise
+mutual information with the entity reaches SHARE of the entity's own information, -log2 p(entity): it then tells nearly
+as much as the entity itself.  Every occurrence of such a term in a document that holds the entity becomes a further
+span: ``remove`` where the share is one (the term occurs nowhere without the entity), else ``generalise``.  An entity
+of a single document counts like any other.
 
 Defined cases: a null text is the empty text; offsets are code points, end exclusive; texts without entities have no
 spans; copies of one text are documents like any other; an empty table gives an empty result; other columns may have any name.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from symweave.llm.shared import slices, span_hashes, staged, text_bytes, word_spans
 
-WINDOW, SHARE = 6, 0.8
+SHARE = 0.8
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base kinds and their parts.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -111,29 +112,17 @@ def entity(kind: str, value: str) -> int:
     return _hashed(f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}".encode())
 
 
-def contexts(text: str, spans: list[Span]) -> list[tuple[int, bytes, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each span that are in no base span."""
-    found = {}
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        value = entity(kind, text[a:b])
-        # Words are sought in a stretch that is doubled until it holds the window.
-        reach = 16 * WINDOW
-        while True:
-            low, high = max(0, a - reach), min(len(text), b + reach)
-            near = [m.span() for m in WORD.finditer(text, low, high)]
-            if low and near and near[0][0] == low:
-                near.pop(0)
-            if high < len(text) and near and near[-1][1] == high:
-                near.pop()
-            before, after = [w for w in near if w[1] <= a][-WINDOW:], [w for w in near if w[0] >= b][:WINDOW]
-            if (len(before) == WINDOW or not low) and (len(after) == WINDOW or high == len(text)):
-                break
-            reach *= 2
-        for x, y in before + after:
-            if not any(p < y and x < q for p, q in taken):
-                found[value, x] = y
-    return [(value, text[x:y].encode().translate(LOWER), x, y) for (value, x), y in found.items()]
+def terms(text: str, spans: list[Span]) -> list[tuple[bytes, int, int]]:
+    """(term, start, end) of the words that are in no base span."""
+    found, taken, k, end = [], sorted((a, b) for _, a, b in spans), 0, 0
+    for m in WORD.finditer(text):
+        x, y = m.span()
+        while k < len(taken) and taken[k][0] < y:
+            end = max(end, taken[k][1])
+            k += 1
+        if end <= x:
+            found.append((m[0].encode().translate(LOWER), x, y))
+    return found
 
 
 def term_hash(terms: list[bytes]) -> np.ndarray:
@@ -144,26 +133,28 @@ def term_hash(terms: list[bytes]) -> np.ndarray:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base results and contexts of each document."""
-    inner = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    """Base results of each document, its entities and the words that stand beside them."""
+    inner = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     for whole in batches:
         for batch in slices(whole, "text"):
             out: list[list] = [[], [], [], [], [], []]
             near: list[list] = []
+            held: list[list] = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 kinds = [k for k, _, _ in spans]
                 shown = joined(spans)
-                around = contexts(text, spans) if spans else []
-                hashes = term_hash([t for _, t, _, _ in around]).view(np.int64).tolist() if around else []
-                near.append([{"entity": e, "term": h, "start": x, "stop": y} for (e, _, x, y), h in zip(around, hashes)])
+                around = terms(text, spans) if spans else []
+                hashes = term_hash([t for t, _, _ in around]).view(np.int64).tolist() if around else []
+                near.append([{"term": h, "start": x, "stop": y} for (_, x, y), h in zip(around, hashes)])
+                held.append(list({entity(k, text[a:b]) for k, a, b in spans}))
                 row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(shown.encode()).hexdigest(), shown]
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(near, pa.list_(inner))],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(held, pa.list_(pa.int64())), pa.array(near, pa.list_(inner))],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near"],
             )
 
 
@@ -186,31 +177,36 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(docs[text].alias("text")).mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """(entity, term, exact): pairs whose mutual information reaches `share` of the entity's information."""
-    pairs = staged(near.groupBy("entity", "term").agg(F.countDistinct("row").alias("c")), "pairs")
-    total = docs.count()
-    of = near.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.countDistinct("row").alias("n"))
-    terms = term_counts(docs).join(pairs.select("term").distinct(), "term", "left_semi")
-    n = F.lit(float(total))
-    told = F.log2(F.col("c") * n / (F.col("df") * F.col("n")))
-    own = F.log2(n / F.col("n"))
-    both = pairs.join(of, "entity").join(terms, "term")
-    return both.filter((own > 0) & (told >= share * own)).select("entity", "term", (F.col("c") >= F.col("df")).alias("exact"))
+def disclosing(held: DataFrame, beside: DataFrame, docs: DataFrame, text: str = "text", share: float = SHARE) -> DataFrame:
+    """(row, term, exact): the terms of each row that disclose one of its entities.
+
+    held: distinct (row, entity); beside: distinct (row, term).  Mutual information reaches `share` of the entity's information
+    where c * total / (df * n) >= (total / n) ** share, and c is n at most: a term with df over total ** (1 - share) * n ** share
+    can disclose none, so the others alone are paired with entities.
+    """
+    total = F.lit(float(docs.count()))
+    of = held.join(held.groupBy("entity").agg(F.count("*").alias("n")), "entity").filter(F.col("n") < total)
+    most = F.pow(total, F.lit(1 - share)) * F.pow(F.col("n"), F.lit(share)) * (1 + 1e-9)
+    widest = of.agg(F.max(most).alias("widest"))
+    rare = term_counts(docs, text).join(F.broadcast(widest), F.col("df") <= F.col("widest")).select("term", "df")
+    pairs = staged(beside.join(rare, "term").join(of, "row").filter(F.col("df") <= most).select("row", "entity", "term", "df", "n"), "pairs")
+    told = F.log2(F.col("c") * total / (F.col("df") * F.col("n")))
+    own = F.log2(total / F.col("n"))
+    both = pairs.groupBy("entity", "term", "df", "n").agg(F.count("*").alias("c")).filter(told >= share * own)
+    both = both.select("entity", "term", (F.col("c") >= F.col("df")).alias("exact"))
+    return pairs.join(both, ["entity", "term"]).groupBy("row", "term").agg(F.bool_or("exact").alias("exact"))
 
 
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, counts by kind, base_sha256 and all spans."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    shape = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, near array<struct<entity:bigint,term:bigint,start:int,stop:int>>"
+    shape = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, entities array<bigint>, near array<struct<term:bigint,start:int,stop:int>>"
     found = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(_found, shape)
     rows = staged(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     near = rows.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    told = staged(disclosing(near, docs), "disclosing")
+    told = staged(disclosing(rows.select("row", F.explode("entities").alias("entity")), near.select("row", "term").distinct(), docs, text), "disclosing")
     extra = (
-        near.join(told, ["entity", "term"])
-        .groupBy("row", "start", "stop")
-        .agg(F.bool_or("exact").alias("exact"))
+        near.join(told, ["row", "term"])
         .groupBy("row")
         .agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("exact"), "remove").otherwise("generalise").alias("what"), "start", "stop"))).alias("extra"))
     )
