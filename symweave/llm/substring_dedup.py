@@ -1,12 +1,11 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing against an index of all documents' blocks.
+"""Substring de-duplication by an index of all documents' blocks, in place of relative Lempel-Ziv parsing: no factors are formed.
 
 Every document is cut into blocks by content: a window of WINDOW words belongs to the GRAM-word gram with the smallest
 hash in it (the leftmost of equals), and the windows of one such anchor form a block.  Equal windows belong
-to equal anchors, wherever they stand.  The index holds every block of every document by anchor and by content, and each document
-is parsed greedily against it: blocks whose whole content is indexed twice chain up to factors, the longest runs of words that
-occur elsewhere.  Where a factor ends, a block shares its anchor with blocks of other content; the windows of these
-boundary blocks, and of one block of each content they meet, are compared one by one.  The spans covered by factors
-and by equal boundary windows are exactly the words in repeated windows.
+to equal anchors, wherever they stand.  The index holds every block of every document by anchor and by content.  A block
+whose whole content is indexed twice repeats as a whole.  Where blocks of one anchor have different contents, the windows of
+those that stand alone, and of one block of each content they meet, are compared one by one.  The spans covered by repeated
+blocks and by equal windows are exactly the words in repeated windows.
 
 Contents are compared by two independent 64-bit hashes.  Anchors that a frequent-items sketch finds common are settled by
 map-side aggregation; the rest are shuffled by anchor.  Texts are shuffled once.
