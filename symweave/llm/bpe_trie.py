@@ -9,30 +9,38 @@ from the root is all that is kept.  An Aho-Corasick automaton over the vocabular
 Encodings of white-space-free chunks are memoised in each worker up to a bound; frequent ones stay, which changes no
 result.
 
+Text is put in normal form, lower-cased and split as the tokenizer file says.  The Unicode tables of Python and of the
+tokenizers library differ, so chunks with letters beyond SETTLED are normalised and split by the library's own
+normaliser and pre-tokenizer; their words go into the trie like all others.
+
 Defined cases: a null or empty text has no tokens and decodes to the empty text; the two special tokens are matched
-literally in the raw text, as the tokenizers library does by default; code points assigned after Unicode 15 may fall
-into another character class than in the library's tables.
+literally in the raw text, as the tokenizers library does by default.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections import deque
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Tokenizer
 
 from symweave.llm.shared import slices
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = "word_bpe_49k.json"
 MEMO = 300_000
 FOREVER = 1 << 40
 #: White space for str.split that is not white space for the tokenizer.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: Code points whose normal form, case and class no version of Unicode has changed, and which no normal form joins to a neighbour: Latin,
+#: Cyrillic, punctuation, kana, Han and Hangul syllables.  This matches what lies beyond.
+UNSETTLED = regex.compile("[^\\u0000-\u02ff\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u2030-\u203a\u20ac\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 def byte_letters() -> list[str]:
@@ -48,9 +56,10 @@ def byte_letters() -> list[str]:
 class TrieBpe:
     """Encoder for a byte-level BPE tokenizer file with word ends."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+    def __init__(self, content: str):
+        spec = json.loads(content)
+        library = Tokenizer.from_str(content)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -60,6 +69,7 @@ class TrieBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         end = model["end_of_word_suffix"]
         letters = byte_letters()
+        self.byte_of = {x: b for b, x in enumerate(letters)}
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + end] for x in letters]
         size = max(self.vocab.values()) + 1
@@ -182,13 +192,23 @@ class TrieBpe:
             previous = word
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # The library lower-cases letter by letter, without the rule for a sigma at a word's end.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        if ODD_SPACE.search(text):
-            return [c for c in regex.split(r"\s+", text) if c]
-        return text.split()
+        """Chunks without white space; lower case but for those that the library is to normalise."""
+        settled = text.isascii() or not UNSETTLED.search(text)
+        if settled:
+            text = text.lower()
+        cut = [c for c in regex.split(r"\s+", text) if c] if ODD_SPACE.search(text) else text.split()
+        return cut if settled else [c if UNSETTLED.search(c) else c.lower() for c in cut]
+
+    def pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[:-1].isalpha() and not chunk[-1].isalnum():
+                return [chunk[:-1], chunk[-1]]
+        elif UNSETTLED.search(chunk):
+            return [bytes([self.byte_of[x] for x in shown]).decode() for shown, _ in self.split(self.normal(chunk))]
+        return self.pieces_of(chunk)
 
     def chunks(self, text: str) -> list[str | int]:
         """Normalised chunks without white space; special tokens as their ids."""
@@ -218,12 +238,7 @@ class TrieBpe:
             elif isinstance(c, int):
                 ids[c], shown[c] = str(c), self.name[c]
             else:
-                if c.isascii() and c.isalpha():
-                    pieces = [c]
-                elif c.isascii() and c[:-1].isalpha() and not c[-1].isalnum():
-                    pieces = [c[:-1], c[-1]]
-                else:
-                    pieces = self.pieces_of(c)
+                pieces = self.pieces(c)
                 new.append((c, pieces))
                 words.update(pieces)
         missing = []
@@ -260,21 +275,29 @@ class TrieBpe:
         return " ".join([self.name[i] for i in ids])
 
 
-_loaded: dict[str, TrieBpe] = {}
+_loaded: dict[int, TrieBpe] = {}
+
+
+def encoder(content: str) -> TrieBpe:
+    """One encoder for each worker process and tokenizer file."""
+    key = hash(content)
+    if key not in _loaded:
+        _loaded[key] = TrieBpe(content)
+    return _loaded[key]
 
 
-def encoder(path: str) -> TrieBpe:
-    """One encoder for each worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = TrieBpe(path)
-    return _loaded[path]
+def _sent(spark: SparkSession, path: str | None) -> Broadcast:
+    """The content of the tokenizer file (a few MB), which only the driver needs to hold."""
+    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        return spark.sparkContext.broadcast(file.read())
 
 
-def digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids joined by spaces and of the decoded text."""
+    content = _sent(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(content.value)
         sha = hashlib.sha256
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -288,24 +311,25 @@ def digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text",
                     codes.append(sha(code.encode()).hexdigest())
                     texts.append(sha(" ".join(map(shown, chunks)).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder(path).forget()
+        bpe.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str = DEFAULT_TOKENIZER, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, ids array<int> and the text decoded from them."""
+    content = _sent(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(content.value)
         for whole in batches:
             for batch in slices(whole, "text"):
                 cut = [bpe.chunks(t) if t else [] for t in batch.column(1).to_pylist()]
                 bpe.learn(set().union(*cut))
                 ids = [[int(i) for c in chunks for i in bpe.ids[c].split()] for chunks in cut]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
-        encoder(path).forget()
+        bpe.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

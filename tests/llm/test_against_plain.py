@@ -136,11 +136,12 @@ def test_exact_dedup_matches_sql(spark):
 
 
 def test_bpe_matches_the_library_on_tables(spark, texts):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     from symweave.llm import bpe_trie
 
-    lib = Tokenizer.from_file(bpe_trie.DEFAULT_TOKENIZER)
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe_trie.TOKENIZER))
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in catalog.op4_bpe(spark, TABLES).collect()}
     for k, t in texts.items():
         ids = lib.encode(t, add_special_tokens=False).ids
