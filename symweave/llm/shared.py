@@ -21,10 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string array, end to end, and the n + 1 offsets; a null is an empty text."""
+    """UTF-8 bytes of a string (or binary) array, end to end, and the n + 1 offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if binary else pa.large_string()).fill_null(b"" if binary else "")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     if data is None or at[-1] == at[0]:

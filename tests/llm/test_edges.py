@@ -137,10 +137,11 @@ def test_mixing_keeps_to_budget_and_limit(spark):
 
 
 def test_bpe_memo_may_start_anew(spark, docs, monkeypatch):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(bpe_trie.DEFAULT_TOKENIZER)
-    bpe = bpe_trie.TrieBpe(bpe_trie.DEFAULT_TOKENIZER)
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe_trie.TOKENIZER))
+    bpe = bpe_trie.TrieBpe(open(public_tokenizers.path(bpe_trie.TOKENIZER), encoding="utf-8").read())
     monkeypatch.setattr(bpe_trie, "MEMO", 50)
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyz'!?.,- 0123éñßΣİ́\x1c " + "etaoin" * 4
@@ -151,27 +152,137 @@ def test_bpe_memo_may_start_anew(spark, docs, monkeypatch):
         assert bpe.decode(want) == lib.decode(want, skip_special_tokens=False)
 
 
-def test_flac_round_trip_and_damage():
+def flac_parts():
     import numpy as np
 
     rng = np.random.default_rng(3)
-    parts = [rng.integers(0, 256, 192 * 5), np.full(192 * 3, 7), 128 + 60 * np.sin(np.arange(192 * 200) / 9), np.repeat([0, 255], 192 * 2), np.full(192, 32)]
-    parts = [p.astype(np.uint8) for p in parts]
+    wave = np.arange(192 * 200)
+    parts = [rng.integers(0, 256, 192 * 5), np.full(192 * 3, 7), 128 + 60 * np.sin(wave / 1.3) + 40 * np.sin(wave / 0.8), np.repeat([0, 255], 192 * 2), np.full(192, 32), rng.choice([0, 255], 192 * 4), 128 + np.where(np.arange(384) % 192 < 96, 1, 90) * rng.uniform(-1, 1, 384)]
+    return [p.astype(np.uint8) for p in parts]
+
+
+def test_flac_round_trip():
+    import numpy as np
+
+    parts = flac_parts()
     sizes = np.array([len(p) for p in parts])
     streams = flac.encode(np.concatenate(parts), sizes)
     back, lengths = flac.decode(streams)
     assert (back == np.concatenate(parts)).all() and (lengths == sizes).all()
-    assert flac.encode(parts[2], sizes[2:3])[0] == streams[2]
-    for at in (30, 60, len(streams[2]) // 2, len(streams[2]) - 1):
-        broken = bytearray(streams[2])
-        broken[at] ^= 16
-        if at > 80:
+    for p, s in zip(parts, streams):  # a payload gives the same stream in any company
+        assert flac.encode(p, np.array([len(p)])) == [s]
+    # A wave takes linear predictors and several Rice partitions; noise is stored as it is.
+    body = np.frombuffer(streams[2], np.uint8)
+    s = flac._parsed(streams[2], True)
+    f = flac._found(body[s.frames :], np.array([0]), np.array([len(body) - s.frames]))
+    kinds = body[s.frames :][f.subframes] >> 1
+    assert (kinds >= 32).mean() > 0.9 and len(streams[2]) < 0.7 * len(parts[2])
+    assert len(f.starts) == 200 and len(s.points) == -(-200 // flac.POINT)
+    # Without its seek table a stream is read only on demand.
+    cut = 42 + 4 + int.from_bytes(streams[2][43:46])
+    bare = streams[2][:4] + b"\x80" + streams[2][5:42] + streams[2][cut:]
+    assert (flac.decode([bare], seekable=False)[0] == parts[2]).all()
+    with pytest.raises(ValueError):
+        flac.decode([bare])
+
+
+def test_flac_reads_plain_frames_bit_by_bit():
+    """A slow reader of one frame, written from the format alone, finds the samples that were stored."""
+    import numpy as np
+
+    def read(bits, order_of):
+        at = 0
+
+        def take(n):
+            nonlocal at
+            value = int(bits[at : at + n] or "0", 2)
+            at += n
+            return value
+
+        signed = lambda v, n: v - (1 << n) if n and v >> (n - 1) else v
+        assert take(16) == 0xFFF8 and take(16) == 0x1402
+        lead = take(8)
+        for _ in range(max(0, 8 - len(bin(~lead & 0xFF)[2:]) - 1) if lead >= 0x80 else 0):
+            take(8)
+        take(8)
+        kind = take(8) >> 1
+        if kind == 0:
+            return [signed(take(8), 8)] * 192
+        if kind == 1:
+            return [signed(take(8), 8) for _ in range(192)]
+        order = kind - 31 if kind >= 32 else kind - 8
+        out = [signed(take(8), 8) for _ in range(order)]
+        if kind >= 32:
+            precision, shift = take(4) + 1, take(5)
+            taps = [signed(take(precision), precision) for _ in range(order)]
+        else:
+            taps, shift = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order], 0
+        assert take(2) == 0
+        parts = 1 << take(4)
+        order_of.append((kind, parts))
+        for p in range(parts):
+            k = take(4)
+            for _ in range(192 // parts - (order if p == 0 else 0)):
+                q = 0
+                while not take(1):
+                    q += 1
+                u = q << k | take(k)
+                guess = sum(c * x for c, x in zip(taps, out[::-1])) >> shift
+                out.append((u >> 1 ^ -(u & 1)) + guess)
+        return out
+
+    kinds = []
+    for part in flac_parts():
+        data, size = flac.encode_frames((part[:384].reshape(-1, 192) if len(part) > 192 else part.reshape(1, 192)).__xor__(np.uint8(128)).view(np.int8), np.arange(min(2, len(part) // 192)))
+        at = 0
+        for row, n in enumerate(size.tolist()):
+            bits = "".join(f"{b:08b}" for b in data[at : at + n].tolist())
+            want = (part[192 * row : 192 * row + 192] ^ np.uint8(128)).view(np.int8).tolist()
+            assert read(bits, kinds) == want
+            at += n
+    assert any(k >= 32 for k, _ in kinds) and any(n > 1 for _, n in kinds)
+
+
+def test_flac_damage_is_noticed():
+    import numpy as np
+
+    part = flac_parts()[2][: 192 * 70]
+    stream = flac.encode(part, np.array([len(part)]))[0]
+    for at in [*range(90), *range(90, len(stream), 401)]:  # magic, STREAMINFO, seek points, frames
+        for bit in (0, 4, 7):
+            broken = bytearray(stream)
+            broken[at] ^= 1 << bit
             with pytest.raises(ValueError):
                 flac.decode([bytes(broken)])
-    # Without its seek table a stream is read frame by frame.
-    head = streams[2][:4] + b"\x80" + streams[2][5:42]
-    body = streams[2][42 + 4 + int.from_bytes(streams[2][43:46]) :]
-    assert (flac.decode([head + body])[0] == parts[2]).all()
+    for cut in (0, 1, 3, 4, 5, 20, 41, 42, 50, 85, len(stream) // 2, len(stream) - 1):
+        with pytest.raises(ValueError):
+            flac.decode([stream[:cut]])
+
+
+def test_flac_samples_that_look_like_headers():
+    """Stored samples may hold whole frames of a stream: their headers are no frames of this one."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    inner, size = flac.encode_frames(rng.integers(-128, 128, (4, 192)).astype(np.int8), np.arange(4))
+    noise = rng.integers(0, 256, 192 * 8).astype(np.uint8)
+    noise[100 : 100 + len(inner[: 2 * size[0]])] = inner[: 2 * size[0]] ^ np.uint8(128)
+    stream = flac.encode(noise, np.array([len(noise)]))
+    assert (flac.decode(stream)[0] == noise).all()
+
+
+def test_flac_blocks_by_seek_point(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([(1, "wave " * 9000), (2, None), (3, "short")], "doc_id long, text string")
+    media = flac.stored(docs)
+    held = {r.doc_id: r.media for r in media.collect()}
+    rows = flac.pcm_blocks(media).collect()
+    for r in rows:
+        assert held[r.doc_id][r.stream_offset : r.stream_offset + 2] == b"\xff\xf8"
+    payload = {k: b"".join((np.frombuffer(r.pcm, np.uint8) ^ 128).tobytes() for r in sorted(rows, key=lambda r: r.first_sample) if r.doc_id == k) for k in held}
+    assert payload[1] == (b"wave " * 9000).ljust(45120) and payload[2] == b" " * 192 and payload[3] == b"short".ljust(192)
+    assert sorted(r.first_sample for r in rows if r.doc_id == 1) == list(range(0, 45120, 192 * flac.POINT))
 
 
 def test_pii_by_plain_patterns():
