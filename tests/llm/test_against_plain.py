@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from symweave.llm import catalog, substring_dedup
 
@@ -54,6 +56,41 @@ def test_substring_dedup_on_shared_passages(spark, monkeypatch):
     assert got == want
     spans = {r.doc_id: sum(s.stop - s.first for s in r.spans) for r in substring_dedup.parsed(docs, "text").collect()}
     assert spans == {k: v[1] for k, v in want.items()}
+    # The factors: long enough, true of their references, greedy, and together all that goes.
+    words = {k: WORD.findall(t) for k, t in texts.items()}
+    some = 0
+    for r in substring_dedup.parsed(docs, "factors").collect():
+        covered, free = set(), -1
+        for f in r.factors:
+            assert f.length >= 35 and (f.ref, f.ref_start) != (r.doc_id, f.start)
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.ref][f.ref_start : f.ref_start + f.length]
+            assert f.start + f.length > free
+            free = f.start + f.length
+            covered |= set(range(f.start, free))
+            some += f.length > 35
+        assert len(covered) == want[r.doc_id][1]
+    assert some > 50
+
+
+def test_a_factor_spans_many_blocks(spark):
+    """A copied passage of 400 words is one factor, although it holds many blocks, and its ends are found to the word."""
+    rng = random.Random(3)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(400)]
+    texts = {1: [f"a{i}" for i in range(50)] + passage + [f"b{i}" for i in range(50)], 2: ["c"] + passage[7:393] + ["d"] * 3}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring_dedup.parsed(docs, "factors").collect()}
+    assert got == {1: [(57, 386, 2, 1)], 2: [(1, 386, 1, 57)]}
+
+
+def test_rows_that_repeat_are_judged_once(spark):
+    rng = random.Random(5)
+    body = " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(300))
+    rows = spark.range(10_000).selectExpr("CAST(NULL AS long) AS doc_id").withColumn("text", F.lit(body))
+    docs = rows.unionByName(spark.createDataFrame([(1, "x y z " + body[: len(body) // 2] + " end")], "doc_id long, text string"))
+    began = time.time()
+    got = substring_dedup.parsed(docs, "digest").groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted((r.n_words, r.n_removed, r["count"]) for r in got if r.doc_id is None) == [(300, 300, 10_000)]
+    assert time.time() - began < 60
 
 
 def test_common_anchors_take_the_other_way(spark, monkeypatch):
