@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, flac, labelled, language, mixing, pii, quality, simhash, substring_dedup, toxicity
+from symweave.llm import bpe_trie, exact_dedup, flac, labelled, language, mixing, pii, quality, simhash, sql, substring_dedup, toxicity
 from symweave.llm.shared import table
 
 
@@ -63,19 +63,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
-OP10_SQL = r"""
-WITH rows AS (
-  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
-)
-SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = min(doc_id) OVER g AS kept, text_sha256
-FROM rows WINDOW g AS (PARTITION BY text_sha256)
-"""
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op1_substring_dedup": sql.OP1, "op5_mixing": sql.OP5, "op10_exact_dedup": sql.OP10}

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from symweave.plans.staging import staged
+from symweave.plans.staging import scratch, staged
 
-__all__ = ["SPACE", "mix", "powers", "slices", "span_hashes", "staged", "table", "text_bytes", "word_spans"]
+__all__ = ["SPACE", "meet", "mix", "powers", "scratch", "slices", "span_hashes", "staged", "table", "text_bytes", "word_spans"]
 
 #: ASCII white space of every contract: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
@@ -20,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that a join settles where the left rows are read, at most.
+LARGEST = 1024
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "inner", most: int = LARGEST) -> DataFrame:
+    """left with the columns of right (but `size`) on equal keys, nulls being equal; right has one row a key, and in `size` about how many left rows it meets.
+
+    The `most` keys of the largest size are broadcast, so their left rows, however many, are not shuffled; the rest has few rows a key.
+    """
+    named = {k: f"met_{k}" for k in keys}
+    other = right.withColumnsRenamed(named)
+    large = F.broadcast(other.orderBy(F.desc(size), *named.values()).limit(most).drop(size))
+    marks = F.broadcast(right.orderBy(F.desc(size), *keys).limit(most).select(*[F.col(k).alias(f"met_{k}") for k in keys]))
+
+    def on(a: DataFrame, names: dict[str, str], b: DataFrame):
+        same = [a[x].eqNullSafe(b[y]) for x, y in names.items()]
+        return same[0] if len(same) == 1 else same[0] & on(a, dict(list(names.items())[1:]), b)
+
+    here = left.join(large, on(left, named, large)).drop(*named.values())
+    small = other.drop(size).join(marks, on(other, {v: v for v in named.values()}, marks), "left_anti")
+    rest = left.join(marks, on(left, named, marks), "left_anti")
+    return here.unionByName(rest.join(small, on(rest, named, small), how).drop(*named.values()))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string (or binary) array, end to end, and the n + 1 offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
