@@ -51,14 +51,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     files.cancelDeleteOnExit(where)
 
 
-def staged(df: DataFrame, name: str, replaces: tuple[DataFrame, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, name: str, replaces: tuple[DataFrame, ...] = (), lasting: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors.
 
-    replaces: staged tables that nothing needs once this one is written.
+    replaces: staged tables that nothing needs once this one is written.  lasting: the table outlives the scratch() around it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
+    if _scopes and not lasting:
         _scopes[-1].append((spark, path))
     df.write.parquet(path)
     _leave(spark, path)
