@@ -42,6 +42,11 @@ def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
 
+def flac_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_flac's result that SQL can tell."""
+    return op3_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digests(table(spark, sf_dir, "documents"))
 
@@ -64,8 +69,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup, flac_payloads)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": sql.OP1, "op5_mixing": sql.OP5, "op10_exact_dedup": sql.OP10}
+    return {"op1_substring_dedup": sql.OP1, "flac_payloads": sql.PAYLOADS, "op5_mixing": sql.OP5, "op7_pii": sql.OP7, "op10_exact_dedup": sql.OP10}

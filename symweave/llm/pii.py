@@ -6,7 +6,8 @@ documents over the whole corpus, as are all terms and all documents.  A term dis
 mutual information with the entity reaches SHARE of the entity's own information, -log2 p(entity): it then tells nearly
 as much as the entity itself.  Every occurrence of such a term in a document that holds the entity becomes a further
 span: ``remove`` where the share is one (the term occurs nowhere without the entity), else ``generalise``.  An entity
-of a single document counts like any other.
+of a single document counts like any other.  Entities that stand in the same documents disclose by the same terms, so they are
+counted as one class: a document with many entities of its own pairs its terms with one class, not with each of them.
 
 Defined cases: a null text is the empty text; offsets are code points, end exclusive; texts without entities have no
 spans; copies of one text are documents like any other; an empty table gives an empty result; other columns may have any name.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.shared import slices, span_hashes, staged, text_bytes, word_spans
+from symweave.llm.shared import meet, slices, span_hashes, staged, text_bytes, word_spans
 
 SHARE = 0.8
 KINDS = ("email", "ip", "card", "phone")
@@ -134,26 +135,28 @@ def term_hash(terms: list[bytes]) -> np.ndarray:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base results of each document, its entities and the words that stand beside them."""
-    inner = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
     for whole in batches:
         for batch in slices(whole, "text"):
             out: list[list] = [[], [], [], [], [], []]
-            near: list[list] = []
-            held: list[list] = []
+            near, held, sizes = [np.zeros((3, 0), np.int64)], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
                 kinds = [k for k, _, _ in spans]
                 shown = joined(spans)
-                around = terms(text, spans) if spans else []
-                hashes = term_hash([t for t, _, _ in around]).view(np.int64).tolist() if around else []
-                near.append([{"term": h, "start": x, "stop": y} for (_, x, y), h in zip(around, hashes)])
+                if around := terms(text, spans) if spans else []:
+                    hashes = term_hash([t for t, _, _ in around]).view(np.int64)
+                    near.append(np.stack([hashes, *(np.fromiter((x[k] for x in around), np.int64, len(around)) for k in (1, 2))]))
                 held.append(list({entity(k, text[a:b]) for k, a, b in spans}))
+                sizes.append(len(around))
                 row = [*(kinds.count(k) for k in KINDS), hashlib.sha256(shown.encode()).hexdigest(), shown]
                 for column, value in zip(out, row):
                     column.append(value)
+            flat = np.concatenate(near, 1)
+            inner = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], ["term", "start", "stop"])
+            cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(held, pa.list_(pa.int64())), pa.array(near, pa.list_(inner))],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(held, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cut), inner)],
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near"],
             )
 
@@ -185,16 +188,18 @@ def disclosing(held: DataFrame, beside: DataFrame, docs: DataFrame, text: str =
     can disclose none, so the others alone are paired with entities.
     """
     total = F.lit(float(docs.count()))
-    of = held.join(held.groupBy("entity").agg(F.count("*").alias("n")), "entity").filter(F.col("n") < total)
+    counts = held.groupBy("entity").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("who")).filter(F.col("n") < total)
+    # Entities of the same documents are one class.
+    of = staged(meet(held, counts.withColumn("size", F.col("n")), ["entity"], "size").select("row", F.xxhash64("n", "who").alias("class"), "n").distinct(), "classes")
     most = F.pow(total, F.lit(1 - share)) * F.pow(F.col("n"), F.lit(share)) * (1 + 1e-9)
     widest = of.agg(F.max(most).alias("widest"))
-    rare = term_counts(docs, text).join(F.broadcast(widest), F.col("df") <= F.col("widest")).select("term", "df")
-    pairs = staged(beside.join(rare, "term").join(of, "row").filter(F.col("df") <= most).select("row", "entity", "term", "df", "n"), "pairs")
+    rare = term_counts(docs, text).join(F.broadcast(widest), F.col("df") <= F.col("widest")).select("term", "df", F.col("df").alias("size"))
+    pairs = staged(meet(beside, rare, ["term"], "size").join(of, "row").filter(F.col("df") <= most).select("row", "class", "term", "df", "n"), "pairs")
     told = F.log2(F.col("c") * total / (F.col("df") * F.col("n")))
     own = F.log2(total / F.col("n"))
-    both = pairs.groupBy("entity", "term", "df", "n").agg(F.count("*").alias("c")).filter(told >= share * own)
-    both = both.select("entity", "term", (F.col("c") >= F.col("df")).alias("exact"))
-    return pairs.join(both, ["entity", "term"]).groupBy("row", "term").agg(F.bool_or("exact").alias("exact"))
+    both = pairs.groupBy("class", "term", "df", "n").agg(F.count("*").alias("c")).filter(told >= share * own)
+    both = both.select("class", "term", (F.col("c") >= F.col("df")).alias("exact"), "c")
+    return meet(pairs, both, ["class", "term"], "c").groupBy("row", "term").agg(F.bool_or("exact").alias("exact"))
 
 
 def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.plans.staging import scratch, staged
@@ -32,17 +33,16 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str
     """
     named = {k: f"met_{k}" for k in keys}
     other = right.withColumnsRenamed(named)
-    large = F.broadcast(other.orderBy(F.desc(size), *named.values()).limit(most).drop(size))
-    marks = F.broadcast(right.orderBy(F.desc(size), *keys).limit(most).select(*[F.col(k).alias(f"met_{k}") for k in keys]))
+    added = [c for c in other.columns if c != size and c not in named.values()]
+    large = other.orderBy(F.desc(size), *named.values()).limit(most).select(*named.values(), F.struct(F.lit(True).alias("met"), *added).alias("met"))
 
-    def on(a: DataFrame, names: dict[str, str], b: DataFrame):
-        same = [a[x].eqNullSafe(b[y]) for x, y in names.items()]
-        return same[0] if len(same) == 1 else same[0] & on(a, dict(list(names.items())[1:]), b)
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[m]) for k, m in named.items()])
 
-    here = left.join(large, on(left, named, large)).drop(*named.values())
-    small = other.drop(size).join(marks, on(other, {v: v for v in named.values()}, marks), "left_anti")
-    rest = left.join(marks, on(left, named, marks), "left_anti")
-    return here.unionByName(rest.join(small, on(rest, named, small), how).drop(*named.values()))
+    marked = left.join(F.broadcast(large), same(left, large), "left").select(*left.columns, "met")
+    rest = marked.filter("met is null").drop("met")
+    rest = rest.join(other, same(rest, other), how).select(*left.columns, *added)
+    return marked.filter("met is not null").select(*left.columns, *[F.col("met")[c].alias(c) for c in added]).unionByName(rest)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

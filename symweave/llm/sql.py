@@ -98,3 +98,75 @@ SELECT doc_id, c.source, n AS n_tokens, round(weight, 9) AS weight, copies::INT
        CASE WHEN c.pass IS NOT NULL THEN row_number() OVER (PARTITION BY c.source, c.block, c.pass ORDER BY md5(concat_ws(':', '20', c.pass::VARCHAR, tie::VARCHAR))[1:15], doc_id) END::INT AS position
 FROM copied c LEFT JOIN ranked r ON c.source IS NOT DISTINCT FROM r.source AND c.block = r.block AND c.pass = r.pass
 """
+
+OP7 = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+patterns AS (
+  SELECT * FROM (VALUES ('email', 1), ('ip', 2), ('card', 3), ('phone', 4)) AS p(kind, rank)
+),
+found AS (
+  SELECT doc_id, kind, rank, unnest(m) AS hit, generate_subscripts(m, 1) AS k, parts
+  FROM (SELECT doc_id, kind, rank, CASE kind WHEN 'email' THEN regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 'ip' THEN regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
+               WHEN 'card' THEN regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') END AS m,
+               CASE kind WHEN 'email' THEN regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 'ip' THEN regexp_split_to_array(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')
+               WHEN 'card' THEN regexp_split_to_array(t, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') END AS parts
+        FROM texts, patterns)
+),
+ends AS (
+  SELECT doc_id, kind, rank, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS digits,
+         sum(length(parts[k]) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS stop FROM found
+),
+base AS (
+  SELECT doc_id, kind, rank, hit, digits, (stop - length(hit))::BIGINT AS start, stop::BIGINT AS stop FROM ends
+  WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN list_max(list_transform(string_split(hit, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(x[-9:] AS INT), 0) END)) <= 255
+    WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+        CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INT WHEN digits[i]::INT * 2 > 9 THEN digits[i]::INT * 2 - 9 ELSE digits[i]::INT * 2 END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END
+),
+shown AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY rank, start) AS base
+  FROM base GROUP BY doc_id
+),
+words AS (
+  SELECT doc_id, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY k) - length(word))::BIGINT AS start
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, generate_subscripts(w, 1) AS k
+        FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, regexp_split_to_array(t, '[^\x20\x09-\x0D]+') AS g FROM texts))
+),
+terms AS (SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term, start, start + length(word) AS stop FROM words),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY term),
+near AS (
+  SELECT doc_id, term, start, stop FROM terms t
+  WHERE doc_id IN (SELECT doc_id FROM base) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t.stop AND t.start < b.stop)
+),
+entities AS (
+  SELECT DISTINCT doc_id, concat(kind, ':', CASE WHEN kind IN ('email', 'ip') THEN lower(hit) ELSE digits END) AS entity FROM base
+),
+numbers AS (SELECT entity, count(*) AS n FROM entities GROUP BY entity),
+total AS (SELECT count(*)::DOUBLE AS total FROM documents),
+told AS (
+  SELECT entity, term, c >= df AS exact FROM (
+    SELECT e.entity, s.term, n, df, count(*) AS c FROM (SELECT DISTINCT doc_id, term FROM near) s JOIN entities e USING (doc_id) JOIN numbers USING (entity) JOIN df USING (term)
+    GROUP BY ALL
+  ), total WHERE n < total AND df <= pow(total, 1 - 0.8) * pow(n, 0.8) * (1 + 1e-9) AND log2(c * total / (df * n)) >= 0.8 * log2(total / n)
+),
+marked AS (
+  SELECT n.doc_id, n.start, n.stop, bool_or(exact) AS exact FROM near n JOIN entities e USING (doc_id) JOIN told USING (entity, term) GROUP BY ALL
+),
+extra AS (
+  SELECT doc_id, string_agg(concat(CASE WHEN exact THEN 'remove' ELSE 'generalise' END, ':', start, ':', stop), ',' ORDER BY exact, start, stop) AS extra FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, concat_ws(',', base, extra) AS spans
+FROM documents LEFT JOIN shown USING (doc_id) LEFT JOIN extra USING (doc_id)
+"""
+
+#: What of op3_flac SQL can express.
+PAYLOADS = r"""
+WITH padded AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, coalesce(text, '') AS t FROM documents
+),
+sized AS (SELECT doc_id, n, t, greatest(1, (n + 191) // 192) * 192 AS size FROM padded)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(concat(t, repeat(' ', size - n))) AS payload_sha256 FROM sized
+"""
