@@ -5,7 +5,7 @@ its address, and a prior of its host that is smoothed towards its domain, its su
 likelihoods of declarations and suffixes and all priors come from grouped sums over every record, in which each record counts for the
 language that its text alone suggests.  Documents without an address take their source as host.
 
-The trigram models are fitted on at most ``SAMPLE`` labelled documents.  Defined cases: a null or wordless text is
+The trigram models are fitted on at most ``SAMPLE`` labelled documents, one for every language among them.  Defined cases: a null or wordless text is
 judged by the other evidence alone; a null host, suffix or declaration is a value of its own; without labelled documents the
 result has no language; an empty table gives an empty result; other columns may have any name.
 """
@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from symweave.llm.labelled import remainder, training_rows
 from symweave.llm.quality import LOWER
-from symweave.llm.shared import mix, slices, staged, text_bytes
+from symweave.llm.shared import meet, mix, slices, staged, text_bytes
 
-BITS, SAMPLE, LANGUAGES = 16, 4096, 64
+BITS, SAMPLE = 16, 4096
 #: Trigrams of one text count as so many independent ones at most: neighbours tell much the same.
 GRAMS = 40.0
 #: Records that a level of the host hierarchy weighs as much as.
 STRENGTH = 5.0
-DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
+DECLARED = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
+HTML = re.compile(r"<html\b", re.I)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +45,16 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[:-2][whole], (mix(key[whole]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def declared_language(page: str) -> str | None:
+    """What the first <html> tag says. Linear in the page."""
+    opens = HTML.search(page)
+    if not opens:
+        return None
+    close = page.find(">", opens.end())
+    found = DECLARED.search(page, opens.end(), close if close >= 0 else len(page))
+    return found[1].lower() if found else None
+
+
 def plain_text(page: str) -> str:
     """The text between the tags; scripts, styles and comments go; an unclosed tag ends the page. Linear in the page."""
     kept, at, low = [], 0, page.lower()
@@ -86,13 +97,13 @@ class Trigrams:
 def fit(docs: DataFrame, most: int = SAMPLE, held: int = 0, folds: int = 5) -> Trigrams:
     """From documents with a lang; those whose crc32 remainder is `held` are left out."""
     left = remainder(F.col("doc_id"), folds)
-    known = docs.filter(F.col("lang").isNotNull() & (left >= 0) & (left != held)).select("doc_id", "lang")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(most).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    names = [r[0] for r in chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    known = docs.filter(F.col("lang").isNotNull() & (left >= 0) & (left != held)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "chosen")
+    names = sorted(r[0] for r in chosen.select("lang").distinct().collect())  # no more than the sample has rows
     if not names:
         return Trigrams(np.zeros(0), [], [])
     spot = F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1
-    y, rows = training_rows(docs, chosen.select("doc_id", spot.cast("int").alias("y")).filter("y >= 0"), trigrams)
+    y, rows = training_rows(docs, chosen.select("doc_id", spot.cast("int").alias("y")), trigrams)
     return Trigrams(y, rows, names)
 
 
@@ -117,8 +128,7 @@ def evidence(records: DataFrame, model: Trigrams) -> DataFrame:
                     texts = bodies.to_pylist()
                     for k, page in enumerate(is_page):
                         if page and texts[k]:
-                            found = DECLARED.search(texts[k])
-                            declared[k] = found[1].lower() if found else None
+                            declared[k] = declared_language(texts[k])
                             texts[k] = plain_text(texts[k])
                     bodies = pa.array(texts, pa.string())
                 scores = sent.value(*text_bytes(bodies))
@@ -136,49 +146,50 @@ def fused(seen: DataFrame, names: list[str]) -> DataFrame:
     if not n:
         return seen.select("doc_id", "page_id", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("text_lang"), "declared")
 
-    def winner(values: list[Column]) -> Column:
-        """The largest value and minus its place; the first of equals."""
-        return F.greatest(*[F.struct(v.alias("value"), F.lit(-k).alias("place")) for k, v in enumerate(values)]) if n > 1 else F.struct(values[0].alias("value"), F.lit(0).alias("place"))
+    def first_best(values: str) -> Column:
+        """The place, from 1, of the largest value; the first of equals."""
+        return F.array_position(values, F.array_max(values)).cast("int")
 
-    own = winner([F.col("likelihood")[k] for k in range(n)])
     # A text without trigrams has equal likelihoods and votes for nothing.
-    seen = seen.withColumn("vote", F.when(F.array_max("likelihood") > F.array_min("likelihood"), 1 - own["place"]))
+    seen = seen.withColumn("vote", F.when(F.array_max("likelihood") > F.array_min("likelihood"), first_best("likelihood")))
     flag = seen.withColumn("flag", F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNull(), "-").otherwise("?"))
-    votes = [F.sum(F.when(F.col("vote") == k + 1, 1.0).otherwise(0.0)) for k in range(n)]
 
     def counted(*keys: str) -> DataFrame:
-        return flag.groupBy(*keys).agg(F.array(*votes).alias("votes"))
+        """keys, votes (one number a language) and size, the number of records."""
+        one = flag.groupBy(*keys, "vote").agg(F.count("*").cast("double").alias("n"))
+        met = F.map_from_entries(F.collect_list(F.when(F.col("vote").isNotNull(), F.struct("vote", "n"))))
+        found = one.groupBy(*keys).agg(met.alias("met"), F.sum("n").alias("size"))
+        return found.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.element_at("met", k), F.lit(0.0))).alias("votes"), "size")
 
-    def smoothed(up: Column) -> Column:
+    def smoothed(up: str) -> Column:
         """Shares of the votes with STRENGTH further records like `up`."""
         total = F.aggregate("votes", F.lit(STRENGTH), lambda a, v: a + v)
         return F.zip_with("votes", up, lambda v, u: (v + STRENGTH * u) / total)
 
-    corpus = counted().select(F.zip_with("votes", F.array_repeat(F.lit(1.0), n), lambda v, u: v + u).alias("votes"))
-    corpus = corpus.select(F.transform("votes", lambda v: v / F.aggregate("votes", F.lit(0.0), lambda a, x: a + x)).alias("base"))
-    suffixes = counted("suffix").crossJoin(F.broadcast(corpus)).select(F.col("suffix").alias("s"), smoothed(F.col("base")).alias("by_suffix"))
-    domains = counted("suffix", "domain").join(suffixes, F.col("suffix").eqNullSafe(F.col("s"))).select(F.col("domain").alias("d"), F.col("suffix").alias("ds"), smoothed(F.col("by_suffix")).alias("by_domain"))
-    hosts = counted("suffix", "domain", "host").join(domains, F.col("domain").eqNullSafe(F.col("d")) & F.col("suffix").eqNullSafe(F.col("ds")))
-    hosts = staged(hosts.select(F.col("host").alias("h"), F.col("domain").alias("hd"), F.col("suffix").alias("hs"), smoothed(F.col("by_domain")).alias("prior")), "hosts")
-
-    def likelihoods(key: str, name: str) -> DataFrame:
-        """log p(key | language), smoothed by one record of each language."""
+    def likelihoods(key: str) -> DataFrame:
+        """key and log p(key | language), smoothed by one record of each language."""
         table = staged(counted(key), "counts")
-        sums = table.agg(F.array(*[F.sum(F.col("votes")[k]) for k in range(n)]).alias("sums"), F.count("*").alias("kinds"))
-        rate = F.zip_with("votes", "sums", lambda v, s: F.log((v + 1.0) / (s + F.col("kinds"))))
-        return table.crossJoin(F.broadcast(sums)).select(F.col(key).alias(f"k_{name}"), rate.alias(name))
-
-    flags, tails = likelihoods("flag", "by_flag"), likelihoods("suffix", "by_tail")
-    met = (
-        flag.join(hosts, F.col("host").eqNullSafe(F.col("h")) & F.col("domain").eqNullSafe(F.col("hd")) & F.col("suffix").eqNullSafe(F.col("hs")))
-        .join(F.broadcast(flags), F.col("flag") == F.col("k_by_flag"))  # one row a language and two more
-        .join(tails, F.col("suffix").eqNullSafe(F.col("k_by_tail")))
-    )
-    totals = [F.col("likelihood")[k] + F.log(F.col("prior")[k]) + F.col("by_flag")[k] + F.col("by_tail")[k] for k in range(n)]
-    met = met.select("doc_id", "page_id", "declared", "vote", F.array(*totals).alias("total")).withColumn("best", winner([F.col("total")[k] for k in range(n)]))
+        sums = table.agg(F.array(*[F.sum(F.col("votes")[k]) for k in range(n)]).alias("sums"), F.count("*").alias("kinds"))  # one row
+        return table.crossJoin(F.broadcast(sums)).select(key, F.zip_with("votes", "sums", lambda v, s: F.log((v + 1.0) / (s + F.col("kinds")))).alias(f"by_{key}"), "votes")
+
+    def added(a: str, b: str) -> Column:
+        return F.zip_with(a, b, lambda x, y: x + y)
+
+    corpus = counted().select(F.transform("votes", lambda v: (v + 1) / F.aggregate("votes", F.lit(float(n)), lambda a, x: a + x)).alias("base"))
+    # Each level of the hierarchy takes the one above as its prior; the hosts of most records are broadcast.
+    suffixes = likelihoods("suffix").crossJoin(F.broadcast(corpus)).select(F.col("suffix").alias("s"), "by_suffix", smoothed("base").alias("by_up"))
+    domains = counted("suffix", "domain").join(suffixes, F.col("suffix").eqNullSafe(F.col("s")))
+    domains = domains.select(F.col("suffix").alias("ds"), F.col("domain").alias("d"), smoothed("by_up").alias("by_up"), "by_suffix")
+    hosts = counted("suffix", "domain", "host").join(domains, F.col("domain").eqNullSafe(F.col("d")) & F.col("suffix").eqNullSafe(F.col("ds")))
+    told = added("tail", "prior")
+    hosts = hosts.select("suffix", "domain", "host", F.transform(smoothed("by_up"), lambda p: F.log(p)).alias("prior"), F.col("by_suffix").alias("tail"), "size")
+    hosts = staged(hosts.select("suffix", "domain", "host", told.alias("told"), "size"), "hosts")
+    flags = likelihoods("flag").drop("votes")
+    met = meet(flag, hosts, ["suffix", "domain", "host"], "size").join(F.broadcast(flags), "flag")  # one row a language and two more
+    met = met.withColumn("total", added("likelihood", "told")).withColumn("total", added("total", "by_flag")).select("doc_id", "page_id", "declared", "vote", "total")
     labels = F.array(*map(F.lit, names))
-    mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best.value")))
-    return met.select("doc_id", "page_id", F.get(labels, -F.col("best.place")).alias("lang"), F.round(1 / mass, 6).alias("score"), F.get(labels, F.col("vote") - 1).alias("text_lang"), "declared")
+    mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("total")))
+    return met.select("doc_id", "page_id", F.get(labels, first_best("total") - 1).alias("lang"), F.round(1 / mass, 6).alias("score"), F.get(labels, F.col("vote") - 1).alias("text_lang"), "declared")
 
 
 def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
