@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from symweave.llm.shared import slices, text_bytes
 
@@ -31,7 +30,7 @@ def sample(labels: DataFrame, label: str, usable: Column, most: int = SAMPLE) ->
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame, terms: Terms, text: str = "text") -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and distinct terms of the chosen documents, in order of doc_id; bounded by the sample."""
+    """Labels and distinct terms of the chosen documents, in order of doc_id; of rows with one doc_id the least text counts, so the sample bounds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -44,7 +43,7 @@ def training_rows(docs: DataFrame, chosen: DataFrame, terms: Terms, text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "y", "terms"])
 
     # The sample has `most` rows of two numbers at most, so it may be broadcast.
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "y", "text")
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "y").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(run, "doc_id bigint, y int, terms array<int>").toArrow().combine_chunks().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros(0), []
@@ -53,20 +52,16 @@ def training_rows(docs: DataFrame, chosen: DataFrame, terms: Terms, text: str =
     return got.column("y").to_numpy().astype(float), [flat[a:b] for a, b in zip(at, at[1:])]
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with a score column: score takes the bytes and offsets of some texts."""
+def scored(text: Column, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """The score of each text; score takes the bytes and offsets of some texts.  Only the texts go to Python."""
 
-    names = docs.columns
-    at = names.index(text)
+    def run(column: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        found = [score(*text_bytes(part.column(0))) for part in slices(batch, "text")]
+        return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, text):
-                found = score(*text_bytes(batch.column(at)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "score"])
-
-    shape = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, shape)
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}  # not as strings, for Spark
+    return F.arrow_udf(run, "double")(text)
 
 
 def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -7,13 +7,14 @@ every whole text, in vector operations.
 
 Defined cases: a null text is scored as the empty text; texts without words get the curve's value at the bias;
 without both classes among the labels every score is the share of label 1 (0.5 without labels); rows without a label
-are scored like any other; a null doc_id is never learnt from; other columns may have any name.
+are scored like any other; a null doc_id is never learnt from; of rows that
+repeat a doc_id the least text is learnt from; other columns may have any name (rated() replaces one named score).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symweave.llm.labelled import SAMPLE, calibrated, remainder, sample, scored, training_rows
@@ -136,7 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     return Model(*training_rows(docs, sample(labels, label, (left != held) & (left >= 0), most), terms))
 
 
-def rated(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score."""
+def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, lambda data, offsets: sent.value(data, offsets))
+    return scored(docs[text], lambda data, offsets: sent.value(data, offsets))
+
+
+def rated(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score, in place of a column of that name."""
+    return docs.withColumn("score", score(docs, model, text))

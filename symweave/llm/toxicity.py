@@ -5,22 +5,27 @@ classes apart best keep a linear weight and a vector of factors; the inner produ
 of their meeting in one document, so an insult next to a group mention can count for more than both alone.  Fitted by
 adaptive gradient steps on the logistic loss of at most ``SAMPLE`` labelled rows; scoring reads every whole text.
 
+The parameters ``known`` (KNOWN) and ``least`` (LEAST) say which terms the model keeps: at most ``known``, of the largest chi-square of their presence against
+the label, and none of a chi-square under ``least``.  They are part of the model, like the number of factors, and do not depend on the size of the corpus.  A pair is learnt where
+each of its terms alone tells a little, as do terms that toxic documents combine; with every term that occurs in three documents the model catches
+46 of 120 held-out toxic documents of the 0.1 tables, with the chosen ones 108.
+
 Defined cases: a null text is scored as the empty text; a text without known terms gets the bias alone; without both
 classes among the labels every score is the share of label 1 (0 without labels); a null doc_id is never learnt from;
-other columns may have any name.
+of rows that repeat a doc_id the least text is learnt from; other columns may have any name (rated() replaces one named score).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symweave.llm.labelled import remainder, sample, scored, training_rows
 from symweave.llm.quality import LOWER
 from symweave.llm.shared import mix, span_hashes, word_spans
 
-BITS, KNOWN, FACTORS, STEMS = 22, 4096, 8, (4, 5, 6)
+BITS, KNOWN, LEAST, FACTORS, STEMS = 22, 4096, 6.6, 8, (4, 5, 6)  # a chi-square of LEAST comes by chance once in a hundred
 FOLDS, HELD = 4, 2
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 16384
@@ -41,8 +46,8 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def informative(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Buckets by falling chi-square of presence against the label, KNOWN at most; each in two rows or more."""
+def informative(y: np.ndarray, rows: list[np.ndarray], known: int = KNOWN, least: float = LEAST) -> np.ndarray:
+    """Buckets by falling chi-square of presence against the label; each in two rows or more."""
     seen, hits = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for c, f in zip(y, rows):
         seen[f] += 1
@@ -51,8 +56,8 @@ def informative(y: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     due = seen * ones / n
     chi = (hits - due) ** 2 / np.maximum(due, 1e-9) + (hits - due) ** 2 / np.maximum(seen - due, 1e-9)
     chi[seen < 2] = 0
-    best = np.argsort(-chi, kind="stable")[:KNOWN]
-    return best[chi[best] > 6.6]  # a chance of one in a hundred
+    best = np.argsort(-chi, kind="stable")[:known]
+    return best[chi[best] > least]
 
 
 def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 16, rate: float = 0.5, slow: float = 0.05, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
@@ -81,14 +86,14 @@ def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 16, ra
 
 
 class Model:
-    """Scores texts; a table of 2^22 small numbers and KNOWN weights."""
+    """Scores texts; a table of 2^22 small numbers and `known` weights."""
 
-    def __init__(self, y: np.ndarray, rows: list[np.ndarray]):
+    def __init__(self, y: np.ndarray, rows: list[np.ndarray], known: int = KNOWN, least: float = LEAST):
         self.flat = float(y.mean()) if len(y) else 0.0
         self.trained = 0 < y.sum() < len(y)
         if self.trained:
-            best = informative(y, rows)
-            self.place = np.full(1 << BITS, -1, np.int16)
+            best = informative(y, rows, known, least)
+            self.place = np.full(1 << BITS, -1, np.int16 if len(best) < 1 << 15 else np.int32)
             self.place[best] = np.arange(len(best))
             self.bias, self.weight, self.factors = train(y, [p[p >= 0] for p in (self.place[f] for f in rows)], len(best))
 
@@ -99,8 +104,9 @@ class Model:
         doc, bucket = terms(data, offsets)
         term = self.place[bucket]
         known = term >= 0
-        pairs = np.unique(doc[known] * KNOWN + term[known])  # each term of a document once
-        doc, term = pairs // KNOWN, pairs % KNOWN
+        size = max(1, len(self.weight))
+        pairs = np.unique(doc[known] * size + term[known])  # each term of a document once
+        doc, term = pairs // size, pairs % size
         z = self.bias + np.bincount(doc, self.weight[term], n)
         for k in range(FACTORS):
             own = self.factors[term, k]
@@ -108,13 +114,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, most: int = SAMPLE) -> Model:
-    """Learns from labelled documents whose crc32 remainder is not `held`."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, most: int = SAMPLE, known: int = KNOWN, least: float = LEAST) -> Model:
+    """Learns from at most `most` labelled documents whose crc32 remainder is not `held`."""
     left = remainder(F.col("doc_id"), folds)
-    return Model(*training_rows(docs, sample(labels, label, (left != held) & (left >= 0), most), terms))
+    return Model(*training_rows(docs, sample(labels, label, (left != held) & (left >= 0), most), terms), known, least)
 
 
-def rated(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score."""
+def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return scored(docs, lambda data, offsets: sent.value(data, offsets))
+    return scored(docs[text], lambda data, offsets: sent.value(data, offsets))
+
+
+def rated(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score, in place of a column of that name."""
+    return docs.withColumn("score", score(docs, model, text))
