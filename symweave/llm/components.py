@@ -1,11 +1,12 @@
-"""Connected components of a link table by alternating star contractions, all in distributed tables."""
+"""Connected components of a link table by alternating star contractions, all in distributed tables; the hubs of large
+components are broadcast, so their links stay where they are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.llm.shared import staged
+from symweave.llm.shared import meet, staged
 
 
 def _around(links: DataFrame) -> DataFrame:
@@ -13,17 +14,26 @@ def _around(links: DataFrame) -> DataFrame:
     return links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+#: Links from which on hubs are looked for; below, one task can hold any hub.
+MANY = 1 << 20
+
+
+def _beside(links: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    """links with what least says of their end a."""
+    return meet(links, least, ["a"], "n") if many else links.join(least.drop("n"), "a")
+
+
+def _large_star(links: DataFrame, many: bool) -> DataFrame:
     """Hangs every larger neighbour of a node on the smallest node next to it; links have a > b."""
     both = _around(links)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return _beside(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, many: bool) -> DataFrame:
     """Hangs a node and its smaller neighbours on the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _beside(links, least, many).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.filter("a > b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -40,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
     links = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
     before = _sign(links)
     while before[0]:
-        links = staged(_small_star(_large_star(links)), "links")
+        links = staged(_small_star(_large_star(links, before[0] > MANY), before[0] > MANY), "links", replaces=(links,))
         now = _sign(links)
         if now == before:
             break

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.llm.components import components
-from symweave.llm.shared import mix, slices, span_hashes, staged, text_bytes, word_spans
+from symweave.llm.shared import meet, mix, slices, span_hashes, staged, text_bytes, word_spans
 
 SHINGLE, LIMIT, BANDS, ROWS, FIRST, TILE = 5, (4, 5), 40, 5, 4, 1024
 #: Words are compared without the case of A-Z.
@@ -76,7 +76,7 @@ def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (hash of the shingle set) and keys of each document."""
+    """doc_id, tie (hash of the text), fp (hash of the shingle set) and keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -85,9 +85,9 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keys = band_keys(hashes, at).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(at[1:] > at[:-1], BANDS, 0))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_hashes(hashes, at).view(np.int64)), listed], ["doc_id", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(set_hashes(hashes, at).view(np.int64)), listed], ["doc_id", "tie", "fp", "keys"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, keys array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie bigint, fp bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -140,9 +140,9 @@ def _links(rows: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFra
     """Links (a, b) among fingerprints of a key; keys of one component or of equal members are not compared again."""
     rows = rows.withColumn("root", F.col("fp")) if roots is None else rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    groups = groups.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
+    groups = groups.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / TILE).alias("tiles"), "n")
     dealt = (
-        rows.join(groups, "key")
+        meet(rows, groups, ["key"], "n")
         .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
         .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp", "root")
@@ -150,21 +150,50 @@ def _links(rows: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFra
     return dealt.join(sets, "fp").groupBy("key", "low", "high").applyInArrow(_compared, "a bigint, b bigint")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, fp (hash of the shingle set), component_id (the smallest doc_id reachable over links)."""
-    docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp, n and component_id, the smallest doc_id of the component.  nodes: fp, first (smallest doc_id), n; roots: see components()."""
+    tied = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "tied")
+    least = tied.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
+    joined = meet(tied.select("root", "fp"), least, ["root"], "size").select("fp", "component_id")
+    return nodes.join(joined, "fp", "left").select("fp", "n", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text): rows (doc_id, tie, fp, keys), nodes (fp, first, n) and the components of linked fps."""
     rows = staged(_signed(docs), "signed")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     keyed = rows.select("fp", F.posexplode("keys").alias("band", "key")).distinct()
     shared = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("key")
     keyed = staged(keyed.join(shared, "key"), "keyed")
-    wanted = rows.join(keyed.select("fp").distinct(), "fp", "left_semi").select(F.col("doc_id").alias("wanted")).distinct()
-    sets = staged(_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")).dropDuplicates(["fp"]), "sets")
+    wanted = rows.join(keyed.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")).alias("one")).select("one.doc_id", "one.tie").distinct()
+    wanted = wanted.select(F.col("doc_id").alias("wanted"), F.col("tie").alias("wanted_tie"))
+    sets = staged(_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]) & (F.xxhash64(docs["text"]) == wanted["wanted_tie"]), "left_semi")).dropDuplicates(["fp"]), "sets")
     early = staged(_links(keyed.filter(F.col("band") < FIRST), sets, None), "early")
     late = _links(keyed.filter(F.col("band") >= FIRST), sets, staged(components(early), "joined"))
-    roots = components(early.union(late))
-    tied = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "tied")
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = tied.join(least, "root").select("fp", "component_id")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return rows, nodes, components(early.union(late))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, fp (hash of the shingle set), component_id (the smallest doc_id reachable over links)."""
+    rows, nodes, roots = _classes(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
+    return meet(rows, named(nodes, roots), ["fp"], "n").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay, with all their columns: see simhash.deduplicated."""
+    rows, nodes, roots = _classes(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
+    # Texts of documents that stand alone need no verdict: of each class the least (doc_id, tie) stays, of rows that repeat one.
+    group = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
+    many = staged(group.join(group.groupBy("root").agg(F.sum("n").alias("all")).filter("all > 1"), "root").select("fp", "root", "n"), "many")
+    inside = meet(rows.select("doc_id", "tie", "fp"), many, ["fp"], "n")
+    inside = inside.groupBy("root", "doc_id", "tie").agg(F.count("*").alias("times"))
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tie")
+    inside = staged(inside, "inside")
+    best = inside.groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("size"))
+    judged = meet(inside, best, ["root"], "size").select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), place.eqNullSafe(F.col("best")).alias("stays"), (F.col("times") > 1).alias("again"))
+    judged = staged(judged.filter("not stays or again"), "judged")
+    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("tie"))
+    kept = kept.join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left").filter("stays is null or stays")
+    turn = Window.partitionBy("doc_id", "tie").orderBy("again")
+    again = kept.filter("again").withColumn("turn", F.row_number().over(turn)).filter("turn = 1")
+    return kept.filter("again is null or not again").select("doc.*").unionByName(again.select("doc.*"))

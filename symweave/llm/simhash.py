@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from symweave.llm import near_copies
 from symweave.llm.components import components
-from symweave.llm.shared import mix, slices, staged
+from symweave.llm.near_copies import named
+from symweave.llm.shared import meet, mix, slices, staged
 
 LIMIT, SEED, SHINGLE, PIVOTS, TILE = 3, 42, 3, 16, 4096
 #: The reference fingerprints: evenly mixed words made by a rule.
@@ -139,9 +140,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints at LIMIT or fewer bits whose components are those of all such links."""
     rows = keyed(nodes)
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).alias("tiles"), "n")
     dealt = (
-        rows.join(hot, "key", "left")
+        meet(rows, hot, ["key"], "n", how="left")
         .withColumn("tile", F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles"))))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("tiles") - 1, F.lit(0)))))
         .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp")
@@ -159,16 +160,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: i
     if bits != LIMIT:
         raise ValueError(f"the keys are made for {LIMIT} bits")
     rows = staged(fingerprints(docs, text, doc_id), "fingerprints")
-    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes))
-    tied = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "tied")
-    least = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = tied.join(least, "root").select("fp", "component_id")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
+    return meet(rows, named(nodes, components(links(nodes))), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs but for documents that another document stands for; rows that repeat a doc_id are one document."""
-    dropped = classes(docs, text, doc_id).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(docs.columns)
+    """The rows of docs but for near copies (near_copies) that another row stands for: of each class one row stays, that of the smallest doc_id,
+    then of the smallest hash of its text; nulls come last, rows that repeat are copies of each other."""
+    return near_copies.deduplicated(docs, text, doc_id)
