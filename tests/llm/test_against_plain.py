@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from symweave.llm import catalog, substring_dedup
+from symweave.llm import catalog, sql, substring_dedup
 
 TABLES = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -167,7 +167,7 @@ def test_exact_dedup_matches_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{TABLES}/documents.parquet'")
-    want = {tuple(r) for r in con.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({catalog.OP10_SQL})").fetchall()}
+    want = {tuple(r) for r in con.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({sql.OP10})").fetchall()}
     got = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in catalog.op10_exact_dedup(spark, TABLES).collect()}
     assert got == want
 
@@ -215,40 +215,169 @@ def test_language_of_documents_and_pages(spark):
     assert sum(r.lang == r.declared for r in pages) / len(pages) > 0.98
 
 
-def test_mixing_against_a_plain_version(spark):
-    """Weights by a fine scan of exponents; passes over each source in the order of place."""
-    import math
+SQL_QUERIES = ["op1_substring_dedup", "op5_mixing", "op7_pii", "op10_exact_dedup"]
+
 
-    from pyspark.sql import functions as F
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """A documents table with a hot source, null sources and texts, personal data shared by documents, copies and a huge row."""
+    rng = random.Random(8)
+    names = [f"user{k}@mail.org" for k in range(30)] + [f"10.1.{k}.7" for k in range(20)] + ["4111 1111 1111 1111", "+1 (555) 010-9999", "+44 20 7946 0000"]
+    rows = []
+    for i in range(1500):
+        words = [rng.choice("abcdefghij") + str(int(rng.paretovariate(0.6)) % 400) for _ in range(rng.randrange(1, 60))]
+        if rng.random() < 0.2:
+            who = rng.randrange(len(names))
+            words[rng.randrange(len(words)) :] = [names[who], f"Secret{who}", "it's"]
+        rows.append((i, " ".join(words), rng.choice(["a"] * 12 + ["b"] * 3 + ["c", None])))
+    rows += [(2000, None, "a"), (2001, "", None), (2002, "w " * 4000, "d"), (2003, "  \t", "e"), *[(2100 + k, rows[k % 3][1], "a") for k in range(60)]]
+    at = tmp_path_factory.mktemp("skewed")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("query", SQL_QUERIES)
+@pytest.mark.parametrize("tables", ["small", "skewed"])
+def test_queries_match_sql(spark, skewed, query, tables):
+    import duckdb
+
+    at = TABLES if tables == "small" else skewed
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet{'' if tables == 'small' else '/*.parquet'}'")
+    df = catalog.queries()[query](spark, at)
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[query]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
 
+
+def test_every_pass_has_its_own_permutation(spark, skewed):
     from symweave.llm import mixing
 
-    rng = random.Random(8)
-    rows = [(i, "w " * rng.randrange(1, 30), rng.choice(["a"] * 12 + ["b"] * 3 + ["c", None])) for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(mixing.SEED)).alias("p")).collect()}
-    tokens = {i: len(t.split()) for i, t, _ in rows}
-    of = {}
-    for i, _, s in rows:
-        of.setdefault(s, []).append(i)
-    share = {s: sum(tokens[i] for i in ids) / sum(tokens.values()) for s, ids in of.items()}
-
-    def weights(a):
-        power = {s: p**a for s, p in share.items()}
-        return {s: p / sum(power.values()) for s, p in power.items()}
-
-    entropy = lambda w: -sum(p * math.log(p) for p in w.values())
-    best = max(a / 20000 for a in range(20001) if entropy(weights(a / 20000)) >= 0.9 * math.log(len(share)))
-    want = weights(best)
-    got = {r.doc_id: r for r in mixing.mixed(docs).collect()}
-    for s, ids in of.items():
-        assert abs(got[ids[0]].weight - want[s]) < 1e-3 and got[ids[0]].source == s
-        quota = got[ids[0]].weight * sum(tokens.values())
-        total = sum(tokens[i] for i in ids)
-        passes, left = int(quota // total), quota % total
-        took, open_ = 0, True
-        for i in sorted(ids, key=lambda i: (place[i] % mixing.BUCKETS, place[i], i)):
-            took += tokens[i]
-            extra = int(took <= left)
-            if abs(took - left) > 1:
-                assert got[i].copies == passes + extra
+    docs = spark.read.parquet(f"{skewed}/documents.parquet")
+    got = mixing.mixed(docs, entropy=1.0, repeats=1e9, budget=4e4).toPandas()
+    b = got[got.source == "b"]
+    passes = int(b["pass"].max())
+    orders = [b[b["pass"] == p].sort_values(["block", "position"]).doc_id.tolist() for p in range(1, passes + 1)]
+    assert passes >= 3 and all(sorted(o) == sorted(orders[0]) for o in orders[:-1])
+    assert orders[0] != orders[1] and set(orders[-1]) < set(orders[0])
+    blocks = [b[b["pass"] == p].groupby("block").doc_id.apply(frozenset) for p in (1, 2)]
+    assert set(blocks[0]) == set(blocks[1]) and list(blocks[0]) != list(blocks[1])  # the same blocks in another order
+    for _, rows in b.groupby(["pass", "block"]):
+        assert sorted(rows.position) == list(range(1, len(rows) + 1))
+
+
+def test_a_limit_that_no_mix_can_keep(spark, skewed):
+    from symweave.llm import mixing
+
+    docs = spark.read.parquet(f"{skewed}/documents.parquet")
+    with pytest.raises(ValueError, match="budget"):
+        mixing.mixed(docs, repeats=1.5, budget=1e6)
+
+
+def test_dual_descent_is_near_its_optimum():
+    """Primal and dual objective of the hinge loss nearly meet, which no other point does."""
+    import numpy as np
+
+    from symweave.llm import quality
+
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 300, 25)) for _ in range(400)]
+    y = np.array([float((f < 40).sum() * 3 + rng.normal() > 11) for f in rows])
+    values = [np.full(len(f), 1 / np.sqrt(len(f))) for f in rows]
+    w, bias = quality.descend(y, rows, values, rounds=2000)
+    cost = 0.5 / np.where(y > 0, (y > 0).mean(), (y == 0).mean())
+    margin = np.where(y > 0, 1, -1) * np.array([w[f] @ v + bias for f, v in zip(rows, values)])
+    primal = 0.5 * (w @ w + bias * bias) + (cost * np.maximum(0, 1 - margin)).sum()
+    for _ in range(200):  # no small step anywhere makes it better by more than the tolerance
+        step, b = rng.normal(0, 0.01, len(w)), rng.normal(0, 0.01)
+        step[300:] = 0
+        m = np.where(y > 0, 1, -1) * np.array([(w + step)[f] @ v + bias + b for f, v in zip(rows, values)])
+        assert 0.5 * ((w + step) @ (w + step) + (bias + b) ** 2) + (cost * np.maximum(0, 1 - m)).sum() >= primal - 1e-3
+
+
+@pytest.mark.parametrize("of, label", [("quality", "quality"), ("toxicity", "toxic")])
+def test_scores_by_a_plain_formula(spark, of, label):
+    """Scores of whole texts from a model's numbers, one document and one term at a time."""
+    import importlib
+    import math
+
+    import pyarrow as pa
+
+    from symweave.llm.shared import text_bytes
+
+    part = importlib.import_module(f"symweave.llm.{of}")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = part.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), label)
+    got = {r.doc_id: r for r in part.rated(docs, model).collect()}
+    for r in list(got.values())[:150]:
+        data, offsets = text_bytes(pa.array([r.text]))
+        found = sorted(set(part.terms(data, offsets)[1].tolist()))
+        if of == "quality":
+            norm = math.sqrt(sum(float(model.square[t]) for t in found))
+            z = model.slope * (sum(float(model.weight[t]) for t in found) / max(norm, 1e-9) + model.bias) + model.shift
+        else:
+            known = [int(model.place[t]) for t in found if model.place[t] >= 0]
+            z = model.bias + sum(model.weight[t] for t in known)
+            z += sum(float(model.factors[a] @ model.factors[b]) for i, a in enumerate(known) for b in known[i + 1 :])
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4
+
+
+def test_language_by_a_plain_fusion(spark):
+    """Fused scores of records with given likelihoods, from counts taken in Python."""
+    import math
+
+    from symweave.llm import language
+
+    rng = random.Random(6)
+    names = ["de", "en", "fr"]
+    rows = []
+    for i in range(400):
+        host = rng.choice(["a.x.org", "a.x.org", "b.x.org", "c.y.com", "d.z.de", None])
+        like = [rng.uniform(-9, 0) for _ in names] if rng.random() < 0.9 else [0.0] * 3
+        rows.append((i, None, host, host and ".".join(host.split(".")[-2:]), host and host.split(".")[-1], rng.choice(["en", "de", "xx", None]), like))
+    shape = "doc_id long, page_id long, host string, domain string, suffix string, declared string, likelihood array<double>"
+    got = {r.doc_id: r for r in language.fused(spark.createDataFrame(rows, shape).repartition(3), names).collect()}
+    vote = {i: max(range(3), key=lambda k: like[k]) if max(like) > min(like) else None for i, *_, like in rows}
+
+    def votes(test):
+        return [sum(vote[r[0]] == k for r in rows if test(r)) for k in range(3)]
+
+    def smooth(v, up):
+        return [(x + 5 * u) / (sum(v) + 5) for x, u in zip(v, up)]
+
+    flag = {r[0]: r[5] if r[5] in names else "-" if r[5] is None else "?" for r in rows}
+
+    def likelihoods(of):
+        kinds = {of(r) for r in rows}
+        tables = {x: votes(lambda r: of(r) == x) for x in kinds}
+        return {x: [math.log((t[k] + 1) / (sum(u[k] for u in tables.values()) + len(kinds))) for k in range(3)] for x, t in tables.items()}
+
+    base = [x + 1 for x in votes(lambda r: True)]
+    base = [x / sum(base) for x in base]
+    by_flag, by_tail = likelihoods(lambda r: flag[r[0]]), likelihoods(lambda r: r[4])
+    for r in rows:
+        prior = smooth(votes(lambda q: q[4] == r[4]), base)
+        prior = smooth(votes(lambda q: q[3:5] == r[3:5]), prior)
+        prior = smooth(votes(lambda q: q[2:5] == r[2:5]), prior)
+        total = [r[6][k] + math.log(prior[k]) + by_flag[flag[r[0]]][k] + by_tail[r[4]][k] for k in range(3)]
+        best = max(total)
+        assert got[r[0]].lang == names[total.index(best)]
+        assert abs(got[r[0]].score - 1 / sum(math.exp(t - best) for t in total)) < 1e-5
+
+
+def test_bpe_on_letters_and_marks_of_any_age():
+    import unicodedata
+
+    import public_tokenizers
+    from symweave.llm import bpe_trie
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(bpe_trie.TOKENIZER)
+    lib, bpe = Tokenizer.from_file(path), bpe_trie.TrieBpe(open(path, encoding="utf-8").read())
+    rng = random.Random(1)
+    marks = [c for c in range(0x300, 0x11000) if unicodedata.combining(chr(c))]
+    letters = [c for c in range(0x41, 0x3000) if chr(c).isalpha()]
+    texts = ["a\u1df6\u0323", "a\u1ac1\u0323", "a\u08d3\u0301", "\u1100\u1161\u11a8 \uac00\u11a8", "\u304b\u3099", "\u2000\u212b\u037e", "Σ İ ǅ ﬁ"]
+    texts += ["".join(chr(rng.choice(letters)) + "".join(chr(rng.choice(marks)) for _ in range(rng.randrange(3))) for _ in range(rng.randrange(1, 4))) for _ in range(100_000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x500), rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(6)) for _ in range(20_000)]
+    for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False)):
+        assert bpe.encode(text) == want.ids, ascii(text)

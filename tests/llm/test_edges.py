@@ -62,10 +62,11 @@ def pages_of(docs):
 
 RUNS = {
     "substring": lambda d, y: substring_dedup.parsed(d, "digest"),
+    "substring_factors": lambda d, y: substring_dedup.parsed(d, "factors").withColumn("factors", F.transform("factors", lambda f: f["length"])),
     "substring_text": lambda d, y: substring_dedup.parsed(d, "text"),
     "toxicity": lambda d, y: judged(d, y, toxicity, "toxic"),
     "flac": lambda d, y: flac.digests(d),
-    "pcm": lambda d, y: flac.pcm_blocks(flac.stored(d.filter("doc_id <> 6"))),
+    "pcm": lambda d, y: flac.pcm_blocks(flac.stored(d)),
     "bpe": lambda d, y: bpe_trie.digests(d),
     "bpe_ids": lambda d, y: bpe_trie.encoded(d),
     "mixing": lambda d, y: mixing.mixed(d),
@@ -79,7 +80,7 @@ RUNS = {
     "exact": lambda d, y: exact_dedup.assign(d),
     "exact_docs": lambda d, y: exact_dedup.deduplicated(d),
 }
-PER_ROW = {"substring", "substring_text", "toxicity", "flac", "bpe", "bpe_ids", "mixing", "quality", "pii", "simhash", "exact"}
+PER_ROW = {"substring", "substring_text", "substring_factors", "toxicity", "flac", "bpe", "bpe_ids", "quality", "pii", "simhash", "exact"}
 
 
 @pytest.mark.parametrize("name", RUNS)
@@ -123,17 +124,88 @@ def test_mixing_keeps_to_budget_and_limit(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for entropy, repeats in ((0.99, 100.0), (1.0, 2.0), (0.0, 4.0)):
         got = mixing.mixed(docs, entropy=entropy, repeats=repeats).toPandas()
-        total = got.n_tokens.sum()
-        took = (got.n_tokens * got.copies).groupby(got.source).sum()
-        weight = got.groupby("source").weight.first()
+        once = got.drop_duplicates("doc_id")
+        total = once.n_tokens.sum()
+        took = (once.n_tokens * once.copies).groupby(once.source).sum()
+        weight = once.groupby("source").weight.first()
         assert abs(weight.sum() - 1) < 1e-6
         assert (abs(took - weight * total) <= 7 + 1e-3).all()  # within one document
-        assert got.copies.max() <= repeats + 1
+        assert once.copies.max() <= repeats + 1 and len(got) == once.copies.clip(lower=1).sum()
         if entropy == 0.0:
-            assert (got.copies == 1).all()
+            assert (once.copies == 1).all()
     drawn = mixing.drawn(docs, entropy=1.0, repeats=100.0)
-    want = mixing.mixed(docs, entropy=1.0, repeats=100.0).agg(F.sum("copies")).first()[0]
-    assert drawn.columns == docs.columns and drawn.count() == want
+    want = mixing.mixed(docs, entropy=1.0, repeats=100.0).filter("copies > 0").groupBy("doc_id").count().collect()
+    assert drawn.columns == docs.columns and sorted(map(tuple, drawn.groupBy("doc_id").count().collect())) == sorted(map(tuple, want))
+
+
+def test_mixing_of_rows_that_repeat(spark):
+    """Rows with one doc_id and text are rows of their own: an extra pass takes as many of them as fit."""
+    docs = spark.createDataFrame([(None, "a b", "x")] * 900 + [(k, "c d", "y") for k in range(100)], "doc_id long, text string, source string")
+    got = mixing.mixed(docs, entropy=1.0, repeats=100.0).groupBy("source", "pass").count().collect()
+    found = {(r.source, r["pass"]): r["count"] for r in got if r["pass"] is not None}
+    assert found[("x", 1)] == 500 and found[("y", 1)] == 100 and found[("y", 5)] >= 99
+
+
+def test_near_duplicates_lose_no_text(spark):
+    a, b = prose(60, 21), prose(60, 22)
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (2, b, 3), (None, a + " end", 4), (None, prose(60, 23), 5), (None, prose(60, 23), 6), (3, None, 7), (4, "", 8)]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", a), ("2", b), ("None", prose(60, 23)), ("3", "")])
+
+
+def test_one_row_of_a_repeated_doc_id_is_learnt_from(spark):
+    from symweave.llm.labelled import training_rows
+
+    sent = []
+    docs = spark.range(200_000).selectExpr("7L AS doc_id", "concat('some text ', id % 1000) AS text").unionByName(spark.createDataFrame([(8, "other")], "doc_id long, text string"))
+    y, rows = training_rows(docs, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, y int"), quality.terms)
+    sent = quality.terms(*_bytes("some text 0"))[1]
+    assert y.tolist() == [1.0, 0.0] and sorted(rows[0]) == sorted(set(sent.tolist()))
+
+
+def _bytes(text):
+    import pyarrow as pa
+
+    from symweave.llm.shared import text_bytes
+
+    return text_bytes(pa.array([text]))
+
+
+def test_every_language_of_the_sample_is_learnt(spark):
+    """A hundred languages of few documents each: none is left out."""
+    rows = [(i, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}q{k}" for _ in range(30)), f"l{k:03}", "s") for i, k in enumerate(list(range(100)) * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(docs)
+    assert len(model.names) == 100
+    got = language.identified(docs, spark.createDataFrame([], "page_id long, url string, html string")).collect()
+    assert sum(r.lang == rows[r.doc_id][2] for r in got) > 390
+
+
+def test_linear_in_one_long_text():
+    import time
+
+    import pyarrow as pa
+
+    text = " ".join(f"user.name{k}@mail.example.org 10.0.0.{k % 256} and" for k in range(23_000))
+    began = time.time()
+    batch = next(pii._found(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])))
+    assert batch.column(1)[0].as_py() == batch.column(2)[0].as_py() == 23_000 and time.time() - began < 6
+    began = time.time()
+    assert language.declared_language("<html " * 170_000) is None and language.declared_language("<HTML class=a lang = 'Fr'>") == "fr"
+    assert language.declared_language("<htmlx lang=de><html lang=en>") == "en" and language.declared_language("<html><p lang=en>") is None
+    language.plain_text("<html " * 170_000)
+    assert time.time() - began < 3
+
+
+def test_meet_agrees_with_a_join(spark):
+    from symweave.llm.shared import meet
+
+    left = spark.createDataFrame([(k % 7 if k % 5 else None, k) for k in range(300)], "k long, x long")
+    right = spark.createDataFrame([(None, "n", 60), *[(k, f"v{k}", 40) for k in range(5)]], "k long, v string, n long")
+    for how in ("inner", "left"):
+        want = left.join(right, left["k"].eqNullSafe(right["k"]), how).select(left["k"], "x", "v").collect()
+        for most in (0, 2, 100):
+            assert sorted(map(repr, meet(left, right, ["k"], "n", how, most).collect())) == sorted(map(repr, want))
 
 
 def test_bpe_memo_may_start_anew(spark, docs, monkeypatch):
