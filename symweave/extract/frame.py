@@ -13,6 +13,7 @@ from symweave.extract import blocks, markup, python_source, routes
 from symweave.extract.model import Found
 from symweave.graph import Graph
 from symweave.plans.staging import staged
+from symweave.sources.tree import hashed
 from symweave.schema import EDGES, FILES, NODES, REFS, conform
 
 MOST = 1 << 20
@@ -72,6 +73,6 @@ def indexed(sources: DataFrame) -> Graph:
     nodes = found.select("path", "language", F.explode("nodes").alias("n")).select(F.col("path").alias("file_path"), "language", "n.*").withColumn("updated_at", now)
     edges = found.select(F.explode("edges").alias("e")).select("e.*").withColumn("edge_id", F.monotonically_increasing_id())
     refs = found.select("path", "language", F.explode("refs").alias("r")).select(F.col("path").alias("file_path"), "language", "r.*").withColumn("ref_id", F.monotonically_increasing_id())
-    facts = sources.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), F.octet_length("content").cast("long").alias("size"))
+    facts = hashed(sources)
     files = found.select("path", "language", F.size("nodes").alias("node_count"), "errors").join(facts, "path").withColumn("indexed_at", now)
     return Graph(conform(nodes, NODES), conform(edges, EDGES), conform(files, FILES), staged(conform(refs, REFS), "refs"))

@@ -16,6 +16,7 @@ class Found:
     edges: list[dict] = field(default_factory=list)
     refs: list[dict] = field(default_factory=list)
     errors: list[dict] = field(default_factory=list)
+    routes: set[str] = field(default_factory=set)
 
     def file(self, lines: int) -> str:
         name = self.path.rsplit("/", 1)[-1]

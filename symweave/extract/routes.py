@@ -67,8 +67,9 @@ def register(plugin: Plugin) -> None:
 
 def _add(found: Found, framework: str, method: str, path: str, line: int, handler: str | None, kind: str = "references") -> None:
     ident = f"route:{found.path}:{line}:{method}:{path}"
-    if any(n["id"] == ident for n in found.nodes[-50:]):
+    if ident in found.routes:
         return
+    found.routes.add(ident)
     found.nodes.append({"id": ident, "kind": "route", "name": f"{method} {path}".strip(), "qualified_name": f"{found.path}::{method}:{path}", "start_line": line, "end_line": line, "signature": framework})
     if handler:
         found.ref(ident, handler, kind, line)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from symweave.functions.paths import dirname, is_affected_test
 from symweave.graph import Graph
 from symweave.operators.traversal import ancestors, children
-from symweave.plans.fixpoint import reach, strong_components
+from symweave.plans.fixpoint import reach, strong_components, ways
+from symweave.plans.staging import staged
 
 #: Kinds that are never reported as unused.
 STRUCTURAL = ("file", "module", "import", "export", "route")
@@ -67,6 +68,16 @@ def cycles(graph: Graph) -> DataFrame:
     return strong_components(deps.select(F.col("path").alias("a"), F.col("depends_on").alias("b"))).select(F.col("id").alias("path"), "component")
 
 
+def cycle_lists(graph: Graph) -> DataFrame:
+    """(component, files): one import cycle of each strongly connected component, a shortest one through its smallest file, from which it is listed."""
+    inside = staged(cycles(graph), "cycles")
+    deps = file_dependencies(graph).join(inside.select("path", "component"), "path").join(inside.select(F.col("path").alias("depends_on"), F.col("component").alias("other")), "depends_on")
+    steps = deps.filter("component = other").select(F.col("path").alias("a"), F.col("depends_on").alias("b"))
+    ends = inside.select(F.col("component").alias("root"), F.col("component").alias("id")).distinct()
+    found = ways(ends, steps, F.col("id") == F.col("root"))
+    return found.select(F.col("root").alias("component"), F.slice("way", 1, F.size("way") - 1).alias("files"))
+
+
 def metrics(graph: Graph, roots: DataFrame) -> DataFrame:
     """incoming, outgoing, calls, callers, children and depth of every root."""
     e = graph.edges

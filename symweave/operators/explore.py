@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -87,17 +85,16 @@ def ranked_clusters(found: DataFrame, key: str = "file_path") -> DataFrame:
 
 
 def packed(found: DataFrame, most: int, size: str = "size", key: str = "file_path") -> DataFrame:
-    """found with taken: clusters in order of place as long as they fit; one that does not is passed over. One file at a time."""
+    """found with taken: clusters in order of place as long as they fit; one that does not is passed over.  The clusters of a file are folded in one expression."""
+    rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("place"), F.col(size).cast("long").alias("size"), F.struct(*found.columns).alias("row")))).alias("rows"))
+    none = F.array().cast("array<boolean>")
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, taken = most, []
-        pdf = pdf.sort_values("place")
-        for n in pdf[size]:
-            taken.append(bool(n <= left))
-            left -= n if n <= left else 0
-        return pdf.assign(taken=taken)
+    def fold(state: Column, row: Column) -> Column:
+        fits = row["size"] <= state["left"]
+        return F.struct((state["left"] - F.when(fits, row["size"]).otherwise(0)).alias("left"), F.concat(state["taken"], F.array(fits)).alias("taken"))
 
-    return found.groupBy(key).applyInPandas(take, StructType([*found.schema.fields, StructField("taken", BooleanType())]))
+    folded = F.aggregate("rows", F.struct(F.lit(most).cast("long").alias("left"), none.alias("taken")), fold, lambda state: state["taken"])
+    return rows.select(F.explode(F.arrays_zip("rows", folded.alias("taken"))).alias("x")).select("x.rows.row.*", "x.taken")
 
 
 def relationships(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:

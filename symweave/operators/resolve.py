@@ -2,7 +2,7 @@
 
 Names such as `get` have many references and many bearers.  Bearers are first reduced to the best one of each combination of what the score
 looks at (name, leading directories, language, kind, exported), so a reference meets a bounded number of candidates,
-however often its name occurs.
+however often its name occurs.  Ends of paths and of qualified names are looked up by key: what follows a separator, and what stands before it.
 """
 
 from __future__ import annotations
@@ -44,25 +44,56 @@ def _rows(found: DataFrame, confidence: Column | float, by: str) -> DataFrame:
     return found.select("ref_id", "target", (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), F.lit(by).alias("resolved_by"))
 
 
+def _cut(c: Column, separator: str, plain: str) -> tuple[Column, Column]:
+    """What stands before the first separator, and the rest with it."""
+    head = F.regexp_extract(c, f"^{plain}*", 0)
+    return head, F.substring(c, F.length(head) + 1, F.length(c))
+
+
+def _by_end(wanted: DataFrame, bearers: DataFrame, of: str, separator: str, plain: str) -> DataFrame:
+    """(ref_id, target): the smallest target whose `of` is longer than the reference name and ends with it.
+
+    A name is cut at its first separator; a bearer at each of its separators.  Equal rests meet, and there the ends of the part before
+    the separator are looked up, so the result is as large as the references, however many bearers end alike.
+    """
+    head, rest = _cut(F.col("reference_name"), separator, plain)
+    wanted = wanted.select("ref_id", head.alias("head"), rest.alias("rest"))
+    tails = F.regexp_extract_all(of, F.lit(f"(?:{separator}){plain}*"), 0)
+    first = F.regexp_extract(of, f"^{plain}*", 0)
+    places = F.transform(
+        tails, lambda t, i: F.struct(F.when(i == 0, first).otherwise(F.regexp_replace(F.get(tails, i - 1), f"^(?:{separator})", "")).alias("part"), F.array_join(F.slice(tails, i + 1, F.size(tails)), "").alias("rest"), (i > 0).alias("more"))
+    )
+    cut = bearers.select("target", F.explode(places).alias("x")).select("target", "x.*").join(wanted.select("rest").distinct(), "rest", "left_semi")
+    cut = cut.groupBy("rest", "part", "more").agg(F.min("target").alias("target"))
+    # A proper end of the part, or the whole of it where something stands before.
+    ends = F.transform(F.sequence(F.when(F.col("more"), 1).otherwise(2), F.length("part") + 1), lambda k: F.substring("part", k, F.length("part")))
+    ends = F.when(F.col("more") | (F.length("part") > 0), ends)
+    keys = cut.withColumn("head", F.explode(ends)).groupBy("rest", "head").agg(F.min("target").alias("target"))
+    return wanted.join(keys, ["rest", "head"]).select("ref_id", "target")
+
+
 def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Paths: the same path .95, a longer path with that end .85, the only file of that name .7."""
     wanted = refs.filter(F.col("reference_name").contains("/")).select("ref_id", "reference_name", basename(F.col("reference_name")).alias("file"))
     files = nodes.filter("kind = 'file'").select(F.col("id").alias("target"), F.col("name").alias("file"), "file_path", "qualified_name")
-    sole = files.groupBy("file").agg((F.count("*") == 1).alias("sole"))
-    name = F.col("reference_name")
-    confidence = F.when((F.col("qualified_name") == name) | (F.col("file_path") == name), 0.95).when(F.col("qualified_name").endswith(name) | F.col("file_path").endswith(name), 0.85).when(F.col("sole"), 0.7)
-    found = _rows(wanted.join(files, "file").join(sole, "file"), confidence, "file-path").filter("confidence is not null")
+    both = files.select("target", "file", F.explode(F.array_distinct(F.array("file_path", "qualified_name"))).alias("path")).filter(basename(F.col("path")) == F.col("file"))
+    whole = both.groupBy(F.col("path").alias("reference_name")).agg(F.min("target").alias("target"))
+    sole = files.groupBy("file").agg(F.min("target").alias("target"), F.count("*").alias("n")).filter("n = 1")
+    found = _rows(wanted.join(whole, "reference_name"), 0.95, "file-path").unionAll(_rows(_by_end(wanted, both, "path", "/", "[^/]"), 0.85, "file-path")).unionAll(_rows(wanted.join(sole, "file"), 0.7, "file-path"))
     return _first(found, F.desc("confidence"), F.asc("target"))
 
 
 def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Qualified names: the only bearer .95; else a longer qualified name with that end .85."""
+    """Qualified names: the only bearer .95; else a qualified name with that end .85."""
     name = F.col("reference_name")
-    wanted = refs.filter(name.contains("::") | name.contains(".")).select("ref_id", "reference_name", F.regexp_extract(name, r"([^:.]*)$", 1).alias("last"))
-    whole = nodes.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("id").alias("target"), F.count("*").alias("n")).filter("n = 1")
-    full = _rows(wanted.join(whole, "reference_name"), 0.95, "qualified-name")
-    ends = nodes.groupBy(F.col("name").alias("last"), F.col("qualified_name").alias("q")).agg(F.min("id").alias("target"))
-    part = _rows(wanted.filter("last <> ''").join(ends, "last").filter(F.col("q").endswith(name)), 0.85, "qualified-name")
+    last = r"([^:.]*)$"
+    wanted = refs.filter(name.contains("::") | name.contains(".")).select("ref_id", "reference_name", F.regexp_extract(name, last, 1).alias("last"))
+    bearers = nodes.select("qualified_name", F.col("id").alias("target"), "name")
+    whole = bearers.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("target").alias("target"), F.count("*").alias("n"), F.min(F.when(F.col("name") == F.regexp_extract("qualified_name", last, 1), F.col("target"))).alias("own"))
+    met = wanted.join(whole, "reference_name")
+    full = _rows(met.filter("n = 1"), 0.95, "qualified-name").unionAll(_rows(met.filter("n > 1 and last <> '' and own is not null").withColumn("target", F.col("own")), 0.85, "qualified-name"))
+    named = bearers.filter((F.col("name") != "") & (F.col("name") == F.regexp_extract("qualified_name", last, 1)))
+    part = _rows(_by_end(wanted.filter("last <> ''"), named, "qualified_name", r"::|\.", "[^:.]"), 0.85, "qualified-name")
     return _first(full.unionAll(part), F.desc("confidence"), F.asc("target"))
 
 
@@ -86,14 +117,16 @@ def by_method_call(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     typed = _rows(wanted.filter(capital != F.col("receiver")).withColumn("receiver", capital).join(members, keys), 0.8, "instance-method")
     spoken = methods.groupBy("method", F.col("spoken").alias("language")).agg(F.min("target").alias("target"), F.count("*").alias("n"))
     sole = _rows(wanted.join(spoken.filter("n = 1"), ["method", "language"]), 0.7, "instance-method")
-    # Several methods of the name: those of the language, or all where it has none.
-    held = wanted.join(spoken.select("method", "language", "n"), ["method", "language"], "left")
-    bearers = methods.groupBy("method", "spoken", "qualified_name").agg(F.min("target").alias("target"))
-    shared = F.size(F.array_intersect(_words(F.col("receiver")), _words(F.col("qualified_name"))))
-    met = held.filter("n is null or n > 1").join(bearers, "method").filter("n is null or spoken = language")
-    met = met.withColumn("score", shared + F.when(F.col("spoken") == F.col("language"), 1).otherwise(0)).filter("score >= 2")
-    place = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("score"), "target"))
-    alike = _rows(met.withColumn("place", place).filter("place = 1"), 0.65, "instance-method")
+    # Several methods of the name: those of the language, or all where it has none.  Equal questions and equal bearers count once, and only those
+    # that share a word meet.
+    held = wanted.join(spoken.select("method", "language", "n"), ["method", "language"], "left").filter("n is null or n > 1").withColumn("asked", F.array_sort(_words(F.col("receiver"))))
+    asks = held.select("method", "language", "n", "asked").distinct().withColumn("word", F.explode("asked"))
+    bearers = methods.groupBy("method", "spoken", F.array_sort(_words(F.col("qualified_name"))).alias("words")).agg(F.min("target").alias("target")).withColumn("word", F.explode("words"))
+    met = asks.join(bearers, ["method", "word"]).filter("n is null or spoken = language").groupBy("method", "language", "asked", "target", "spoken").agg(F.count("*").alias("shared"))
+    met = met.withColumn("score", F.col("shared") + F.when(F.col("spoken") == F.col("language"), 1).otherwise(0)).filter("score >= 2")
+    place = F.row_number().over(Window.partitionBy("method", "language", "asked").orderBy(F.desc("score"), "target"))
+    best = met.withColumn("place", place).filter("place = 1").select("method", "language", "asked", "target")
+    alike = _rows(held.join(best, ["method", "language", "asked"]), 0.65, "instance-method")
     return _first(own.unionAll(typed).unionAll(sole).unionAll(alike), F.desc("confidence"), F.asc("target"))
 
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.graph import Graph
 from symweave.operators.lookups import between
-from symweave.plans.fixpoint import layered_reach, reach
+from symweave.plans.fixpoint import layered_reach, reach, ways
 from symweave.plans.staging import staged
 from symweave.schema import CONTAINERS
 
@@ -49,8 +50,33 @@ def bfs(graph: Graph, roots: DataFrame, depth: int | None = None, kinds: Iterabl
         place = F.row_number().over(Window.partitionBy("root").orderBy("dist", "id"))
         found = staged(found.withColumn("place", place).filter(F.col("place") <= limit).drop("place"), "ball")
     ends = found.select("root", "id")
-    edges = graph.of_kind(*kinds).join(ends.withColumnsRenamed({"id": "source"}), "source").join(ends.withColumnsRenamed({"id": "target", "root": "other"}), "target")
-    return found, edges.filter("root = other").select("root", "source", "target", "kind")
+    edges = graph.of_kind(*kinds).join(ends.withColumnRenamed("id", "source"), "source").join(ends.withColumnRenamed("id", "target"), ["root", "target"])
+    return found, edges.select("root", "source", "target", "kind")
+
+
+def dfs(graph: Graph, roots: DataFrame, depth: int = 3, kinds: Iterable[str] = (), node_kinds: Iterable[str] = (), direction: str = "out", limit: int = 1000) -> DataFrame:
+    """(root, id, dist, place): the nodes of bfs() with the same arguments in depth-first order, neighbours by id; dist counts the steps of the walk.
+
+    The walk of a root is one task's work, over `limit` nodes at most.
+    """
+    found, edges = bfs(graph, roots, depth, kinds, node_kinds, direction, limit)
+    steps = adjacency(edges, direction).filter("a <> b").select("root", "a", "b").distinct()
+    steps = found.select("root", F.lit(None).cast("string").alias("a"), F.col("id").alias("b")).filter("root = b").unionByName(steps)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for a, b in sorted(zip(pdf["a"].fillna(""), pdf["b"]), reverse=True):
+            near.setdefault(a, []).append(b)
+        rows, seen, stack = [], set(), [(pdf["root"].iloc[0], 0)]
+        while stack:
+            at, dist = stack.pop()
+            if at not in seen:
+                seen.add(at)
+                rows.append((pdf["root"].iloc[0], at, dist, len(rows) + 1))
+                stack += [(b, dist + 1) for b in near.get(at, ())]
+        return pd.DataFrame(rows, columns=["root", "id", "dist", "place"])
+
+    return steps.groupBy("root").applyInPandas(walk, "root string, id string, dist int, place int")
 
 
 def _called(graph: Graph, roots: DataFrame, depth: int, kinds: Iterable[str], direction: str) -> DataFrame:
@@ -100,7 +126,7 @@ def impact(graph: Graph, roots: DataFrame, depth: int = 3) -> tuple[DataFrame, D
     free = adjacency(graph.of_kind("contains"), "out").select("a", "b").join(holders, "a", "left_semi").join(graph.nodes.select(F.col("id").alias("b")), "b", "left_semi")
     found = layered_reach(roots, paid, free, depth)
     ends = found.select("root", "id")
-    edges = graph.edges.join(ends.withColumnRenamed("id", "source"), "source").join(ends.withColumnsRenamed({"id": "target", "root": "other"}), "target").filter("root = other")
+    edges = graph.edges.join(ends.withColumnRenamed("id", "source"), "source").join(ends.withColumnRenamed("id", "target"), ["root", "target"])
     return found, edges.select("root", "source", "target", "kind", "line")
 
 
@@ -112,24 +138,11 @@ def merged_impact(graph: Graph, roots: DataFrame, depth: int = 3) -> tuple[DataF
 
 def path(graph: Graph, start: str, goal: str, kinds: Iterable[str] = (), most: int | None = None) -> DataFrame:
     """(step, id): a shortest path along edges, of such paths the one with the smallest ids first; no rows where there is none."""
-    spark = graph.nodes.sparkSession
-    steps = staged(graph.of_kind(*kinds).select(F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b").distinct(), "steps")
-    back = steps.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    goals = roots_of(graph, [goal])
-    shape = "step int, id string"
-    if roots_of(graph, [start]).isEmpty() or goals.isEmpty():
-        return spark.createDataFrame([], shape)
-    left = reach(goals, back, most, F.col("id") == start)
-    own = left.filter(F.col("id") == start).first()
-    if own is None:
-        return spark.createDataFrame([], shape)
-    # Distances to the goal are known: each step takes the smallest neighbour that is one nearer.
-    at, out = start, [(0, start)]
-    for k in range(own["dist"]):
-        near = left.filter(F.col("dist") == own["dist"] - k - 1).select(F.col("id").alias("b"))
-        at = steps.filter(F.col("a") == at).join(near, "b").agg(F.min("b")).first()[0]
-        out.append((k + 1, at))
-    return spark.createDataFrame(out, shape)
+    ends = roots_of(graph, [goal]).join(F.broadcast(roots_of(graph, [start]).select(F.lit(True).alias("there"))), how="left_semi")
+    if start == goal:
+        return ends.select(F.lit(0).alias("step"), "id")
+    steps = adjacency(graph.of_kind(*kinds)).select("a", "b")
+    return ways(ends, steps, F.col("id") == start, most).select(F.posexplode("way").alias("step", "id"))
 
 
 def ancestors(graph: Graph, roots: DataFrame) -> DataFrame:

@@ -5,12 +5,18 @@ Frontiers are written to the shared folder, so plans stay short.  Nothing is col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symweave.plans.staging import staged
 
 
+#: Rounds after which what was seen is written as one table again.
+ROUNDS = 8
+
+
 def reach(starts: DataFrame, steps: DataFrame, depth: int | None = None, stops: Column | None = None) -> DataFrame:
     """(root, id, dist): everything within `depth` steps of each root.
 
@@ -18,17 +24,50 @@ def reach(starts: DataFrame, steps: DataFrame, depth: int | None = None, stops:
     found but not gone on from.  Nodes enter at their smallest distance.
     """
     steps = steps.select("a", "b").filter("a <> b")
-    seen = staged(starts.select("root", "id", F.lit(0).alias("dist")).distinct(), "reach")
-    frontier, dist = seen, 0
+    frontier = staged(starts.select("root", "id", F.lit(0).alias("dist")).distinct(), "reach")
+    parts, dist = [frontier], 0
     while depth is None or dist < depth:
         dist += 1
+        seen = _union(parts)
         going = frontier if stops is None or dist == 1 else frontier.filter(~stops)
         new = going.join(steps, going["id"] == steps["a"]).select("root", F.col("b").alias("id")).distinct()
         new = staged(new.join(seen, ["root", "id"], "left_anti").withColumn("dist", F.lit(dist)), "reach")
         if new.isEmpty():
             break
-        seen, frontier = seen.unionAll(new), new
-    return seen
+        parts, frontier = [*parts, new], new
+        if len(parts) > ROUNDS:
+            parts = [staged(_union(parts[:-1]), "reach", replaces=tuple(parts[:-1])), new]
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def ways(goals: DataFrame, steps: DataFrame, start: Column, depth: int | None = None) -> DataFrame:
+    """(root, way): for each root whose start reaches its goal a shortest way of ids from start to goal, of such ways the one with the smallest ids first.
+
+    goals: (root, id).  start: over root and id, looked at from the first step on.  The walk goes back from the goals; a root whose start is met is
+    not gone on with, and the walk ends when none is left.  Every node keeps the smallest node after it, so ways are put together from the layers.
+    """
+    steps = steps.select("a", "b").filter("a <> b").distinct()
+    layer = staged(goals.select("root", "id").distinct(), "way")
+    layers: list[DataFrame] = []
+    while depth is None or len(layers) < depth:
+        new = layer.join(steps, layer["id"] == steps["b"]).groupBy("root", "a").agg(F.min("id").alias("after")).withColumnRenamed("a", "id")
+        if layers:
+            new = new.join(_union([x.select("root", "id") for x in layers]), ["root", "id"], "left_anti")
+        new = staged(new.select("root", "id", "after", start.alias("met")), "way")
+        layers.append(new)
+        layer = new.join(new.filter("met").select("root").distinct(), "root", "left_anti").select("root", "id")
+        if layer.isEmpty():
+            break
+    found = goals.select("root", F.array("id").alias("way"), F.col("id").alias("at")).limit(0)
+    for new in reversed(layers):
+        # Ways that started further off have come to this layer; those that start here join them.
+        found = found.join(new.select("root", F.col("id").alias("at"), "after"), ["root", "at"]).select("root", F.concat("way", F.array("after")).alias("way"), F.col("after").alias("at"))
+        found = found.unionByName(new.filter("met").select("root", F.array("id", "after").alias("way"), F.col("after").alias("at")))
+    return found.select("root", "way")
 
 
 def layered_reach(starts: DataFrame, paid: DataFrame, free: DataFrame, depth: int) -> DataFrame:

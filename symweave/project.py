@@ -53,7 +53,7 @@ class Project:
     def sync(self) -> DataFrame:
         """Brings the graph up to date; returns the changes (path, change). The result equals a full index."""
         sources = tree.read(self.spark, self.root)
-        now = sources.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
+        now = tree.hashed(sources)
         found = staged(changes.changed(self.graph.files, now), "changes")
         if not found.isEmpty():
             store.save(rebuilt(self.graph, sources, found), self.at)

@@ -12,17 +12,22 @@ from symweave.functions.paths import glob_regex
 MOST = 2000
 
 
+def _beyond(n: int, limit: int, before: str = "") -> list[str]:
+    return [f"{before}... and {n - limit} more"] if n > limit else []
+
+
 def files_view(files: DataFrame, style: str = "tree", prefix: str = "", glob: str | None = None, depth: int | None = None, limit: int = MOST) -> str:
-    """Tracked files as a flat list, by language, or as a tree down to a depth."""
+    """Tracked files as a flat list, by language, or as a tree down to a depth; a last line says how many are beyond the limit."""
     rows = files.filter(F.col("path").startswith(prefix))
     if glob:
         rows = rows.filter(F.col("path").rlike(glob_regex(glob)))
     if style == "grouped":
         found = rows.groupBy("language").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, limit).alias("paths")).orderBy(F.desc("n"), "language").collect()
-        return "\n".join(f"{r['language']} ({r['n']})\n" + "\n".join(f"  {p}" for p in r["paths"]) for r in found)
+        return "\n".join(f"{r['language']} ({r['n']})\n" + "\n".join([*(f"  {p}" for p in r["paths"]), *_beyond(r["n"], limit, "  ")]) for r in found)
     paths = [r["path"] for r in rows.select("path").orderBy("path").limit(limit).collect()]
+    more = _beyond(rows.count(), limit) if len(paths) == limit else []
     if style == "flat":
-        return "\n".join(paths)
+        return "\n".join(paths + more)
     out: list[str] = []
     open_: list[str] = []
     for path in paths:
@@ -34,7 +39,24 @@ def files_view(files: DataFrame, style: str = "tree", prefix: str = "", glob: st
             if depth is None or k < depth:
                 out.append("  " * k + parts[k] + ("/" if k < len(parts) - 1 else ""))
         open_ = parts[:-1]
-    return "\n".join(out)
+    return "\n".join(out + more)
+
+
+def impact_view(nodes: DataFrame, limit: int = MOST) -> str:
+    """Touched symbols (id, dist, name, kind, file_path, start_line) by file, the nearest files first."""
+    rows = nodes.orderBy("dist", "file_path", "start_line", "id").limit(limit).collect()
+    by_file: dict[str, list] = {}
+    for r in rows:
+        by_file.setdefault(r["file_path"], []).append(r)
+    parts = [f"{path} ({len(found)})\n" + "\n".join(f"  {r['kind']} {r['name']}:{r['start_line']} at {r['dist']}" for r in found) for path, found in by_file.items()]
+    return "\n".join(parts + (_beyond(nodes.count(), limit) if len(rows) == limit else []))
+
+
+def outline(node, members: DataFrame, limit: int = 100) -> str:
+    """A container and its members, in order of their lines."""
+    rows = members.orderBy("start_line", "id").limit(limit).collect()
+    lines = [f"  {r['kind']} {r['name']}{(' ' + r['signature']) if r['signature'] else ''} ({r['start_line']}-{r['end_line']})" for r in rows]
+    return "\n".join([f"{node['kind']} {node['qualified_name']} ({node['file_path']}:{node['start_line']})", *lines, *(_beyond(members.count(), limit, "  ") if len(rows) == limit else [])])
 
 
 def node_details(nodes: DataFrame, limit: int = 20) -> str:

@@ -1,9 +1,16 @@
-"""Graphs on disk: Parquet tables in a directory, written as a whole and swapped in."""
+"""Graphs on disk: Parquet tables in a directory, written as a whole and swapped in by one rename.
+
+The graph that a save replaces stays until the next save, for those who read it; one writer at a time holds the lock.
+"""
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,34 +27,82 @@ def _fs(spark: SparkSession, path: str):
     return jvm.org.apache.hadoop.fs.Path, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+@contextlib.contextmanager
+def locked(spark: SparkSession, root: str) -> Iterator[None]:
+    """Holds the root's lock; raises RuntimeError where another writer has it."""
+    path_of, fs = _fs(spark, root)
+    at = path_of(f"{root.rstrip('/')}/lock")
+    try:
+        fs.create(at, False).close()
+    except Py4JJavaError as why:
+        if not fs.exists(at):
+            raise
+        raise RuntimeError(f"another writer holds {at.toString()}; remove it if there is none") from why
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
 def save(graph: Graph, root: str) -> None:
     """Writes all tables under a new name, then makes it the current one: readers see the old graph or the new one.
 
     Nodes are sorted by name within language directories and edges by source, so lookups read few row groups.
     """
-    spark = graph.nodes.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    base = f"{root.rstrip('/')}/{name}"
-    conform(graph.nodes, NODES).repartitionByRange("language", "name").sortWithinPartitions("language", "name").write.partitionBy("language").parquet(f"{base}/nodes")
-    conform(graph.edges, EDGES).repartitionByRange("source").sortWithinPartitions("source").write.parquet(f"{base}/edges")
-    for table in ("files", "refs"):
-        df = getattr(graph, table)
-        (conform(df, TABLES[table]) if df is not None else spark.createDataFrame([], TABLES[table])).write.parquet(f"{base}/{table}")
-    before = current(spark, root)
-    spark.createDataFrame([(name, VERSION)], "name string, version int").coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/current")
-    if before:
-        drop(spark, f"{root.rstrip('/')}/{before}")
+    spark, root = graph.nodes.sparkSession, root.rstrip("/")
+    with locked(spark, root):
+        name = f"v-{uuid.uuid4().hex}"
+        base = f"{root}/{name}"
+        conform(graph.nodes, NODES).repartitionByRange("language", "name").sortWithinPartitions("language", "name").write.partitionBy("language").parquet(f"{base}/nodes")
+        conform(graph.edges, EDGES).repartitionByRange("source").sortWithinPartitions("source").write.parquet(f"{base}/edges")
+        for table in ("files", "refs"):
+            df = getattr(graph, table)
+            (conform(df, TABLES[table]) if df is not None else spark.createDataFrame([], TABLES[table])).write.parquet(f"{base}/{table}")
+        before = current(spark, root)
+        _swap(spark, root, json.dumps({"name": name, "version": VERSION}))
+        path_of, fs = _fs(spark, root)
+        for old in fs.listStatus(path_of(root)):
+            found = old.getPath().getName()
+            if found.startswith("v-") and found not in (name, before):
+                fs.delete(old.getPath(), True)
+
+
+def _swap(spark: SparkSession, root: str, content: str) -> None:
+    """Puts content in the file `current`, by one rename."""
+    path_of, fs = _fs(spark, root)
+    fresh = path_of(f"{root}/current-{uuid.uuid4().hex}")
+    out = fs.create(fresh, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    sc = spark.sparkContext
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), sc._jsc.hadoopConfiguration()) if fresh.isUriPathAbsolute() and fresh.toUri().getScheme() else sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(sc._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(fresh), files.makeQualified(path_of(f"{root}/current")), how)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     path_of, fs = _fs(spark, root)
-    at = f"{root.rstrip('/')}/current"
-    if not fs.exists(path_of(at)):
+    at = path_of(f"{root.rstrip('/')}/current")
+    if not fs.exists(at):
         return None
-    row = spark.read.schema("name string, version int").json(at).first()
-    if row and row["version"] > VERSION:
+    stream = fs.open(at)
+    row = json.loads(bytes(stream.readAllBytes()).decode())
+    stream.close()
+    if row["version"] > VERSION:
         raise ValueError(f"the graph at {root} has version {row['version']}, newer than {VERSION}")
-    return row and row["name"]
+    return row["name"]
+
+
+def cleared(spark: SparkSession, root: str) -> None:
+    """Removes the graph and all versions at root."""
+    drop(spark, root)
+
+
+def optimized(spark: SparkSession, root: str) -> None:
+    """Writes the current graph anew, in sorted files of an even size."""
+    save(load(spark, root), root)
 
 
 def load(spark: SparkSession, root: str) -> Graph:

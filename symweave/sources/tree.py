@@ -72,7 +72,7 @@ def listed(spark: SparkSession, root: str, include: Iterable[str] = INCLUDE, exc
 
 
 def read(spark: SparkSession, root: str, include: Iterable[str] = INCLUDE, exclude: Iterable[str] = EXCLUDE, most: int = MOST) -> DataFrame:
-    """(path, content, size, modified_at) of the files below root in any store; content is null for files over `most` bytes."""
+    """(path, content, content_hash, size, modified_at) of the files below root in any store; content is null for files over `most` bytes, the hash is of all bytes."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     tail = base.split("://", 1)[-1].split("/", 1)[-1] if "://" in base else base.lstrip("/")
@@ -80,7 +80,27 @@ def read(spark: SparkSession, root: str, include: Iterable[str] = INCLUDE, exclu
     rows = raw.select(path.alias("path"), "length", "modificationTime", "content")
     kept = rows.filter(included(F.col("path"), list(include), list(exclude)))
     text = F.when(F.col("length") <= most, F.decode("content", "UTF-8"))
-    return kept.select("path", text.alias("content"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"))
+    return kept.select("path", text.alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"))
+
+
+def hashed(sources: DataFrame) -> DataFrame:
+    """(path, content_hash, size): as read, or of the text where sources have none."""
+    have = set(sources.columns)
+    own = F.sha2(F.coalesce("content", F.lit("")), 256)
+    return sources.select("path", (F.coalesce("content_hash", own) if "content_hash" in have else own).alias("content_hash"), (F.col("size") if "size" in have else F.octet_length("content")).cast("long").alias("size"))
+
+
+def git_changes(root: str) -> list[tuple[str, str]] | None:
+    """(path, change) of what git's status lists: added, modified or removed; a renamed file is removed and added.  None where git does not see the directory."""
+    done = subprocess.run(["git", "-C", root, "status", "--porcelain", "-z", "--untracked-files=all", "--no-renames"], capture_output=True)
+    if done.returncode:
+        return None
+    found = []
+    for line in done.stdout.decode("utf-8", "surrogateescape").split("\0"):
+        if line:
+            state = line[:2]
+            found.append((line[3:], "removed" if "D" in state else "added" if "?" in state or "A" in state else "modified"))
+    return found
 
 
 def summary(files: DataFrame) -> DataFrame:
