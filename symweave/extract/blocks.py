@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 from symweave.extract.blanking import blank, comment_before
+from symweave.extract import members
 from symweave.extract.model import Found
 
 NAME = r"[A-Za-z_$][\w$]*"
@@ -196,6 +197,7 @@ def extract(found: Found, text: str) -> None:
                     end = len(code) if kind == "module" else close.end() if close else end
             spans[at] = (start, end if end >= 0 else len(code), kind, name, m, head)
     ids: list[tuple[int, int, str, str]] = []
+    symbols: list[tuple[int, int, str, str, int, int]] = []
     open_: list[tuple[int, str, str, str]] = []
     for at in sorted(spans, key=lambda a: (spans[a][0], -spans[a][1])):
         start, end, kind, name, m, head = spans[at]
@@ -248,6 +250,7 @@ def extract(found: Found, text: str) -> None:
             kind, scope = ("method", [receiver])
         ident = found.node(kind, name, line_of(start), line_of(max(start, end - 1)), scope, parent, **facts)
         ids.append((start, end, ident, kind))
+        symbols.append((start, end, ident, kind, at + len(name), start + len(head)))
         open_.append((end, name, kind, ident))
         for edge, pattern in (("extends", table.extends), ("implements", table.implements)):
             if pattern and kind in ("class", "struct", "interface", "trait", "enum"):
@@ -300,3 +303,5 @@ def extract(found: Found, text: str) -> None:
             found.ref(within(at), last, "instantiates", line_of(at), at - lines[line_of(at) - 1])
         else:
             found.ref(within(at), name, "calls", line_of(at), at - lines[line_of(at) - 1])
+    if not table.words and found.language != "pascal":
+        members.extend(found, code, line_of, symbols)
