@@ -36,7 +36,7 @@ COMMON_WORDS = frozenset(
     decides return returns returned take takes taken check checks checked create creates created read reads write writes written start
     starts stop stops run runs running""".split()
 )
-#: What looks like a symbol: camel case, snake case, capitals, dotted names (and their parts), plain words.
+# What looks like a symbol: camel case, snake case, capitals, dotted names (and their parts), plain words.
 SYMBOLS = (
     r"\b(?:[A-Z][a-z]+(?:[A-Z][a-z]*)*|[a-z]+(?:[A-Z][a-z]*)+)\b",
     r"\b[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+\b",
@@ -244,6 +244,19 @@ def relevant(graph: Graph, index: TextIndex, question: str, budget: Budget = Bud
     return kept, between(graph.edges, kept).select("source", "target", "kind").distinct()
 
 
+def summary(kept: DataFrame, edges: DataFrame) -> str:
+    """One line on a retrieved subgraph: its size, its files and its first entry points."""
+    row = kept.agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.count(F.when(F.col("is_root"), 1)).alias("roots")).first()
+    names = [r[0] for r in kept.filter("is_root").orderBy("dist", "id").select("name").limit(3).collect()]
+    more = f" and {row['roots'] - 3} more" if row["roots"] > 3 else ""
+    return f"{row['n']} symbols in {row['files']} files; entry points: {', '.join(names)}{more}; {edges.count()} relationships."
+
+
+def related_files(kept: DataFrame) -> DataFrame:
+    """(file_path): the files of a retrieved subgraph, in order."""
+    return kept.select("file_path").distinct().orderBy("file_path")
+
+
 def code(nodes: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(id, code): the lines of each node out of sources (path, content); cut at `most` letters with a mark."""
     lines = nodes.select("id", "file_path", "start_line", "end_line").join(sources.select(F.col("path").alias("file_path"), "content"), "file_path")

@@ -28,6 +28,8 @@ TIERS = (
     (15000, OutputBudget(35000, 12, 7000, 15, 15, 15)),
     (None, OutputBudget(38000, 14, 7000, 15, 15, 15)),
 )
+#: Projects under so many files get no closing notes.
+SMALL = 500
 CALLS = ((500, 1), (5000, 2), (15000, 3), (25000, 4), (None, 5))
 
 
@@ -112,6 +114,30 @@ def numbered_lines(sources: DataFrame, found: DataFrame, padding: int = 3) -> Da
     return lines.join(spans, "path").filter("line between a and b").select("path", "line", "text").distinct()
 
 
+def numbered_text(rows: list) -> list[str]:
+    """Collected lines (line, text) with their numbers; a gap is marked."""
+    out, before = [], None
+    for r in rows:
+        if before is not None and r["line"] > before + 1:
+            out.append("   ...")
+        out.append(f"{r['line']:>5} {r['text']}")
+        before = r["line"]
+    return out
+
+
+def notes(files: int, shown: int, others: list, facts: list, trimmed: set[str]) -> list[str]:
+    """What an exploration left out, and how many more the project's size allows; small projects get only what was cut."""
+    out = []
+    if files >= SMALL:
+        if others:
+            names = {r["file_path"]: ", ".join(f"{x['name']}:{x['start_line']}" for x in facts if x["file_path"] == r["file_path"]) for r in others}
+            out.append("Further files\n" + "\n".join(f"  {path}: {listed}" for path, listed in names.items()))
+        out.append(f"The relevant parts of {shown} files are shown above. At most {calls_for(files)} explorations are advised for {files} files.")
+    elif trimmed:
+        out.append("Parts of these files were left out: " + ", ".join(sorted(trimmed)))
+    return out
+
+
 def truncated(text: str, most: int = 15000) -> str:
     """The text up to a line's end, if one lies in the last fifth of what is allowed."""
     if len(text) <= most:

@@ -7,33 +7,18 @@ however often its name occurs.  Ends of paths and of qualified names are looked
 
 from __future__ import annotations
 
-import builtins
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symweave.functions.externals import internal
 from symweave.functions.paths import basename, dirname, proximity
 
 CLASSES, CALLABLE = ("class", "struct", "interface"), ("function", "method", "class")
 #: Shared directories count up to the cap of proximity points: 15 each, 80 at most.
 LEVELS, NEAR, CAP = 6, 15, 80
 STRATEGIES = ("file-path", "qualified-name", "instance-method", "exact-match", "fuzzy")
-# Names that every program of a language knows.
-EXTERNAL = {
-    "javascript": frozenset("console window document global process Promise Array Object String Number Boolean Date Math JSON RegExp Error Map Set setTimeout setInterval clearTimeout clearInterval fetch require module exports __dirname __filename".split()),
-    "python": frozenset(n for n in dir(builtins) if not n.startswith("_")),
-}
-
-
-def is_external(refs: DataFrame) -> Column:
-    """References to what a language brings along, by name or receiver."""
-    head = F.regexp_extract("reference_name", r"^([^.:]*)", 1)
-    out = F.lit(False)
-    for languages, names in ((("javascript", "typescript", "jsx", "tsx"), EXTERNAL["javascript"]), (("python",), EXTERNAL["python"])):
-        out |= F.col("language").isin(*languages) & (head.isin(*names))
-    return out
-
 
 def _first(found: DataFrame, *order: Column) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("ref_id").orderBy(*order))
@@ -183,7 +168,7 @@ def resolved(refs: DataFrame, nodes: DataFrame, *stronger: DataFrame) -> DataFra
 
     stronger: candidates of frameworks and imports in order.  The first of at least .9 wins; else the most confident, the earlier of equals.
     """
-    refs = refs.filter(~is_external(refs))
+    refs = internal(refs, nodes)
     parts = [c.select("ref_id", "target", "confidence", "resolved_by").withColumn("turn", F.lit(k)) for k, c in enumerate((*stronger, by_name(refs, nodes)))]
     sure = F.when((F.col("confidence") >= 0.9) & (F.col("turn") < len(stronger)), F.col("turn"))
     return _first(reduce(DataFrame.unionAll, parts), F.asc_nulls_last(sure), F.desc("confidence"), F.asc("turn"), F.asc("target"))

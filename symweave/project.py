@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from symweave.extract import frame
 from symweave.extract.imports import export_table, import_table
 from symweave.graph import Graph
-from symweave.operators import analytics, context, conventions, explore, imports, lookups, resolve, search, textindex, traversal
+from symweave import config, render
+from symweave.functions.paths import language_of
+from symweave.operators import analytics, context, conventions, explore, imports, lookups, resolve, search, symbols, textindex, traversal
 from symweave.plans.staging import staged
+from symweave.schema import CONTAINERS
 from symweave.sources import store, tree
 from symweave.streaming import changes
 
@@ -37,26 +40,44 @@ def rebuilt(graph: Graph, sources: DataFrame, found: DataFrame, aliases=()) -> G
     return linked(Graph(kept.nodes.unionByName(fresh.nodes), kept.edges.unionByName(fresh.edges), kept.files.unionByName(fresh.files), refs), sources, aliases)
 
 
+#: Files that name a project's path aliases, the first that is there.
+ALIAS_FILES = ("tsconfig.json", "jsconfig.json")
+
+
 class Project:
-    """A graph kept at `at` for the tree at `root`."""
+    """A graph kept at `at` for the tree at `root`; settings come from the tree's own file where it has one (see config)."""
 
-    def __init__(self, spark: SparkSession, root: str, at: str):
+    def __init__(self, spark: SparkSession, root: str, at: str, settings: config.Config | None = None):
         self.spark, self.root, self.at = spark, root, at
+        self.settings = settings or config.load(root)
         self._graph: Graph | None = None
         self._index: textindex.TextIndex | None = None
 
+    def sources(self) -> DataFrame:
+        """The files that belong to the project."""
+        found = tree.read(self.spark, self.root, self.settings.include, self.settings.exclude, self.settings.most)
+        if self.settings.languages:
+            found = found.filter(language_of(F.col("path"), F.col("content")).isin(*self.settings.languages))
+        return found
+
+    def aliases(self) -> list:
+        """Path aliases of the project's own settings for its compiler."""
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(ALIAS_FILES) + "}").load(self.root.rstrip("/"))
+        found = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in raw.filter(~F.col("path").contains("/node_modules/")).select("path", F.length("path").alias("n"), F.decode("content", "UTF-8").alias("text")).orderBy(F.desc("n")).limit(64).collect()}
+        return next((imports.aliases_of(found[name]) for name in ALIAS_FILES if name in found), [])
+
     def index(self) -> Graph:
-        store.save(build(tree.read(self.spark, self.root)), self.at)
+        store.save(build(self.sources(), self.aliases()), self.at)
         self._graph = self._index = None
         return self.graph
 
     def sync(self) -> DataFrame:
         """Brings the graph up to date; returns the changes (path, change). The result equals a full index."""
-        sources = tree.read(self.spark, self.root)
+        sources = self.sources()
         now = tree.hashed(sources)
         found = staged(changes.changed(self.graph.files, now), "changes")
         if not found.isEmpty():
-            store.save(rebuilt(self.graph, sources, found), self.at)
+            store.save(rebuilt(self.graph, sources, found, self.aliases()), self.at)
             self._graph = self._index = None
         return found
 
@@ -95,11 +116,50 @@ class Project:
     def status(self) -> DataFrame:
         return analytics.statistics(self.graph)
 
+    def find(self, symbol: str):
+        """(node, note): the one node that a symbol means; see symbols.find."""
+        return symbols.find(self.graph.nodes, self.text, symbol)
+
+    def find_all(self, symbol: str):
+        return symbols.find_all(self.graph.nodes, self.text, symbol)
+
+    def details(self, symbol: str) -> str:
+        """What is known of a symbol; a container with its members."""
+        found, note = self.find(symbol)
+        if found is None:
+            return f'no symbol "{symbol}"'
+        node = lookups.node(self.graph, found["id"])
+        text = render.node_details(node)
+        if found["kind"] in CONTAINERS:
+            held = traversal.children(self.graph, node.select(F.col("id").alias("root"), "id")).select("id")
+            text = render.outline(node.first(), self.graph.nodes.join(held, "id", "left_semi"))
+        return text + (f"\n\n{note}" if note else "")
+
     def explore(self, question: str) -> str:
-        """What a question is about, as text within the budget of the project's size."""
-        allowed = explore.budget_for(self.graph.files.count())
+        """What a question is about, as text within the budget of the project's size: a summary, relationships, numbered lines of the files that matter
+        most, clustered and packed, and what was left out."""
+        count = self.graph.files.count()
+        allowed = explore.budget_for(count)
         kept, edges = context.relevant(self.graph, self.text, question, context.Budget(8, 3, 200, 0.2))
-        places = explore.file_scores(kept, edges).limit(allowed.files).collect()
-        facts = kept.join(self.graph.nodes.select("id", "start_line"), "id").orderBy("file_path", "start_line").collect()
-        parts = [f"{r['file_path']} ({r['score']})\n" + explore.listing([x for x in facts if x["file_path"] == r["file_path"]][: allowed.symbols]) for r in places]
-        return explore.truncated("\n\n".join(parts), allowed.characters)
+        kept = staged(kept.join(self.graph.nodes.select("id", "start_line", "end_line"), "id"), "kept")
+        scores = explore.file_scores(kept, edges).limit(allowed.files + 10).collect()
+        shown, others = scores[: allowed.files], scores[allowed.files :]
+        wanted = self.spark.createDataFrame([(r["file_path"],) for r in shown], "file_path string")
+        sources = self.sources().join(F.broadcast(wanted), F.col("path") == F.col("file_path"), "left_semi").select("path", "content")
+        lines = sources.select(F.col("path").alias("file_path"), F.size(F.split("content", "\n")).alias("lines"), F.length("content").alias("letters"))
+        at = self.graph.edges.select("source", "target", "kind", "line").join(edges.select("source", "target", "kind"), ["source", "target", "kind"], "left_semi")
+        clusters = explore.ranked_clusters(explore.clusters(explore.line_ranges(kept, at, lines), allowed.gap))
+        sized = clusters.join(lines, "file_path").withColumn("size", F.ceil((F.col("end") - F.col("start") + 7) * (F.col("letters") / F.col("lines") + 6)))
+        packed = staged(explore.packed(sized, allowed.per_file), "packed")
+        numbered = explore.numbered_lines(sources, packed.filter("taken")).orderBy("path", "line").limit(allowed.characters).collect()
+        facts = kept.orderBy("file_path", "start_line").collect()
+        trimmed = {r["file_path"] for r in packed.filter("not taken").select("file_path").distinct().collect()}
+        related = explore.relationships(edges, self.graph.nodes, allowed.per_kind).collect()
+        parts = [context.summary(kept, edges)]
+        if related:
+            parts.append("Relationships\n" + "\n".join(f"  {r['source_name']} {r['kind']} {r['target_name']}" for r in related))
+        for r in shown:
+            path = r["file_path"]
+            head = f"{path} ({r['score']})\n" + explore.listing([x for x in facts if x["file_path"] == path][: allowed.symbols])
+            parts.append("\n".join([head, *explore.numbered_text([x for x in numbered if x["path"] == path])]))
+        return explore.truncated("\n\n".join(parts + explore.notes(count, len(shown), others, facts, trimmed)), allowed.characters)

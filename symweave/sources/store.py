@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from symweave.graph import Graph
 from symweave.schema import EDGES, FILES, NODES, REFS, conform
 
-VERSION = 4
+VERSION = 5
 TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "refs": REFS}
 
 
@@ -74,12 +74,15 @@ def _swap(spark: SparkSession, root: str, content: str) -> None:
     out = fs.create(fresh, False)
     out.write(bytearray(content.encode()))
     out.close()
-    sc = spark.sparkContext
+    sc, to = spark.sparkContext, path_of(f"{root}/current")
+    if fs.exists(to) and fs.getFileStatus(to).isDirectory():
+        fs.delete(to, True)
     rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
     how = sc._gateway.new_array(rename, 1)
     how[0] = rename.OVERWRITE
-    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), sc._jsc.hadoopConfiguration()) if fresh.isUriPathAbsolute() and fresh.toUri().getScheme() else sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(sc._jsc.hadoopConfiguration())
-    files.rename(files.makeQualified(fresh), files.makeQualified(path_of(f"{root}/current")), how)
+    fresh = fs.makeQualified(fresh)
+    files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), sc._jsc.hadoopConfiguration())
+    files.rename(fresh, fs.makeQualified(to), how)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
@@ -87,9 +90,12 @@ def current(spark: SparkSession, root: str) -> str | None:
     at = path_of(f"{root.rstrip('/')}/current")
     if not fs.exists(at):
         return None
-    stream = fs.open(at)
-    row = json.loads(bytes(stream.readAllBytes()).decode())
-    stream.close()
+    if fs.getFileStatus(at).isDirectory():  # as versions up to 4 wrote it
+        row = spark.read.schema("name string, version int").json(at.toString()).first()
+    else:
+        stream = fs.open(at)
+        row = json.loads(bytes(stream.readAllBytes()).decode())
+        stream.close()
     if row["version"] > VERSION:
         raise ValueError(f"the graph at {root} has version {row['version']}, newer than {VERSION}")
     return row["name"]

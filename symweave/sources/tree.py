@@ -16,13 +16,19 @@ from symweave.functions.paths import included, language_of
 
 MOST = 1 << 20
 MARKER = ".codeindexignore"
-# Directories that hold no sources of a project.
+# Directories that hold no sources of a project, wherever they stand, and files that are made by tools.
 PRUNED = (
-    ".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "out", "target", "bin", "obj", ".next", ".nuxt", ".svelte-kit", ".cache", "coverage",
-    "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", "site-packages", ".gradle", ".idea", ".vscode", "Pods", "Carthage", "DerivedData",
-    ".dart_tool", "bower_components", "jspm_packages", ".terraform", "tmp", "temp", "logs",
-)
-EXCLUDE = [f"**/{d}/**" for d in PRUNED] + ["**/*.min.js", "**/*.bundle.js", "**/*.map", "**/*.lock", "**/package-lock.json"]
+    ".git node_modules vendor Pods dist build out bin obj target .next .nuxt .svelte-kit .output .turbo .cache .parcel-cache .vite .astro .docusaurus .gatsby .webpack .nx "
+    ".pnpm-store storybook-static .expo web-build __pycache__ .venv venv site-packages dist-packages .pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs .gradle .m2 "
+    "generated-sources .kotlin .dart_tool .vs .nuget artifacts publish CMakeFiles vcpkg_installed .conan Debug Release x64 .pio release DerivedData .build .swiftpm "
+    "xcuserdata SourcePackages __history __recovery .composer .bundle .yardoc coverage htmlcov .nyc_output test-results .coverage .idea logs tmp temp _build site"
+).split()
+PRUNED_PATHS = (
+    ".yarn/cache ios/Pods ios/build android/build android/.gradle go/pkg/mod target/debug target/release cmake-build-* bazel-* *.egg-info *.app Carthage/Build "
+    "storage/framework bootstrap/cache tmp/cache public/assets public/packs docs/_build"
+).split()
+MADE = "*.min.js *.bundle.js *.asar *.dcu".split()
+EXCLUDE = [f"**/{d}/**" for d in (*PRUNED, *PRUNED_PATHS)] + [f"**/{f}" for f in MADE]
 INCLUDE = [
     f"**/*.{e}"
     for e in "ts tsx js jsx mjs cjs py pyw go rs java c h cpp hpp cc cxx hxx cs php rb rake swift kt kts dart svelte vue liquid pas dpr dpk lpr dfm fmx scala sc lua luau".split()

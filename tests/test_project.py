@@ -151,3 +151,91 @@ def test_views_and_commands(kept, capsys):
     for verb, word in (("status", None), ("query", "formatValue"), ("node", "DerivedThing"), ("callers", "formatValue")):
         assert main([verb, *([word] if word else []), "--root", kept.root, "--graph", kept.at]) == 0
     assert "DerivedThing" in capsys.readouterr().out
+
+
+def test_a_reader_keeps_its_graph_while_another_is_saved(spark, kept, tmp_path):
+    at = str(tmp_path / "g")
+    graph = kept.graph
+    store.save(graph, at)
+    before = store.load(spark, at)
+    for _ in range(2):
+        reading = store.load(spark, at)
+        store.save(graph, at)
+        assert reading.nodes.count() == graph.nodes.count()  # the version before stays
+    assert len([p for p in (tmp_path / "g").iterdir() if p.name.startswith("v-")]) == 2
+    with store.locked(spark, at), pytest.raises(RuntimeError, match="another writer"):
+        store.save(graph, at)
+    assert not (tmp_path / "g/lock").exists() and before.nodes.columns == graph.nodes.columns
+    store.optimized(spark, at)
+    assert store.load(spark, at).edges.count() == graph.edges.count()
+    store.cleared(spark, at)
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, at)
+
+
+def test_a_change_of_a_large_file_is_seen(spark, tmp_path):
+    (tmp_path / "a.ts").write_text("x" * (tree.MOST + 1))
+    (tmp_path / "b.ts").write_text("y" * (tree.MOST + 1))
+    rows = {r.path: r for r in tree.read(spark, str(tmp_path)).collect()}
+    assert rows["a.ts"].content is None and rows["a.ts"].content_hash != rows["b.ts"].content_hash
+
+
+def test_staged_tables_go(spark):
+    import os
+
+    from symweave.plans.staging import scratch, staged
+
+    def there(df):
+        return os.path.isdir(df._staged_at.removeprefix("file:"))
+
+    with scratch():
+        a = staged(spark.range(3), "a")
+        b = staged(a, "b", replaces=(a,))
+        c = staged(b, "c", lasting=True)
+        assert not there(a) and there(b)
+    assert not there(b) and c.count() == 3
+
+
+def test_find_a_symbol(kept):
+    node, note = kept.find("formatValue")
+    assert node.name == "formatValue" and not note
+    assert kept.find("base::run")[0].file_path == "src/base.ts" and kept.find("nowhere::run") == (None, "")
+    rows, note = kept.find_all("print")
+    assert len(rows) >= 1 and all(r.name == "print" for r in rows)
+    assert "run" in kept.details("BaseThing")
+
+
+def test_requests_for_something_new():
+    from symweave.operators.symbols import asks_for_something_new as new
+
+    assert new("Add a login page") and not new("Fix the bug in add") and not new("how does build work") and not new("login page")
+
+
+def test_settings(spark, tmp_path):
+    from symweave import config
+    from symweave.errors import ConfigError
+
+    root = str(tmp_path)
+    assert config.load(root) == config.Config()
+    config.changed(root, include=("**/*.txt",), exclude=("**/gen/**",), pattern=config.Pattern("todo", "TODO: (.+)", "constant"), languages=("python",))
+    now = config.changed(root, include=("**/*.txt",), pattern=config.Pattern("todo", "FIXME (.+)", "constant"))
+    assert now == config.load(root) and now.include[-1] == "**/*.txt" and now.include.count("**/*.txt") == 1 and [p.pattern for p in now.patterns] == ["FIXME (.+)"]
+    for bad in ({"languages": ("klingon",)}, {"most": "1"}, {"pattern": config.Pattern("x", "(a+)+", "constant")}, {"pattern": config.Pattern("x", "(", "constant")}, {"pattern": config.Pattern("x", "a", "thing")}):
+        with pytest.raises(ConfigError):
+            config.changed(root, **bad)
+    assert config.load(root) == now
+    (tmp_path / ".symweave/config.json").write_text("{")
+    with pytest.raises(ConfigError):
+        config.load(root)
+
+
+def test_aliases_come_from_the_tree(spark, tmp_path):
+    files = {"tsconfig.json": '{ // paths\n "compilerOptions": {"baseUrl": ".", "paths": {"#lib/*": ["source/lib/*"]}}}', "source/lib/a.ts": "export function deep() {}\n", "source/m.ts": "import { deep } from '#lib/a';\nexport function go() { deep(); }\n"}
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    p = project.Project(spark, str(tmp_path), str(tmp_path / "graph"))
+    p.index()
+    found = p.graph.edges.filter("kind = 'calls'").select("metadata.resolved_by").collect()
+    assert [r[0] for r in found] == ["import"]
+    assert "deep" in p.explore("how does deep go")
