@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from symweave import catalog_context, catalog_extract, catalog_graph, catalog_search
+from symweave import catalog_context, catalog_extract, catalog_graph, catalog_more, catalog_search
 
-PARTS = (catalog_graph, catalog_search, catalog_context, catalog_extract)
+PARTS = (catalog_graph, catalog_search, catalog_context, catalog_extract, catalog_more)
 
 
 def queries() -> dict:

@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from symweave.llm.shared import slices
 
 TOKENIZER = "word_bpe_49k.json"
-MEMO = 300_000
+MEMO = 160_000
 FOREVER = 1 << 40
 #: White space for str.split that is not white space for the tokenizer.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -58,9 +58,10 @@ class TrieBpe:
 
     def __init__(self, content: str):
         spec = json.loads(content)
-        library = Tokenizer.from_str(content)
-        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model = spec["model"]
+        # The library's own normaliser and pre-tokenizer, without its model.
+        library = Tokenizer.from_str(json.dumps(spec | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.name = {i: t for t, i in (self.vocab | self.special).items()}
@@ -153,7 +154,7 @@ class TrieBpe:
         """Token ids of distinct non-empty words, by one depth-first walk of their trie."""
         inner, final, length, ends, seams, step = self.inner, self.final, self.length, self.ends, self.seams, self.step
         states, last = [0], [-1]  # along the path from the root
-        if len(seams) > 2 * MEMO:
+        if len(seams) > MEMO:
             seams.clear()
         previous = b""
         for word in sorted(words):
@@ -264,6 +265,7 @@ class TrieBpe:
         """Empties the memo: workers live on after a task, and other stages need the memory."""
         for memo in (self.ids, self.shown, self.word, self.old_ids, self.old_shown, self.old_word, self.seams):
             memo.clear()
+        pa.default_memory_pool().release_unused()
 
     def encode(self, text: str | None) -> list[int]:
         chunks = self.chunks(text or "")

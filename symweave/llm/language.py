@@ -185,7 +185,7 @@ def fused(seen: DataFrame, names: list[str]) -> DataFrame:
     hosts = hosts.select("suffix", "domain", "host", F.transform(smoothed("by_up"), lambda p: F.log(p)).alias("prior"), F.col("by_suffix").alias("tail"), "size")
     hosts = staged(hosts.select("suffix", "domain", "host", told.alias("told"), "size"), "hosts")
     flags = likelihoods("flag").drop("votes")
-    met = meet(flag, hosts, ["suffix", "domain", "host"], "size").join(F.broadcast(flags), "flag")  # one row a language and two more
+    met = meet(flag, hosts, ["suffix", "domain", "host"], "size", rows=hosts.count()).join(F.broadcast(flags), "flag")  # one row a language and two more
     met = met.withColumn("total", added("likelihood", "told")).withColumn("total", added("total", "by_flag")).select("doc_id", "page_id", "declared", "vote", "total")
     labels = F.array(*map(F.lit, names))
     mass = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("total")))

@@ -95,7 +95,7 @@ def _turn(number: Column | str, *what: Column | str) -> Column:
 def blocks(rows: DataFrame, mix: DataFrame) -> DataFrame:
     """One row for each block of each source: passes, its place in every pass (list), and how its rows stand in the last one: `left` tokens of it are
     taken (null: all, 0: none).  rows: source, tie, n."""
-    met = meet(rows.select("source", "tie", "n"), mix, ["source"], "size")
+    met = meet(rows.select("source", "tie", "n"), mix, ["source"], "size", rows=mix.count())
     sums = met.withColumn("block", F.pmod("tie", "blocks")).groupBy("source", "block", "passes", "rest").agg(F.sum("n").alias("held"))
     turns = sums.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).withColumn("turn", _turn("pass", "source", "block"))
     along = Window.partitionBy("source", "pass").orderBy("turn", "block")
@@ -110,7 +110,7 @@ def plan(rows: DataFrame, mix: DataFrame) -> DataFrame:
     """rows (any columns besides doc_id, source, tie, n) with weight, block, places and copies: how often each is taken; rows of no copies included."""
     found = staged(blocks(rows, mix), "blocks")
     named = mix.select(F.col("source").alias("of"), "weight", "blocks", "size")
-    keyed = meet(rows, named.withColumnRenamed("of", "source"), ["source"], "size", how="left").withColumn("block", F.coalesce(F.pmod("tie", "blocks"), F.lit(-1))).drop("blocks", "size")
+    keyed = meet(rows, named.withColumnRenamed("of", "source"), ["source"], "size", how="left", rows=mix.count()).withColumn("block", F.coalesce(F.pmod("tie", "blocks"), F.lit(-1))).drop("blocks", "size")
     to = found.select(F.col("source").alias("s"), F.col("block").alias("b"), "passes", "places", "left")
     met = keyed.join(to, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
     inside = Window.partitionBy("source", "block").orderBy(_turn("passes", "tie"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -26,10 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LARGEST = 1024
 
 
-def meet(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "inner", most: int = LARGEST) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "inner", most: int = LARGEST, rows: int | None = None) -> DataFrame:
     """left with the columns of right (but `size`) on equal keys, nulls being equal; right has one row a key, and in `size` about how many left rows it meets.
 
     The `most` keys of the largest size are broadcast, so their left rows, however many, are not shuffled; the rest has few rows a key.
+    rows: how many rows right has, where that is known; if they are no more than `most`, all of them are broadcast.
     """
     named = {k: f"met_{k}" for k in keys}
     other = right.withColumnsRenamed(named)
@@ -39,6 +40,8 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str
     def same(a: DataFrame, b: DataFrame) -> Column:
         return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[m]) for k, m in named.items()])
 
+    if rows is not None and rows <= most:
+        return left.join(F.broadcast(other), same(left, other), how).select(*left.columns, *added)
     marked = left.join(F.broadcast(large), same(left, large), "left").select(*left.columns, "met")
     rest = marked.filter("met is null").drop("met")
     rest = rest.join(other, same(rest, other), how).select(*left.columns, *added)

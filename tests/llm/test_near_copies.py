@@ -74,7 +74,7 @@ def test_nulls_and_empty_tables(spark):
     rows = [(None, "a b c d e f g"), (3, "A b c d e f g"), (2, None), (1, ""), (None, "x y"), (5, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()), key=str)
-    assert got == sorted([(None, "a b c d e f g"), (3, "A b c d e f g"), (1, ""), (None, "x y"), (5, "z")], key=str)
+    assert got == sorted([(3, "A b c d e f g"), (1, ""), (None, "x y"), (5, "z")], key=str)
     assert simhash.deduplicated(docs.limit(0)).count() == 0
     got = {(r.doc_id, r.fp == 0): r.component_id for r in simhash.classes(docs.filter("doc_id > 0"), bits=simhash.LIMIT).collect()}
     assert got[1, True] == got[2, True] == 1 and simhash.classes(docs.limit(0), bits=simhash.LIMIT).count() == 0
