@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, flac, labelled, language, mixing, pii, quality, simhash, sql, substring_dedup, toxicity
+from symweave.llm import alignment, bpe_trie, exact_dedup, flac, labelled, language, mixing, pii, quality, simhash, sql, substring_dedup, toxicity
 from symweave.llm.shared import table
 
 
@@ -68,8 +68,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup, flac_payloads)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup, op13_alignment, flac_payloads)}
 
 
 def oracle_sql() -> dict[str, str]:

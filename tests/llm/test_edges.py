@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from symweave.llm import bpe_trie, exact_dedup, flac, language, mixing, pii, quality, simhash, substring_dedup, toxicity
+from symweave.llm import alignment, bpe_trie, exact_dedup, flac, language, mixing, pii, quality, simhash, substring_dedup, toxicity
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -69,6 +69,8 @@ RUNS = {
     "pcm": lambda d, y: flac.pcm_blocks(flac.stored(d)),
     "bpe": lambda d, y: bpe_trie.digests(d),
     "bpe_ids": lambda d, y: bpe_trie.encoded(d),
+    "alignment": lambda d, y: alignment.digests(d),
+    "alignment_groups": lambda d, y: alignment.aligned(d),
     "mixing": lambda d, y: mixing.mixed(d),
     "mixing_drawn": lambda d, y: mixing.drawn(d),
     "quality": lambda d, y: judged(d, y, quality, "quality"),
@@ -80,7 +82,7 @@ RUNS = {
     "exact": lambda d, y: exact_dedup.assign(d),
     "exact_docs": lambda d, y: exact_dedup.deduplicated(d),
 }
-PER_ROW = {"substring", "substring_text", "substring_factors", "toxicity", "flac", "bpe", "bpe_ids", "quality", "pii", "simhash", "exact"}
+PER_ROW = {"alignment", "alignment_groups", "substring", "substring_text", "substring_factors", "toxicity", "flac", "bpe", "bpe_ids", "quality", "pii", "simhash", "exact"}
 
 
 @pytest.mark.parametrize("name", RUNS)
