@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symweave.llm import alignment, bpe_trie, exact_dedup, flac, labelled, language, mixing, negatives, pii, quality, simhash, sql, substring_dedup, toxicity
+from symweave.llm import alignment, bpe_trie, exact_dedup, flac, labelled, language, mixing, negatives, page_text, pii, quality, simhash, sql, substring_dedup, toxicity
 from symweave.llm.shared import table
 
 
@@ -68,6 +68,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(table(spark, sf_dir, "embeddings"))
 
@@ -77,8 +81,8 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup, op12_hard_negatives, op13_alignment, flac_payloads)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_flac, op4_bpe, op5_mixing, op6_quality, op7_pii, op8_language, op9_simhash, op10_exact_dedup, op11_html, op12_hard_negatives, op13_alignment, flac_payloads)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": sql.OP1, "flac_payloads": sql.PAYLOADS, "op5_mixing": sql.OP5, "op7_pii": sql.OP7, "op10_exact_dedup": sql.OP10, "op12_hard_negatives": sql.OP12}
+    return {"op1_substring_dedup": sql.OP1, "flac_payloads": sql.PAYLOADS, "op5_mixing": sql.OP5, "op7_pii": sql.OP7, "op10_exact_dedup": sql.OP10, "op11_html": sql.OP11, "op12_hard_negatives": sql.OP12}

@@ -192,3 +192,15 @@ ranked AS (
 )
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
 """
+
+#: What the given pages mark as the article, block by block, with the two references that they use; other pages need the template deduction.
+OP11 = r"""
+WITH article AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
+blocks AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h[1-6])>'),
+    lambda b: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts
+  FROM article
+),
+texts AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
