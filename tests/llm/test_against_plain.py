@@ -253,7 +253,7 @@ def test_every_pass_has_its_own_permutation(spark, skewed):
     from symweave.llm import mixing
 
     docs = spark.read.parquet(f"{skewed}/documents.parquet")
-    got = mixing.mixed(docs, entropy=1.0, repeats=1e9, budget=4e4).toPandas()
+    got = mixing.mixed(docs, entropy=1.0, repeats=1e9, budget=1.2e5).toPandas()
     b = got[got.source == "b"]
     passes = int(b["pass"].max())
     orders = [b[b["pass"] == p].sort_values(["block", "position"]).doc_id.tolist() for p in range(1, passes + 1)]
