@@ -35,26 +35,26 @@ def _cut(c: Column, separator: str, plain: str) -> tuple[Column, Column]:
     return head, F.substring(c, F.length(head) + 1, F.length(c))
 
 
-def _by_end(wanted: DataFrame, bearers: DataFrame, of: str, separator: str, plain: str) -> DataFrame:
-    """(ref_id, target): the smallest target whose `of` is longer than the reference name and ends with it.
+def _by_end(wanted: DataFrame, bearers: DataFrame, of: str, separator: str, plain: str, also: str) -> DataFrame:
+    """(ref_id, target): the smallest target whose `of` is longer than the reference name and ends with it, both having the same `also`.
 
     A name is cut at its first separator; a bearer at each of its separators.  Equal rests meet, and there the ends of the part before
     the separator are looked up, so the result is as large as the references, however many bearers end alike.
     """
     head, rest = _cut(F.col("reference_name"), separator, plain)
-    wanted = wanted.select("ref_id", head.alias("head"), rest.alias("rest"))
+    wanted = wanted.select("ref_id", also, head.alias("head"), rest.alias("rest"))
     tails = F.regexp_extract_all(of, F.lit(f"(?:{separator}){plain}*"), 0)
     first = F.regexp_extract(of, f"^{plain}*", 0)
     places = F.transform(
         tails, lambda t, i: F.struct(F.when(i == 0, first).otherwise(F.regexp_replace(F.get(tails, i - 1), f"^(?:{separator})", "")).alias("part"), F.array_join(F.slice(tails, i + 1, F.size(tails)), "").alias("rest"), (i > 0).alias("more"))
     )
-    cut = bearers.select("target", F.explode(places).alias("x")).select("target", "x.*").join(wanted.select("rest").distinct(), "rest", "left_semi")
-    cut = cut.groupBy("rest", "part", "more").agg(F.min("target").alias("target"))
+    cut = bearers.select("target", also, F.explode(places).alias("x")).select("target", also, "x.*").join(wanted.select("rest", also).distinct(), ["rest", also], "left_semi")
+    cut = cut.groupBy("rest", also, "part", "more").agg(F.min("target").alias("target"))
     # A proper end of the part, or the whole of it where something stands before.
     ends = F.transform(F.sequence(F.when(F.col("more"), 1).otherwise(2), F.length("part") + 1), lambda k: F.substring("part", k, F.length("part")))
     ends = F.when(F.col("more") | (F.length("part") > 0), ends)
-    keys = cut.withColumn("head", F.explode(ends)).groupBy("rest", "head").agg(F.min("target").alias("target"))
-    return wanted.join(keys, ["rest", "head"]).select("ref_id", "target")
+    keys = cut.withColumn("head", F.explode(ends)).groupBy("rest", also, "head").agg(F.min("target").alias("target"))
+    return wanted.join(keys, ["rest", also, "head"]).select("ref_id", "target")
 
 
 def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -64,21 +64,26 @@ def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = files.select("target", "file", F.explode(F.array_distinct(F.array("file_path", "qualified_name"))).alias("path")).filter(basename(F.col("path")) == F.col("file"))
     whole = both.groupBy(F.col("path").alias("reference_name")).agg(F.min("target").alias("target"))
     sole = files.groupBy("file").agg(F.min("target").alias("target"), F.count("*").alias("n")).filter("n = 1")
-    found = _rows(wanted.join(whole, "reference_name"), 0.95, "file-path").unionAll(_rows(_by_end(wanted, both, "path", "/", "[^/]"), 0.85, "file-path")).unionAll(_rows(wanted.join(sole, "file"), 0.7, "file-path"))
+    found = _rows(wanted.join(whole, "reference_name"), 0.95, "file-path").unionAll(_rows(_by_end(wanted, both, "path", "/", "[^/]", "file"), 0.85, "file-path")).unionAll(_rows(wanted.join(sole, "file"), 0.7, "file-path"))
     return _first(found, F.desc("confidence"), F.asc("target"))
 
 
+def _last(name: str) -> Column:
+    """What follows the last :: or dot; single colons, as in routes and selectors, are part of a name."""
+    return F.substring_index(F.replace(F.col(name), F.lit("::"), F.lit(".")), ".", -1)
+
+
 def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Qualified names: the only bearer .95; else a qualified name with that end .85."""
     name = F.col("reference_name")
-    last = r"([^:.]*)$"
-    wanted = refs.filter(name.contains("::") | name.contains(".")).select("ref_id", "reference_name", F.regexp_extract(name, last, 1).alias("last"))
+    wanted = refs.filter(name.contains("::") | name.contains(".")).select("ref_id", "reference_name", _last("reference_name").alias("last"))
     bearers = nodes.select("qualified_name", F.col("id").alias("target"), "name")
-    whole = bearers.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("target").alias("target"), F.count("*").alias("n"), F.min(F.when(F.col("name") == F.regexp_extract("qualified_name", last, 1), F.col("target"))).alias("own"))
+    whole = bearers.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("target").alias("target"), F.count("*").alias("n"), F.min(F.when(F.col("name") == _last("qualified_name"), F.col("target"))).alias("own"))
     met = wanted.join(whole, "reference_name")
     full = _rows(met.filter("n = 1"), 0.95, "qualified-name").unionAll(_rows(met.filter("n > 1 and last <> '' and own is not null").withColumn("target", F.col("own")), 0.85, "qualified-name"))
-    named = bearers.filter((F.col("name") != "") & (F.col("name") == F.regexp_extract("qualified_name", last, 1)))
-    part = _rows(_by_end(wanted.filter("last <> ''"), named, "qualified_name", r"::|\.", "[^:.]"), 0.85, "qualified-name")
+    # Only bearers of a name that is asked for; cutting at each colon and dot tells ends of names apart to the letter.
+    named = bearers.filter((F.col("name") != "") & (F.col("name") == _last("qualified_name"))).withColumnRenamed("name", "last").join(wanted.select("last").distinct(), "last", "left_semi")
+    part = _rows(_by_end(wanted.filter("last <> ''"), named, "qualified_name", "[:.]", "[^:.]", "last"), 0.85, "qualified-name")
     return _first(full.unionAll(part), F.desc("confidence"), F.asc("target"))
 
 

@@ -13,10 +13,10 @@ def test_ends_of_paths_and_names_equal_a_comparison_of_all_pairs(spark):
     part = lambda: rng.choice(["a", "ba", "b", "index", "x.y", ""])
     files = sorted({"/".join(part() for _ in range(rng.randrange(1, 5))) + rng.choice([".ts", "/index.ts"]) for _ in range(150)})
     rows = [(f"file:{p}", "file", p.rsplit("/", 1)[-1], p, p) for p in files]
-    names = sorted({rng.choice(["::", "."]).join(rng.choice(["A", "BA", "get", "Xget"]) for _ in range(rng.randrange(1, 4))) for _ in range(80)})
+    names = sorted({rng.choice(["::", "."]).join(rng.choice(["A", "BA", "get", "Xget", "a:b", "GET:/a", ":", "did:go:"]) for _ in range(rng.randrange(1, 4))) for _ in range(160)} | {"X.A.a:b.c", "src/r.ts::GET:/a.users", "a:::b"})
     rows += [(f"method:{k}:{i}", "method", q.replace("::", ".").rsplit(".", 1)[-1], q, "m.ts") for k in range(2) for i, q in enumerate(names) if k == 0 or i % 3 == 0]
-    asked = ["index.ts", "a/index.ts", "/index.ts", "ba/b.ts", "b.ts/", "a/a/index.ts", "x/b.ts", "A.get", "A::get", "get", "::get", "BA.get", "A.A.get", "et", "A.", "get.get", "Xget::A"]
-    asked += [rng.choice(files)[rng.randrange(4) :] for _ in range(60)] + [rng.choice(names)[rng.randrange(3) :] for _ in range(60)]
+    asked = ["index.ts", "a/index.ts", "/index.ts", "ba/b.ts", "b.ts/", "a/a/index.ts", "x/b.ts", "A.get", "A::get", "get", "::get", "BA.get", "A.A.get", "et", "A.", "get.get", "Xget::A", "A.a:b.c", "r.ts::GET.users", "a:b.get", "::GET:/a", ":A::Xget", "b.get", "a:::b", "::did:go:"]
+    asked += [rng.choice(files)[rng.randrange(4) :] for _ in range(60)] + [rng.choice(names)[rng.randrange(3) :] for _ in range(160)]
     nodes = conform(spark.createDataFrame(rows, "id string, kind string, name string, qualified_name string, file_path string"), NODES)
     refs = conform(spark.createDataFrame(list(enumerate(asked)), "ref_id long, reference_name string"), REFS)
 
