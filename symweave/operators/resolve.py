@@ -68,21 +68,21 @@ def by_file_path(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _first(found, F.desc("confidence"), F.asc("target"))
 
 
-def _last(name: str) -> Column:
+def last_part(name: Column) -> Column:
     """What follows the last :: or dot; single colons, as in routes and selectors, are part of a name."""
-    return F.substring_index(F.replace(F.col(name), F.lit("::"), F.lit(".")), ".", -1)
+    return F.substring_index(F.replace(name, F.lit("::"), F.lit(".")), ".", -1)
 
 
 def by_qualified_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Qualified names: the only bearer .95; else a qualified name with that end .85."""
     name = F.col("reference_name")
-    wanted = refs.filter(name.contains("::") | name.contains(".")).select("ref_id", "reference_name", _last("reference_name").alias("last"))
+    wanted = refs.filter(name.contains("::") | name.contains(".")).select("ref_id", "reference_name", last_part(name).alias("last"))
     bearers = nodes.select("qualified_name", F.col("id").alias("target"), "name")
-    whole = bearers.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("target").alias("target"), F.count("*").alias("n"), F.min(F.when(F.col("name") == _last("qualified_name"), F.col("target"))).alias("own"))
+    whole = bearers.groupBy(F.col("qualified_name").alias("reference_name")).agg(F.min("target").alias("target"), F.count("*").alias("n"), F.min(F.when(F.col("name") == last_part(F.col("qualified_name")), F.col("target"))).alias("own"))
     met = wanted.join(whole, "reference_name")
     full = _rows(met.filter("n = 1"), 0.95, "qualified-name").unionAll(_rows(met.filter("n > 1 and last <> '' and own is not null").withColumn("target", F.col("own")), 0.85, "qualified-name"))
     # Only bearers of a name that is asked for; cutting at each colon and dot tells ends of names apart to the letter.
-    named = bearers.filter((F.col("name") != "") & (F.col("name") == _last("qualified_name"))).withColumnRenamed("name", "last").join(wanted.select("last").distinct(), "last", "left_semi")
+    named = bearers.filter((F.col("name") != "") & (F.col("name") == last_part(F.col("qualified_name")))).withColumnRenamed("name", "last").join(wanted.select("last").distinct(), "last", "left_semi")
     part = _rows(_by_end(wanted.filter("last <> ''"), named, "qualified_name", "[:.]", "[^:.]", "last"), 0.85, "qualified-name")
     return _first(full.unionAll(part), F.desc("confidence"), F.asc("target"))
 

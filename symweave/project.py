@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.extract import frame
-from symweave.extract.imports import export_table, import_table
 from symweave.graph import Graph
 from symweave import config, render
 from symweave.functions.paths import language_of
-from symweave.operators import analytics, context, conventions, explore, imports, lookups, resolve, search, symbols, textindex, traversal
+from symweave.operators import analytics, context, delta, explore, imports, lookups, search, symbols, textindex, traversal
 from symweave.plans.staging import staged
 from symweave.schema import CONTAINERS
 from symweave.sources import store, tree
 from symweave.streaming import changes
 
 
-def linked(graph: Graph, sources: DataFrame, aliases=()) -> Graph:
+def linked(graph: Graph, facts: delta.Facts, aliases=()) -> Graph:
     """graph (as extracted) with an edge for each reference that resolves: by framework convention, by import, by name."""
-    named = conventions.by_convention(graph.refs, graph.nodes, conventions.detected(sources))
-    found = imports.by_import(graph.refs, graph.nodes, import_table(sources), export_table(sources), graph.files, aliases)
-    edges = resolve.edges_of(resolve.resolved(graph.refs, graph.nodes, named, found), graph.refs, graph.nodes).withColumn("edge_id", F.monotonically_increasing_id())
+    edges = delta.resolved_edges(graph.refs, graph.nodes, graph.files, facts, aliases).withColumn("edge_id", F.monotonically_increasing_id())
     return Graph(graph.nodes, graph.edges.unionByName(edges, allowMissingColumns=True), graph.files, graph.refs)
 
 
 def build(sources: DataFrame, aliases=()) -> Graph:
     """The full graph of sources (path, content)."""
-    return linked(frame.indexed(sources), sources, aliases)
-
-
-def rebuilt(graph: Graph, sources: DataFrame, found: DataFrame, aliases=()) -> Graph:
-    """graph brought up to sources: only changed files (found: path, change) are extracted; all references are resolved again, since a change may give any of
-    them another target.  The result equals a full build."""
-    fresh = frame.indexed(sources.join(found.filter("change <> 'removed'").select("path"), "path", "left_semi"))
-    own = graph.edges.filter("provenance is null or provenance <> 'resolution'")
-    kept = lookups.without_files(Graph(graph.nodes, own, graph.files, graph.refs), found.select("path"))
+    return linked(frame.indexed(sources), delta.facts_of(sources), aliases)
+
+
+def rebuilt(graph: Graph, sources: DataFrame, found: DataFrame, before: delta.Facts, aliases=()) -> tuple[Graph, delta.Facts]:
+    """graph and its facts brought up to sources: only changed files (found: path, change) are read, and only the references that they can concern are resolved
+    again, unless the project's frameworks are others now.  The result equals a full build."""
+    paths = found.select("path").distinct()
+    changed = sources.join(found.filter("change <> 'removed'").select("path"), "path", "left_semi")
+    fresh = frame.indexed(changed)
+    facts = delta.replaced(before, delta.facts_of(changed), paths)
+    kept = lookups.without_files(graph, paths)
+    if before.frameworks() == facts.frameworks():
+        return delta.updated(graph, kept, fresh, paths, before, facts, aliases), facts
     refs = staged(kept.refs.unionByName(fresh.refs).withColumn("ref_id", F.monotonically_increasing_id()), "refs")
-    return linked(Graph(kept.nodes.unionByName(fresh.nodes), kept.edges.unionByName(fresh.edges), kept.files.unionByName(fresh.files), refs), sources, aliases)
+    own = kept.edges.filter("provenance is null or provenance <> 'resolution'")
+    return linked(Graph(kept.nodes.unionByName(fresh.nodes), own.unionByName(fresh.edges), kept.files.unionByName(fresh.files), refs), facts, aliases), facts
 
 
 #: Files that name a project's path aliases, the first that is there.
@@ -66,19 +70,30 @@ class Project:
         found = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in raw.filter(~F.col("path").contains("/node_modules/")).select("path", F.length("path").alias("n"), F.decode("content", "UTF-8").alias("text")).orderBy(F.desc("n")).limit(64).collect()}
         return next((imports.aliases_of(found[name]) for name in ALIAS_FILES if name in found), [])
 
-    def index(self) -> Graph:
-        store.save(build(self.sources(), self.aliases()), self.at)
+    def _saved(self, graph: Graph, facts: delta.Facts, aliases: list) -> None:
+        store.save(graph, self.at, {t: getattr(facts, t) for t in store.FACTS}, {"aliases": aliases})
         self._graph = self._index = None
+
+    def index(self) -> Graph:
+        sources, aliases = self.sources(), self.aliases()
+        facts = delta.facts_of(sources)
+        self._saved(linked(frame.indexed(sources), facts, aliases), facts, aliases)
         return self.graph
 
     def sync(self) -> DataFrame:
-        """Brings the graph up to date; returns the changes (path, change). The result equals a full index."""
+        """Brings the graph up to date; returns the changes (path, change). The result equals a full index.
+
+        Only changed files are read; a graph without facts (of an earlier version), or of other path aliases, is indexed anew.
+        """
         sources = self.sources()
         now = tree.hashed(sources)
         found = staged(changes.changed(self.graph.files, now), "changes")
-        if not found.isEmpty():
-            store.save(rebuilt(self.graph, sources, found, self.aliases()), self.at)
-            self._graph = self._index = None
+        held, aliases = store.facts(self.spark, self.at, *store.FACTS), self.aliases()
+        same = held is not None and json.dumps(store.told(self.spark, self.at).get("aliases")) == json.dumps(aliases)
+        if not same:
+            self.index()
+        elif not found.isEmpty():
+            self._saved(*rebuilt(self.graph, sources, found, delta.Facts(*held), aliases), aliases)
         return found
 
     @property

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from symweave.graph import Graph
 from symweave.schema import EDGES, FILES, NODES, REFS, conform
 
-VERSION = 5
+VERSION = 6
+#: Tables beside the graph that a sync needs, see operators.delta.
+FACTS = ("imports", "exports", "marks")
 TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES, "refs": REFS}
 
 
@@ -44,9 +46,11 @@ def locked(spark: SparkSession, root: str) -> Iterator[None]:
         fs.delete(at, False)
 
 
-def save(graph: Graph, root: str) -> None:
+def save(graph: Graph, root: str, facts: dict[str, DataFrame] | None = None, told: dict | None = None) -> None:
     """Writes all tables under a new name, then makes it the current one: readers see the old graph or the new one.
 
+    facts: further tables that stand beside the graph, read by facts(); told: what told() gives of this version, as JSON.
+
     Nodes are sorted by name within language directories and edges by source, so lookups read few row groups.
     """
     spark, root = graph.nodes.sparkSession, root.rstrip("/")
@@ -58,8 +62,10 @@ def save(graph: Graph, root: str) -> None:
         for table in ("files", "refs"):
             df = getattr(graph, table)
             (conform(df, TABLES[table]) if df is not None else spark.createDataFrame([], TABLES[table])).write.parquet(f"{base}/{table}")
+        for table, df in (facts or {}).items():
+            df.write.parquet(f"{base}/facts/{table}")
         before = current(spark, root)
-        _swap(spark, root, json.dumps({"name": name, "version": VERSION}))
+        _swap(spark, root, json.dumps({"name": name, "version": VERSION, "told": told or {}}))
         path_of, fs = _fs(spark, root)
         for old in fs.listStatus(path_of(root)):
             found = old.getPath().getName()
@@ -86,19 +92,40 @@ def _swap(spark: SparkSession, root: str, content: str) -> None:
 
 
 def current(spark: SparkSession, root: str) -> str | None:
+    """The name of the current version."""
+    row = _current(spark, root)
+    return row and row["name"]
+
+
+def told(spark: SparkSession, root: str) -> dict:
+    """What was saved with the current version beside its tables; empty for graphs of version 5 and before."""
+    return (_current(spark, root) or {}).get("told") or {}
+
+
+def facts(spark: SparkSession, root: str, *tables: str) -> list[DataFrame] | None:
+    """Tables that were saved beside the current graph; None where it has none, as graphs of version 5 and before."""
+    row = _current(spark, root)
+    if not row or row["version"] < 6:
+        return None
+    base = f"{root.rstrip('/')}/{row['name']}/facts"
+    path_of, fs = _fs(spark, base)
+    return [spark.read.parquet(f"{base}/{t}") for t in tables] if all(fs.exists(path_of(f"{base}/{t}")) for t in tables) else None
+
+
+def _current(spark: SparkSession, root: str) -> dict | None:
     path_of, fs = _fs(spark, root)
     at = path_of(f"{root.rstrip('/')}/current")
     if not fs.exists(at):
         return None
     if fs.getFileStatus(at).isDirectory():  # as versions up to 4 wrote it
-        row = spark.read.schema("name string, version int").json(at.toString()).first()
+        row = spark.read.schema("name string, version int").json(at.toString()).first().asDict()
     else:
         stream = fs.open(at)
         row = json.loads(bytes(stream.readAllBytes()).decode())
         stream.close()
     if row["version"] > VERSION:
         raise ValueError(f"the graph at {root} has version {row['version']}, newer than {VERSION}")
-    return row["name"]
+    return row
 
 
 def cleared(spark: SparkSession, root: str) -> None:
@@ -108,7 +135,8 @@ def cleared(spark: SparkSession, root: str) -> None:
 
 def optimized(spark: SparkSession, root: str) -> None:
     """Writes the current graph anew, in sorted files of an even size."""
-    save(load(spark, root), root)
+    held = facts(spark, root, *FACTS)
+    save(load(spark, root), root, dict(zip(FACTS, held, strict=True)) if held else None, told(spark, root))
 
 
 def load(spark: SparkSession, root: str) -> Graph:
