@@ -2,9 +2,8 @@
 
 Tokenising is the only Python: it gives each text's ids and the byte offsets where its tokens end, for a byte-level BPE (A) and a
 sentence-piece model (B).  All else is Spark's higher-order functions: ``array_intersect`` of the two end arrays gives the cuts, a merge of
-ends (``sort_array``, ``filter`` over a ``sequence`` of places, ``transform``) finds the few tokens that end at no cut (``array_except``) and the groups
-that hold them; all other groups are one token beside one. So what is done for every token stays cheap, and groups and links are built by
-``zip_with``, ``slice`` and ``flatten``.  A link is the pair of tokens that end at one cut, so a text has as many links as groups.
+ends and cuts (``sort_array``, ``filter`` over a ``sequence`` of places, ``transform``) says how many tokens each cut has before it, and from
+these counts groups and links are built.  A link is the pair of tokens that end at one cut, so a text has as many links as groups.
 
 Counts of linked id pairs are taken over the whole corpus.  Of two tokens that end together one is a suffix of the other, so there are no
 more distinct pairs than `most_pairs` computes from the two vocabularies, whatever the corpus: the table of counts has a proven bound
@@ -19,7 +18,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,7 +28,6 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from tokenizers import Tokenizer
 
 from symweave.llm.shared import slices, staged
@@ -122,7 +120,7 @@ def _files(byte_level: str | None, pieces: str | None) -> tuple[str, bytes]:
         return a.read(), b.read()
 
 
-_IDS = ArrayType(IntegerType(), containsNull=False)
+TOKENS = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
 
 
 def tokenised(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -141,90 +139,66 @@ def tokenised(docs: DataFrame, byte_level: str | None = None, pieces: str | None
                 columns = zip(*pair.both(batch.column(1).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[lists(list(c)) for c in columns]], ["doc_id", "a", "a_ends", "b", "b_ends"])
 
-    shape = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *[StructField(c, _IDS) for c in ("a", "a_ends", "b", "b_ends")]])
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, shape)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, {TOKENS}")
 
 
-def _every(items: Column) -> Column:
-    """All places of an array (and some beyond an empty one, where get() is null)."""
-    return F.sequence(F.lit(0), F.size(items) - 1)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: a name that is only bound by a lambda is not written out where it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _first(ends: Column, k: Column, then: int) -> Column:
-    """Where the k-th of runs with these ends begins."""
-    return F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + then)
+def before(ends: Column, cuts: Column) -> Column:
+    """How many tokens end at or before each cut; both arrays ascend and every cut is an end.
 
-
-def _merged(df: DataFrame, **of: tuple[str, str]) -> DataFrame:
-    """For each name and (all, some), where in `all` each of `some` stands; both ascend and every one of `some` is in `all`.
-
-    In one ascending array of both, what equals its successor is one of `some`: its place there, less those before it.
+    In one ascending array of both, a cut is what equals its successor: its place there, less the cuts before it, is the number of tokens before its own.
     """
-    df = df.withColumns({f"{c}_both": F.sort_array(F.concat(F.col(x), F.col(y))) for c, (x, y) in of.items()})
-    both = lambda c: F.filter(_every(F.col(c)), lambda k: F.get(F.col(c), k) == F.get(F.col(c), k + 1))
-    return df.withColumns({c: F.transform(both(f"{c}_both"), lambda place, k: place - k) for c in of}).drop(*[f"{c}_both" for c in of])
-
+    return let(
+        F.sort_array(F.concat(ends, cuts)),
+        lambda merged: F.transform(F.filter(F.sequence(F.lit(0), F.size(merged) - 2), lambda k: merged[k] == merged[k + 1]), lambda place, k: place - k + 1),
+    )
 
-def _upto(df: DataFrame, **of: tuple[str, str]) -> DataFrame:
-    """For each name and (values, marks), how many values are at most each mark; both ascend."""
-    double = lambda x, y: F.sort_array(F.concat(F.transform(x, lambda v: v * 2), F.transform(y, lambda m: m * 2 + 1)))
-    df = df.withColumns({f"{c}_both": double(x, y) for c, (x, y) in of.items()})
-    marks = lambda c: F.filter(_every(F.col(c)), lambda k: F.get(F.col(c), k) % 2 == 1)
-    return df.withColumns({c: F.transform(marks(f"{c}_both"), lambda place, k: place - k) for c in of}).drop(*[f"{c}_both" for c in of])
 
+def _counted(tokens: DataFrame) -> DataFrame:
+    """tokens with `at`, null without tokens: for each group, how many tokens of A and of B stand before it (a_from, b_from) and up to its end (a_to, b_to)."""
+    first = lambda to: F.concat(F.array(F.lit(0)), F.slice(to, 1, F.size(to) - 1))
+    ends = lambda c: F.struct(before(F.col("a_ends"), c).alias("a"), before(F.col("b_ends"), c).alias("b"))
+    whole = lambda e: F.struct(first(e["a"]).alias("a_from"), e["a"].alias("a_to"), first(e["b"]).alias("b_from"), e["b"].alias("b_to"))
+    return tokens.withColumn("at", F.when(F.size("a_ends") > 0, let(let(F.array_intersect("a_ends", "b_ends"), ends), whole)))
 
-def _between(items: str, ends: str) -> Column:
-    """The runs of items before, between and after marked places; `ends` are these places and the size of items."""
-    return F.transform(ends, lambda end, k: F.slice(items, _first(F.col(ends), k, 1) + 1, end - _first(F.col(ends), k, 1)))
 
+def groups(at: Column, a: Column, b: Column) -> Column:
+    """array<struct<a, b>>: the tokens of A and B between two cuts."""
+    run = lambda items, first, last: F.slice(items, first + 1, last - first)
+    return F.transform(at["a_to"], lambda to, k: F.struct(run(a, at["a_from"][k], to).alias("a"), run(b, at["b_from"][k], at["b_to"][k]).alias("b")))
 
-def _grouped(tokens: DataFrame) -> DataFrame:
-    """tokens with last_a, last_b: the tokens that end at each cut, and with what tells the groups that hold others: odd, a_run, b_run.
 
-    odd: places of such groups.  a_run, b_run: how many tokens that end at no cut stand in groups up to each odd one.
-    Each step is a column of its own, so that arrays go from step to step in Spark's compact form and are never computed inside a lambda.
-    """
-    df = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    df = df.withColumns({f"{of}_rest": F.array_except(f"{of}_ends", "cuts") for of in "ab"}).drop("cuts")
-    df = _merged(df, a_in=("a_ends", "a_rest"), b_in=("b_ends", "b_rest")).drop("a_rest", "b_rest")
-    df = df.withColumns({f"{of}_group": F.transform(f"{of}_in", lambda place, k: place - k) for of in "ab"})
-    df = df.withColumn("odd", F.sort_array(F.array_union("a_group", "b_group")))
-    df = _upto(df, a_run=("a_group", "odd"), b_run=("b_group", "odd")).drop("a_group", "b_group")
-    df = df.withColumns({f"{of}_in": F.concat(f"{of}_in", F.array(F.size(of))) for of in "ab"})
-    return df.withColumns({f"last_{of}": F.flatten(_between(of, f"{of}_in")) for of in "ab"}).drop("a_in", "b_in")
+def _linked(at: Column, a: Column, b: Column) -> Column:
+    """array<struct<a, b>>: the two tokens that end at each cut."""
+    last = lambda items, to: F.transform(to, lambda i: items[i - 1])
+    return F.arrays_zip(last(a, at["a_to"]).alias("a"), last(b, at["b_to"]).alias("b"))
 
 
-def _odd_run(of: str, k: Column) -> Column:
-    """All tokens of A or B in the k-th odd group."""
-    run = F.col(f"{of}_run")
-    return F.slice(of, F.get(F.col("odd"), k) + _first(run, k, 0) + 1, F.get(run, k) - _first(run, k, 0) + 1)
+def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, a, a_ends, b, b_ends, groups and links of every text."""
+    tokens = _counted(tokenised(docs, byte_level, pieces, text, doc_id))
+    none = F.array().cast("array<struct<a:array<int>,b:array<int>>>")
+    out = let(F.col("at"), lambda at: F.struct(groups(at, F.col("a"), F.col("b")).alias("groups"), _linked(at, F.col("a"), F.col("b")).alias("links")))
+    found = tokens.withColumn("out", F.when(F.col("at").isNotNull(), out))
+    return found.select(
+        "doc_id", "a", "a_ends", "b", "b_ends", F.coalesce("out.groups", none).alias("groups"), F.coalesce("out.links", F.array().cast("array<struct<a:int,b:int>>")).alias("links")
+    )
 
 
-def _assembled(df: DataFrame, plain: Column, own: Column) -> DataFrame:
-    """df with `runs`: of `plain`, which has one item a group, the runs before, between and after odd groups; and `own`, what odd groups have instead."""
-    df = df.withColumns({"plain": plain, "own": own, "odd_ends": F.concat("odd", F.array(F.size("last_a")))})
-    return df.withColumn("runs", _between("plain", "odd_ends")).drop("plain", "odd_ends")
+def _side(items: Column, first: Column, last: Column) -> Column:
+    """The tokens of each group, joined by commas."""
+    return F.zip_with(first, last, lambda i, j: F.when(j - i == 1, items[i]).otherwise(F.array_join(F.slice(items, i + 1, j - i), ",")))
 
 
-def aligned(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, a, a_ends, b, b_ends, groups (the tokens of A and B between two cuts) and links (the two tokens at each cut) of every text."""
-    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    plain = F.zip_with("last_a", "last_b", lambda x, y: pair(F.array(x), F.array(y)))
-    own = F.transform("odd", lambda _, k: F.array(pair(_odd_run("a", k), _odd_run("b", k))))
-    found = _assembled(_grouped(tokenised(docs, byte_level, pieces, text, doc_id)), plain, own)
-    groups = F.flatten(F.zip_with("runs", "own", lambda run, odd: F.when(odd.isNull(), run).otherwise(F.concat(run, odd))))
-    return found.select("doc_id", "a", "a_ends", "b", "b_ends", groups.alias("groups"), F.zip_with("last_a", "last_b", pair).alias("links"))
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df with the groups as a1,a2|b1;a3|b2,b3 in column `groups`."""
-    text = lambda items: items.cast("array<string>")
-    run = lambda of, k: F.array_join(text(_odd_run(of, k)), ",")
-    plain = F.zip_with(text(F.col("last_a")), text(F.col("last_b")), lambda x, y: F.concat(x, F.lit("|"), y))
-    df = _assembled(df, plain, F.transform("odd", lambda _, k: F.concat(run("a", k), F.lit("|"), run("b", k))))
-    empty = lambda x: F.nullif(x, F.lit(""))
-    parts = F.zip_with("runs", "own", lambda r, odd: empty(F.concat_ws(";", empty(F.array_join(r, ";")), odd)))
-    return df.withColumn("groups", F.array_join(parts, ";")).drop("runs", "own")
+def _written(at: Column, a: Column, b: Column) -> Column:
+    """The groups as a1,a2|b1;a3|b2,b3."""
+    side = lambda items, of: let(items.cast("array<string>"), lambda named: _side(named, at[f"{of}_from"], at[f"{of}_to"]))
+    return F.array_join(F.zip_with(side(a, "a"), side(b, "b"), lambda x, y: F.concat(x, F.lit("|"), y)), ";")
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -234,24 +208,26 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     return counts.join(highest, "b").select("a", "b", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
 
 
-def _sha(groups: str) -> Column:
-    return F.when(F.col(groups) == "", F.lit("")).otherwise(F.sha2(F.col(groups), 256))
-
-
 def digests(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every text."""
     most = _pair(_files(byte_level, pieces)).most_pairs()
-    rows = _written(_grouped(tokenised(docs, byte_level, pieces, text, doc_id)))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), _sha("groups").alias("groups_sha256"), "last_a", "last_b")
+    a, b = F.col("a"), F.col("b")
+    out = let(
+        F.col("at"),
+        lambda at: F.struct(F.sha2(_written(at, a, b), 256).alias("sha"), _linked(at, a, b).alias("pairs")),
+    )
+    rows = _counted(tokenised(docs, byte_level, pieces, text, doc_id)).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.when(F.col("at").isNotNull(), out).alias("out")
+    )
     # A text's links are written in runs, so that a reader's batch of rows stays small.
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("last_a") - 1), F.lit(RUN))
-    rows = rows.withColumn("start", F.explode(starts)).withColumn("pairs", F.arrays_zip(*[F.slice(f"last_{of}", F.col("start") + 1, RUN).alias(of) for of in "ab"]))
-    only = [F.when(F.col("start") == 0, F.col(c)).alias(c) for c in ("doc_id", "n_a", "n_b", "groups_sha256")]
-    parts = staged(rows.select("row", "start", *only, "pairs"), "linked")
+    runs = F.coalesce(F.transform(F.sequence(F.lit(0), F.floor((F.size("out.pairs") - 1) / RUN)), lambda k: F.slice("out.pairs", k * RUN + 1, RUN)), F.array(F.lit(None).cast("array<struct<a:int,b:int>>")))
+    only = lambda c, of: F.when(F.col("run") == 0, of).alias(c)
+    parts = rows.select("row", "doc_id", "n_a", "n_b", F.coalesce("out.sha", F.lit("")).alias("sha"), F.posexplode(runs).alias("run", "pairs"))
+    parts = staged(parts.select("row", "run", only("doc_id", F.col("doc_id")), only("n_a", F.col("n_a")), only("n_b", F.col("n_b")), only("groups_sha256", F.col("sha")), "pairs"), "linked")
     counts = staged(pair_counts(parts), "pair-counts")
     held = parts.select("row", F.explode("pairs").alias("pair")).select("row", "pair.a", "pair.b").join(F.broadcast(counts) if most <= BROADCAST else counts, ["a", "b"])
     told = held.groupBy("row").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
     number = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return parts.filter("start = 0").drop("pairs", "start").join(told, "row", "left").select(
+    return parts.filter("run = 0").drop("pairs", "run").join(told, "row", "left").select(
         "doc_id", "n_a", "n_b", number("n_links", "n_groups"), number("n_links", "n_links"), number("n_best", "n_best"), number("count_sum", "count_sum"), "groups_sha256"
     )
