@@ -260,7 +260,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """One row a host with a template: host, main (the place of its main slot), fixed (hashes of block texts that belong to the template) and n, its pages."""
     found = staged(tokens(pages), "tokens")
     hosts = pages.filter("host IS NOT NULL AND html <> ''").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= PAGES)
-    often = found.join(hosts, "host").filter(F.col("pages") >= SHARE * F.col("n"))
+    # Texts of one page are most tokens and no template's; what is left of a large host stays where it is.
+    often = meet(found.filter(F.col("pages") >= SHARE * PAGES), hosts.withColumn("size", F.col("n")), ["host"], "size").filter(F.col("pages") >= SHARE * F.col("n"))
     vector = ["host", "pages", "least", "most", "sign"]
     valid = often.groupBy(*vector).agg(F.bool_or("element").alias("framed"), F.count("*").alias("size")).filter("framed")
     often = staged(often.join(valid, vector), "classes")
