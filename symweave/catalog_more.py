@@ -106,6 +106,24 @@ def refs_method_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.by_method_call(conform(refs, REFS), conform(classes.unionByName(methods), NODES))
 
 
+@_add(
+    "refs_with_colons",
+    """SELECT p.p_partkey AS ref_id, min('n:' || q.p_partkey) AS target, 0.85::DOUBLE AS confidence, 'qualified-name' AS resolved_by
+FROM (SELECT p_partkey, ('r' || p_size || '.ts::GET:/' || lower(p_brand) || '.set:to:') AS name FROM part) p
+JOIN (SELECT p_partkey, ('src/a' || p_partkey % 3 || '/r' || p_size || '.ts::GET:/' || lower(p_brand) || '.set:to:') AS name FROM part) q ON ends_with(q.name, p.name)
+GROUP BY p.p_partkey""",
+    base=None,
+)
+def refs_with_colons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes and selectors of parts, whose single colons are part of a name: a reference names the end of the way that leads to it."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    end = F.concat(F.lit("r"), F.col("p_size").cast("string"), F.lit(".ts::GET:/"), F.lower("p_brand"), F.lit(".set:to:"))
+    folder = F.concat(F.lit("src/a"), F.pmod("p_partkey", F.lit(3)).cast("string"), F.lit("/"))
+    nodes = part.select(F.concat(F.lit("n:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("method").alias("kind"), F.lit("set:to:").alias("name"), F.concat(folder, end).alias("qualified_name"), F.lit("r.ts").alias("file_path"))
+    refs = part.select(F.col("p_partkey").alias("ref_id"), end.alias("reference_name"))
+    return resolve.by_qualified_name(conform(refs, REFS), conform(nodes, NODES))
+
+
 NAMES = (
     ("typescript", "console.log", False), ("typescript", "useState", False), ("tsx", "useThing", True), ("javascript", "fetch", False), ("typescript", "Mathy.max", True),
     ("python", "len", False), ("python", "rows.append", False), ("python", "known.append", True), ("python", "list.thing", False), ("python", "thing.do", True),
