@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from symweave.catalog_graph import GRAPH_SQL
 from symweave.functions.words import edit_distance, kind_points, name_points, path_points
 from symweave.operators import search, textindex
-from symweave.sources import driver_tables
+from symweave.plans.staging import shared_folder
+from symweave.sources import driver_tables, textstore
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,21 @@ hit AS (SELECT id, q, sum(w) AS f FROM tok JOIN (SELECT unnest([{terms}]) AS q)
 idf AS (SELECT q, greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM hit, stat GROUP BY q),
 fts AS (SELECT id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean))) AS score FROM hit JOIN idf USING (q) JOIN len USING (id), stat GROUP BY id)
 """
+#: BM25 of the one phrase of "nation_1": a prefix after a word, in the same column.
+PHRASE = r"""
+lists AS (SELECT id, 20.0 AS w, 'n' AS col, regexp_split_to_array(lower(name), '[^\p{L}\p{N}]+') AS l FROM nodes UNION ALL SELECT id, 5.0, 'q', regexp_split_to_array(lower(qualified_name), '[^\p{L}\p{N}]+') FROM nodes),
+tok AS (SELECT * FROM (SELECT id, w, col, unnest(l) AS t, unnest(range(len(l))) AS pos FROM lists) WHERE t <> ''),
+len AS (SELECT id, count(*) AS d FROM tok GROUP BY id),
+stat AS (SELECT count(*) AS n, avg(d) AS mean FROM len),
+hit AS (SELECT b.id, sum(b.w) AS f FROM tok a JOIN tok b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 AND a.t = 'nation' AND starts_with(b.t, '1') GROUP BY b.id),
+idf AS (SELECT greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM hit, stat),
+fts AS (SELECT id, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)) AS score FROM hit JOIN len USING (id), idf, stat)
+"""
+#: What the nodes are after the edits of search_after_syncs.
+EDITED = """
+edited AS (SELECT id, CASE WHEN starts_with(file_path, 'src/EUROPE/') AND kind = 'function' THEN 'asia ' || name ELSE name END AS name, qualified_name FROM nodes
+  WHERE kind <> 'method' OR NOT (starts_with(file_path, 'src/AFRICA/') OR starts_with(file_path, 'src/ASIA/')))
+"""
 KIND_SQL = "CASE kind WHEN 'function' THEN 10 WHEN 'method' THEN 10 WHEN 'class' THEN 8 WHEN 'module' THEN 4 ELSE 0 END"
 
 
@@ -48,12 +64,26 @@ def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textindex.ranked(textindex.build(rows), "Asia AMERICA supplier").select("id", F.round("score", 6).alias("score"))
 
 
-@_add("search_phrase")
+@_add("search_phrase", _with("SELECT id, round(score, 6) AS score FROM fts", PHRASE))
 def phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _nodes(spark, sf_dir).select("id", "name", "qualified_name")
     return textindex.ranked(textindex.build(rows), "nation_1").select("id", F.round("score", 6).alias("score"))
 
 
+@_add("search_after_syncs", _with("SELECT id, round(score, 6) AS score FROM fts", EDITED + "," + BM25.replace("FROM nodes", "FROM edited").format(terms="'asia', 'supplier', 'renamed'")))
+def after_syncs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index of all nodes after four edits of whole directories: names that come, names that go again, files that lose their methods."""
+    rows, at = _nodes(spark, sf_dir).select("id", "kind", "file_path", "name", "qualified_name"), shared_folder(spark, "text")
+    below = lambda region: rows.filter(F.col("file_path").startswith(f"src/{region}/"))
+    asia, africa, europe = map(below, ("ASIA", "AFRICA", "EUROPE"))
+    renamed = asia.withColumn("name", F.concat(F.lit("renamed "), "name"))
+    named = europe.withColumn("name", F.when(F.col("kind") == "function", F.concat(F.lit("asia "), "name")).otherwise(F.col("name")))
+    text = textstore.written(rows, at)
+    for before, now in ((asia, renamed), (africa, africa.filter("kind <> 'method'")), (europe, named), (renamed, asia.filter("kind <> 'method'"))):
+        text = textstore.updated(text, before, now, at)
+    return textindex.ranked(textstore.opened(spark, text, at), "Asia supplier renamed").select("id", F.round("score", 6).alias("score"))
+
+
 @_add("search_by_part", _with("SELECT id, CASE WHEN lower(name) = 'nation_1' THEN 1.0 WHEN starts_with(lower(name), 'nation_1') THEN 0.9 WHEN contains(lower(name), 'nation_1') THEN 0.8 ELSE 0.7 END AS score FROM nodes WHERE contains(lower(name), 'nation_1') OR contains(lower(qualified_name), 'nation_1')"))
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.by_part(_nodes(spark, sf_dir), "Nation_1").select("id", "score")

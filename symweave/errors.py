@@ -28,7 +28,7 @@ class ParseError(SymweaveError):
     code = "PARSE_ERROR"
 
 
-class StoreError(SymweaveError):
+class StoreError(SymweaveError, RuntimeError):
     code = "STORE_ERROR"
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symweave.plans.staging import staged
@@ -26,23 +26,47 @@ def tokens(column):
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings: (term, id, col, pos).  lengths: (id, d), tokens of each row.  weights: by column."""
+    """postings: (term, id, col, pos, d), d the tokens of the whole row.  rows and tokens: how many there are in all.  weights: by column."""
 
     postings: DataFrame
-    lengths: DataFrame
+    rows: int
+    tokens: int
     weights: dict[str, float]
 
 
-def build(rows: DataFrame, weights: dict[str, float] | None = None) -> TextIndex:
-    """Indexes the weighted columns of rows (id and text columns)."""
-    weights = weights or {c: w for c, w in WEIGHTS.items() if c in rows.columns}
-    cut = rows.select("id", *[tokens(F.col(c)).alias(c) for c in weights])
-    parts = [cut.select("id", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in weights]
+def weights_of(rows: DataFrame) -> dict[str, float]:
+    return {c: w for c, w in WEIGHTS.items() if c in rows.columns}
+
+
+def length(columns) -> Column:
+    """How many tokens some columns of a row hold."""
+    return sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
+
+
+def postings_of(rows: DataFrame, columns) -> DataFrame:
+    """The postings of some columns of rows."""
+    cut = rows.select("id", length(columns).alias("d"), *[tokens(F.col(c)).alias(c) for c in columns])
+    parts = [cut.select("id", "d", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in columns]
     postings = parts[0]
     for p in parts[1:]:
         postings = postings.unionAll(p)
-    size = sum((F.size(c) for c in weights), F.lit(0))
-    return TextIndex(staged(postings.repartitionByRange("term").sortWithinPartitions("term", "id"), "postings"), staged(cut.select("id", size.alias("d")), "lengths"), weights)
+    return postings.select("term", "id", "col", "pos", "d")
+
+
+def in_order(postings: DataFrame) -> DataFrame:
+    """Sorted by term, as a prefix is read; the rows of a term that most symbols hold are spread by id."""
+    return postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def extent(rows: DataFrame, columns) -> tuple[int, int]:
+    """How many rows there are and how many tokens they hold."""
+    return tuple(rows.agg(F.count("*"), F.coalesce(F.sum(length(columns)), F.lit(0))).first())
+
+
+def build(rows: DataFrame, weights: dict[str, float] | None = None) -> TextIndex:
+    """Indexes the weighted columns of rows (id and text columns)."""
+    weights = weights or weights_of(rows)
+    return TextIndex(staged(in_order(postings_of(rows, weights)), "postings"), *extent(rows, weights), weights)
 
 
 def terms_of(text: str) -> list[list[str]]:
@@ -52,30 +76,30 @@ def terms_of(text: str) -> list[list[str]]:
 
 
 def _hits(index: TextIndex, phrases: list[tuple[int, list[str]]]) -> DataFrame | None:
-    """(phrase, id, f): weighted hits of numbered phrases."""
+    """(phrase, id, f, d): weighted hits of numbered phrases and the length of the row."""
     hits = None
     weight = F.create_map(*[F.lit(x) for pair in index.weights.items() for x in pair])
     for k, phrase in phrases:
-        found = index.postings.filter(F.col("term").startswith(phrase[-1])).select("id", "col", "pos")
+        found = index.postings.filter(F.col("term").startswith(phrase[-1])).select("id", "col", "pos", "d")
         for back, word in enumerate(reversed(phrase[:-1]), 1):
             before = index.postings.filter(F.col("term") == word).select("id", "col", (F.col("pos") + back).alias("pos"))
             found = found.join(before, ["id", "col", "pos"], "left_semi")
-        found = found.groupBy("id").agg(F.sum(weight[F.col("col")]).alias("f")).select("id", F.lit(k).alias("phrase"), "f")
+        found = found.groupBy("id").agg(F.sum(weight[F.col("col")]).alias("f"), F.max("d").alias("d")).select("id", F.lit(k).alias("phrase"), "f", "d")
         hits = found if hits is None else hits.unionAll(found)
     return hits
 
 
 def _scored(index: TextIndex, phrases: list[tuple[int, list[str]]]) -> DataFrame | None:
     """(phrase, id, part): each phrase's share of a row's score."""
-    total, mean = index.lengths.agg(F.count("*"), F.avg("d")).first()
     hits = _hits(index, phrases)
-    if hits is None or not total:
+    if hits is None or not index.tokens:
         return None
+    total, mean = index.rows, index.tokens / index.rows
     hits = staged(hits, "hits")
     rarity = hits.groupBy("phrase").agg(F.count("*").alias("n")).select("phrase", F.greatest(F.log((F.lit(total) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(FLOOR)).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / mean))
     # rarity has one row a phrase of the query.
-    return hits.join(F.broadcast(rarity), "phrase").join(index.lengths, "id").select("phrase", "id", part.alias("part"))
+    return hits.join(F.broadcast(rarity), "phrase").select("phrase", "id", part.alias("part"))
 
 
 def ranked(index: TextIndex, text: str) -> DataFrame:

@@ -70,6 +70,15 @@ def staged(df: DataFrame, name: str, replaces: tuple[DataFrame, ...] = (), lasti
     return again
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one, gone as a staged table is."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    _leave(spark, path)
+    return path
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """Tables that are staged inside go at the end; a result that reads them must be written before."""

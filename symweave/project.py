@@ -14,7 +14,7 @@ from symweave.functions.paths import language_of
 from symweave.operators import analytics, context, delta, explore, imports, lookups, search, symbols, textindex, traversal
 from symweave.plans.staging import staged
 from symweave.schema import CONTAINERS
-from symweave.sources import store, tree
+from symweave.sources import store, textstore, tree
 from symweave.streaming import changes
 
 
@@ -44,6 +44,11 @@ def rebuilt(graph: Graph, sources: DataFrame, found: DataFrame, before: delta.Fa
     return linked(Graph(kept.nodes.unionByName(fresh.nodes), own.unionByName(fresh.edges), kept.files.unionByName(fresh.files), refs), facts, aliases), facts
 
 
+def searched(nodes: DataFrame) -> DataFrame:
+    """What the text index holds of nodes."""
+    return nodes.filter("kind <> 'file'").select("id", *textindex.WEIGHTS)
+
+
 #: Files that name a project's path aliases, the first that is there.
 ALIAS_FILES = ("tsconfig.json", "jsconfig.json")
 
@@ -70,14 +75,14 @@ class Project:
         found = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in raw.filter(~F.col("path").contains("/node_modules/")).select("path", F.length("path").alias("n"), F.decode("content", "UTF-8").alias("text")).orderBy(F.desc("n")).limit(64).collect()}
         return next((imports.aliases_of(found[name]) for name in ALIAS_FILES if name in found), [])
 
-    def _saved(self, graph: Graph, facts: delta.Facts, aliases: list) -> None:
-        store.save(graph, self.at, {t: getattr(facts, t) for t in store.FACTS}, {"aliases": aliases})
+    def _saved(self, graph: Graph, facts: delta.Facts, aliases: list, text) -> None:
+        store.save(graph, self.at, {t: getattr(facts, t) for t in store.FACTS}, {"aliases": aliases}, text)
         self._graph = self._index = None
 
     def index(self) -> Graph:
         sources, aliases = self.sources(), self.aliases()
         facts = delta.facts_of(sources)
-        self._saved(linked(frame.indexed(sources), facts, aliases), facts, aliases)
+        self._saved(linked(frame.indexed(sources), facts, aliases), facts, aliases, lambda nodes, at: textstore.written(searched(nodes), at))
         return self.graph
 
     def sync(self) -> DataFrame:
@@ -93,9 +98,21 @@ class Project:
         if not same:
             self.index()
         elif not found.isEmpty():
-            self._saved(*rebuilt(self.graph, sources, found, delta.Facts(*held), aliases), aliases)
+            self._saved(*rebuilt(self.graph, sources, found, delta.Facts(*held), aliases), aliases, self._retexted(found))
         return found
 
+    def _retexted(self, found: DataFrame):
+        """What brings the stored text index up to the nodes of the changed files; the whole index where none is stored."""
+        text, old = textstore.held(store.told(self.spark, self.at), textindex.WEIGHTS), self.graph.nodes
+        paths = found.select(F.col("path").alias("file_path")).distinct()
+
+        def run(nodes: DataFrame, at: str) -> dict:
+            if text is None:
+                return textstore.written(searched(nodes), at)
+            return textstore.updated(text, searched(old.join(paths, "file_path", "left_semi")), searched(nodes.join(paths, "file_path", "left_semi")), at)
+
+        return run
+
     @property
     def graph(self) -> Graph:
         self._graph = self._graph or store.load(self.spark, self.at)
@@ -103,7 +120,10 @@ class Project:
 
     @property
     def text(self) -> textindex.TextIndex:
-        self._index = self._index or textindex.build(self.graph.nodes.filter("kind <> 'file'").select("id", *textindex.WEIGHTS))
+        """The stored index; graphs of an earlier version are indexed for the session."""
+        if self._index is None:
+            text = textstore.held(store.told(self.spark, self.at), textindex.WEIGHTS)
+            self._index = textindex.build(searched(self.graph.nodes)) if text is None else textstore.opened(self.spark, text, self.at)
         return self._index
 
     def search(self, line: str, limit: int = 10) -> DataFrame:
