@@ -1,14 +1,15 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words (letters and digits, lower case) and word stems of four to six bytes, hashed.  The terms that tell the
-classes apart best keep a linear weight and a vector of factors; the inner product of two terms' vectors is the weight
-of their meeting in one document, so an insult next to a group mention can count for more than both alone.  Fitted by
-adaptive gradient steps on the logistic loss of at most ``SAMPLE`` labelled rows; scoring reads every whole text.
+Terms are words (letters and digits, lower case) and word stems of four to six bytes, hashed.  Each term that the model keeps has a linear weight and a
+vector of factors; the inner product of two terms' vectors is the weight of their meeting in one document, so an insult next to a group mention can
+count for more than both alone, or undo what both say.  Fitted by adaptive gradient steps on the logistic loss of at most ``SAMPLE`` labelled rows;
+scoring reads every whole text.
 
-The parameters ``known`` (KNOWN) and ``least`` (LEAST) say which terms the model keeps: at most ``known``, of the largest chi-square of their presence against
-the label, and none of a chi-square under ``least``.  They are part of the model, like the number of factors, and do not depend on the size of the corpus.  A pair is learnt where
-each of its terms alone tells a little, as do terms that toxic documents combine; with every term that occurs in three documents the model catches
-46 of 120 held-out toxic documents of the 0.1 tables, with the chosen ones 108.
+The model keeps a term that tells alone, by a chi-square of ``least`` or more of its presence against the label, and a term that tells in a pair: two
+terms of which each stands in one of ``often`` labelled rows or more, and whose meetings hold label 1 otherwise than the log-odds of both add up to,
+by a chi-square of ``paired`` or more.  Pairs are counted over all such terms in tiles of ``TILE`` terms.  The thresholds are part of the model, like the number of
+factors; how many terms pass them is not bounded.  Of a pair of rarer terms each tells a little alone where the pair tells anything, unless their
+meetings and the rest cancel.
 
 Defined cases: a null text is scored as the empty text; a text without known terms gets the bias alone; without both
 classes among the labels every score is the share of label 1 (0 without labels); a null doc_id is never learnt from;
@@ -25,7 +26,9 @@ from symweave.llm.labelled import remainder, sample, scored, training_rows
 from symweave.llm.quality import LOWER
 from symweave.llm.shared import mix, span_hashes, word_spans
 
-BITS, KNOWN, LEAST, FACTORS, STEMS = 22, 4096, 6.6, 8, (4, 5, 6)  # a chi-square of LEAST comes by chance once in a hundred
+BITS, FACTORS, STEMS = 22, 8, (4, 5, 6)
+#: A chi-square of LEAST comes by chance once in a hundred, one of PAIRED once in 10^7, as there are many pairs.
+LEAST, PAIRED, OFTEN, TILE = 6.6, 30.0, 20, 512
 FOLDS, HELD = 4, 2
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 16384
@@ -46,8 +49,8 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def informative(y: np.ndarray, rows: list[np.ndarray], known: int = KNOWN, least: float = LEAST) -> np.ndarray:
-    """Buckets by falling chi-square of presence against the label; each in two rows or more."""
+def telling(y: np.ndarray, rows: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+    """Buckets whose presence against the label has a chi-square of `least` or more; each in two rows or more, as one row shows no repetition."""
     seen, hits = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for c, f in zip(y, rows):
         seen[f] += 1
@@ -55,9 +58,48 @@ def informative(y: np.ndarray, rows: list[np.ndarray], known: int = KNOWN, least
     n, ones = len(y), y.sum()
     due = seen * ones / n
     chi = (hits - due) ** 2 / np.maximum(due, 1e-9) + (hits - due) ** 2 / np.maximum(seen - due, 1e-9)
-    chi[seen < 2] = 0
-    best = np.argsort(-chi, kind="stable")[:known]
-    return best[chi[best] > least]
+    return np.flatnonzero((seen > 1) & (chi > least))
+
+
+def pairing(y: np.ndarray, rows: list[np.ndarray], often: int = OFTEN, paired: float = PAIRED) -> np.ndarray:
+    """Buckets, each in one of `often` rows or more, that meet another such one with label 1 otherwise than their log-odds add up to.
+
+    Memory is that of two tiles of TILE terms by all rows, beside the terms of the rows.
+    """
+    seen, hits = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS)
+    for c, f in zip(y, rows):
+        seen[f] += 1
+        hits[f] += c
+    common = np.flatnonzero(seen * often >= max(len(y), 1))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[common] = np.arange(len(common))
+    own = [p[p >= 0] for p in (place[f] for f in rows)]
+    row, term = np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate([*own, np.zeros(0, np.int32)])
+    order = np.argsort(term, kind="stable")
+    row, term = row[order], term[order]
+
+    def tile(k: int) -> np.ndarray:
+        a, b = np.searchsorted(term, (k, k + TILE))
+        out = np.zeros((len(y), min(TILE, len(common) - k)), np.float32)
+        out[row[a:b], term[a:b] - k] = 1
+        return out
+
+    share = (hits[common] + 0.5) / (seen[common] + 1)
+    odds, base = np.log(share / (1 - share)), np.log(y.mean() / (1 - y.mean()))
+    found = np.zeros(len(common), bool)
+    for i in range(0, len(common), TILE):
+        left = tile(i)
+        ones = left * y[:, None].astype(np.float32)
+        for j in range(i, len(common), TILE):
+            right = left if i == j else tile(j)
+            met, hit = left.T @ right, ones.T @ right
+            due = 1 / (1 + np.exp(base - odds[i : i + TILE, None] - odds[None, j : j + TILE]))
+            tells = (hit - met * due) ** 2 / (met * due * (1 - due) + 1) > paired
+            if i == j:
+                np.fill_diagonal(tells, False)
+            found[i : i + TILE] |= tells.any(1)
+            found[j : j + TILE] |= tells.any(0)
+    return common[found]
 
 
 def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 16, rate: float = 0.5, slow: float = 0.05, decay: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
@@ -86,13 +128,13 @@ def train(y: np.ndarray, rows: list[np.ndarray], size: int, rounds: int = 16, ra
 
 
 class Model:
-    """Scores texts; a table of 2^22 small numbers and `known` weights."""
+    """Scores texts; a table of 2^22 small numbers and the weights of the terms that are kept."""
 
-    def __init__(self, y: np.ndarray, rows: list[np.ndarray], known: int = KNOWN, least: float = LEAST):
+    def __init__(self, y: np.ndarray, rows: list[np.ndarray], least: float = LEAST, often: int = OFTEN, paired: float = PAIRED):
         self.flat = float(y.mean()) if len(y) else 0.0
         self.trained = 0 < y.sum() < len(y)
         if self.trained:
-            best = informative(y, rows, known, least)
+            best = np.union1d(telling(y, rows, least), pairing(y, rows, often, paired))
             self.place = np.full(1 << BITS, -1, np.int16 if len(best) < 1 << 15 else np.int32)
             self.place[best] = np.arange(len(best))
             self.bias, self.weight, self.factors = train(y, [p[p >= 0] for p in (self.place[f] for f in rows)], len(best))
@@ -114,10 +156,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, most: int = SAMPLE, known: int = KNOWN, least: float = LEAST) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held: int = HELD, most: int = SAMPLE, least: float = LEAST, often: int = OFTEN, paired: float = PAIRED) -> Model:
     """Learns from at most `most` labelled documents whose crc32 remainder is not `held`."""
     left = remainder(F.col("doc_id"), folds)
-    return Model(*training_rows(docs, sample(labels, label, (left != held) & (left >= 0), most), terms), known, least)
+    return Model(*training_rows(docs, sample(labels, label, (left != held) & (left >= 0), most), terms), least, often, paired)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:

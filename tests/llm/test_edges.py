@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -411,3 +412,32 @@ def test_factors_learn_pairs_that_no_sum_of_weights_can():
         return bias + w[f].sum() + 0.5 * (total @ total - (v[f] ** 2).sum()) > 0
 
     assert np.mean([says(f) == (t > 0.5) for f, t in zip(rows, y)]) > 0.95
+
+
+def test_toxicity_learns_pairs_whose_terms_tell_nothing_alone(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("mon", "tar", "lis", "vek", "dou") for b in ("sa", "rin", "po", "gel", "tu", "wam")]
+    rows = []
+    for i in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = rng.sample(words, 8) + ["abc"] * a + ["xyz"] * b
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(a == b)))
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = made.select("doc_id", "text"), made.select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)  # with production settings
+    got = {r.doc_id: r.score for r in toxicity.rated(docs, model).collect()}
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 1000 and sum((s > 0.5) == (y == 1) for s, y in held) / len(held) > 0.97
+
+
+def test_toxicity_keeps_no_pairs_of_chance():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [np.sort(rng.choice(700, 60, replace=False)) for _ in range(1500)]
+    y = (rng.random(1500) < 0.2).astype(float)
+    assert len(toxicity.pairing(y, rows)) == 0
+    rare = [np.union1d(f[(f != 3) & (f != 650)], [k for k in (3, 650) if rng.random() < 0.5]).astype(np.int64) for f in rows]
+    both = np.array([float((3 in f) == (650 in f)) for f in rare])
+    assert list(toxicity.pairing(both, rare)) == [3, 650]  # in two tiles
