@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symweave.catalog_graph import GRAPH_SQL
+from symweave.graph import Links
 from symweave.operators import context, explore, resolve, textindex
 from symweave.schema import NODES, REFS, conform
 from symweave.sources import driver_tables
@@ -70,10 +71,10 @@ def nodes_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context._capped(nodes, F.col("file_path"), 5, [F.desc("start_line"), F.asc("id")]).select("id")
 
 
-def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Links]:
     graph = driver_tables.graph(spark, sf_dir)
     kept = graph.nodes.filter("kind in ('function', 'method', 'class')").withColumn("is_root", F.expr("kind = 'function' and id like '%7'"))
-    return kept, graph.edges.filter("kind in ('calls', 'references')")
+    return kept, graph.links("calls", "references")
 
 
 KEPT = "kept AS (SELECT *, kind = 'function' AND id LIKE '%7' AS is_root FROM nodes WHERE kind IN ('function', 'method', 'class')), used AS (SELECT * FROM edges WHERE kind IN ('calls', 'references')), near AS (SELECT source AS id FROM used WHERE target IN (SELECT id FROM kept WHERE is_root) UNION SELECT target FROM used WHERE source IN (SELECT id FROM kept WHERE is_root))"
@@ -92,7 +93,7 @@ def file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = driver_tables.graph(spark, sf_dir)
-    return explore.relationships(graph.edges, graph.nodes, 12).select("kind", "source_name", "target_name")
+    return explore.relationships(graph.links(), graph.nodes, 12).select("kind", "source_name", "target_name")
 
 
 @_add("code_slices", "SELECT 'doc:' || doc_id AS id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS code FROM documents")

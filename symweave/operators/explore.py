@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symweave.graph import Links, as_links, met
+
 
 @dataclass(frozen=True)
 class OutputBudget:
@@ -45,11 +47,10 @@ def calls_for(files: int) -> int:
     return _tier(CALLS, files)
 
 
-def file_scores(kept: DataFrame, edges: DataFrame) -> DataFrame:
+def file_scores(kept: DataFrame, edges: DataFrame | Links) -> DataFrame:
     """(file_path, score, n): 10 for a root, 3 for a neighbour of a root, 1 for anything else; only files of 3 points or more."""
-    roots = kept.filter("is_root").select(F.col("id").alias("r"))
-    ends = edges.select("source", "target").unionAll(edges.select("target", "source")).toDF("id", "r")
-    near = ends.join(roots, "r", "left_semi").select("id").distinct().withColumn("near", F.lit(True))
+    roots, links = kept.filter("is_root").select("id"), as_links(edges)
+    near = links.among(roots, "target").ends("source").unionAll(links.among(roots, "source").ends("target")).distinct().withColumn("near", F.lit(True))
     points = F.when(F.col("is_root"), 10).when(F.col("near"), 3).otherwise(1)
     found = kept.join(near, "id", "left").groupBy("file_path").agg(F.sum(points).alias("score"), F.count("*").alias("n"))
     return found.filter("score >= 3").orderBy(F.desc("score"), F.desc("n"), "file_path")
@@ -99,12 +100,24 @@ def packed(found: DataFrame, most: int, size: str = "size", key: str = "file_pat
     return rows.select(F.explode(F.arrays_zip("rows", folded.alias("taken"))).alias("x")).select("x.rows.row.*", "x.taken")
 
 
-def relationships(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
-    """(kind, source_name, target_name, place): edges by kind, `cap` of each."""
-    names = nodes.select("id", "name")
-    both = edges.filter("kind <> 'contains'").join(names.toDF("source", "source_name"), "source").join(names.toDF("target", "target_name"), "target")
+def relationships(edges: DataFrame | Links, nodes: DataFrame, cap: int) -> DataFrame:
+    """(kind, source_name, target_name, place): edges by kind, `cap` of each.
+
+    The first edges of a bundle lie among its first `cap` heads of a kind and its first `cap` tails: any later end has as many earlier edges before it.
+    """
+    names, links = nodes.select("id", "name"), as_links(edges).where("kind <> 'contains'")
+    sources, targets, columns = names.toDF("source", "source_name"), names.toDF("target", "target_name"), ["kind", "source", "target", "source_name", "target_name"]
+    both = links.single.join(sources, "source").join(targets, "target").select(columns)
+
+    def first(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+        return df.distinct().withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("at") <= cap).drop("at")
+
+    if links.heads is not None:
+        heads = first(links.heads.join(sources, "source").select("bundle", "kind", "source", "source_name"), ["bundle", "kind"], "source_name", "source")
+        tails = first(links.tails.join(targets, "target").select("bundle", "target", "target_name"), ["bundle"], "target_name", "target")
+        both = both.unionAll(met(heads, tails).select(columns))
     place = F.row_number().over(Window.partitionBy("kind").orderBy("source_name", "target_name", "source", "target"))
-    return both.select("kind", "source", "target", "source_name", "target_name").distinct().withColumn("place", place).filter(F.col("place") <= cap).select("kind", "source_name", "target_name", "place")
+    return both.distinct().withColumn("place", place).filter(F.col("place") <= cap).select("kind", "source_name", "target_name", "place")
 
 
 def numbered_lines(sources: DataFrame, found: DataFrame, padding: int = 3) -> DataFrame:

@@ -30,12 +30,12 @@ def synced(graph: Graph, fresh: Graph, changes: DataFrame) -> Graph:
     now = changes.filter("change <> 'removed'").select("path")
     here = now.select(F.col("path").alias("file_path"))
     nodes = fresh.nodes.join(here, "file_path", "left_semi").select(graph.nodes.columns)
-    edges = fresh.edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").select(graph.edges.columns)
+    edges = fresh.links().among(nodes, "source")
     # Edges from untouched files into rebuilt ones come from fresh too: their sources stand, their targets were replaced.
-    into = fresh.edges.join(kept.nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select(graph.edges.columns)
+    into = fresh.links().among(kept.nodes, "source").among(nodes, "target")
     files = graph.files and kept.files.unionByName(fresh.files.join(now, "path", "left_semi").select(graph.files.columns))
     refs = graph.refs and kept.refs.unionByName(fresh.refs.join(here, "file_path", "left_semi").select(graph.refs.columns))
-    return Graph(kept.nodes.unionByName(nodes), kept.edges.unionByName(edges).unionByName(into), files, refs)
+    return Graph(kept.nodes.unionByName(nodes), kept.edges.unionByName(edges.rows()).unionByName(into.rows()).select(graph.edges.columns), files, refs)
 
 
 def debounced(events: DataFrame, quiet: str = QUIET, by: str | None = None) -> DataFrame:
