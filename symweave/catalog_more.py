@@ -46,7 +46,7 @@ refs AS (
 
 def _with_refs(spark: SparkSession, sf_dir: str) -> Graph:
     graph = driver_tables.graph(spark, sf_dir)
-    return Graph(graph.nodes, graph.edges, graph.files, _refs(spark, sf_dir))
+    return Graph.of(graph.nodes, graph.links(), graph.files, _refs(spark, sf_dir))
 
 
 @_add("refs_named", "SELECT ref_id, from_node_id FROM refs WHERE reference_name = 'no_such_thing'", REFS_SQL)
@@ -185,10 +185,7 @@ def bfs_many_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bfs_many_roots_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = driver_tables.graph(spark, sf_dir)
     ball, _ = traversal.bfs(graph, _roots(graph, "class"), 1)
-    ends = ball.select("root", "id")
-    lines = graph.edges.select("source", "target", "kind", "line").distinct()
-    found = traversal.bfs(graph, _roots(graph, "class"), 1)[1].distinct()
-    return found.join(lines, ["source", "target", "kind"]).select("root", "source", "target", "kind", "line").join(ends.select("root").distinct(), "root", "left_semi")
+    return graph.links().distinct("source", "target", "kind", "line").within(ball)
 
 
 @_add(
@@ -198,7 +195,7 @@ def bfs_many_roots_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def callers_many_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = driver_tables.graph(spark, sf_dir)
-    return traversal.callers(graph, _roots(graph, "function"), 2).distinct()
+    return traversal.callers(graph.linked(lambda links: links.distinct("source", "target", "kind", "line")), _roots(graph, "function"), 2)
 
 
 @_add(
@@ -282,7 +279,7 @@ CHANGED = "turned AS (SELECT path, CASE n_nationkey % 3 WHEN 0 THEN 'modified' W
 
 def _synced(spark: SparkSession, sf_dir: str) -> Graph:
     graph = driver_tables.graph(spark, sf_dir)
-    fresh = Graph(graph.nodes.withColumn("name", F.concat("name", F.lit("!"))), graph.edges, graph.files)
+    fresh = Graph.of(graph.nodes.withColumn("name", F.concat("name", F.lit("!"))), graph.links(), graph.files)
     turn = F.pmod(F.substring_index("id", ":", -1).cast("int"), F.lit(3))
     found = graph.nodes.filter("kind = 'class'").select(F.col("file_path").alias("path"), F.when(turn == 0, "modified").when(turn == 1, "removed").alias("change")).filter("change is not null")
     return changes.synced(graph, fresh, found)
