@@ -91,3 +91,25 @@ def test_keys_agree_as_often_as_the_similarity_says():
     assert abs(shared / 60 / near_copies.BANDS - 0.8**5) < 0.05
     hashes, at = near_copies.shingle_sets(pa.array(["a b c d e f", None, "A B"]))
     assert np.diff(at).tolist() == [2, 0, 1] and len(hashes) == 3
+
+
+def test_pieces_are_sides_of_random_hyperplanes():
+    hashes, at = near_copies.shingle_sets(pa.array(["a b c d e f g h i", None, "a b c d e f g h j", "k " * 3000]))
+    planes = near_copies._planes()
+    bits = []
+    for x, y in zip(at, at[1:]):
+        if x < y:
+            total = sum(planes[int(near_copies.mix(h ^ near_copies._STEP)) >> 51].astype(int) for h in hashes[x:y])
+            bits.append([int(v > 0) for v in total])
+    found = near_copies.band_keys(hashes, at)
+    assert found.shape == (3, near_copies.BANDS)
+    assert [[int(p) >> b & 1 for p in row for b in range(near_copies.BITS)] for row in found] == bits
+
+
+def test_near_groups_join_other_components_only():
+    far = np.uint64((1 << 64) - 1)
+    words = np.zeros((4, 6), np.uint64)
+    words[:, 2] = far
+    words[0, 1] = np.uint64(7)
+    group, root = np.array([1, 1, 1, 2, 2, 3]), np.array([10, 11, 12, 13, 13, 14])
+    assert near_copies.near_groups(group, root, list(words)).tolist() == [0, 0, 2, 3, 4, 5]
