@@ -5,7 +5,7 @@ predictors (order 0 to 4) and of linear predictors fitted to the frame (LPC, ord
 eight partitions.  Every POINT frames have a seek point.  Streams are read from seek point to seek point: frames are found by their
 headers (CRC-8) and the checksums at their ends (CRC-16), Rice residuals and predictors are decoded for all frames of a run in step,
 and blocks of PCM come out with their first sample and their offset in the stream; the MD5 of all samples is verified at the end.
-Both ways work in runs of RUN frames, so a long text needs little more memory than its payload and its stream.
+Both ways work in runs of frames (CODED, RUN), so a long text needs little more memory than its payload and its stream.
 
 The reader takes any stream of 8-bit mono frames in order (all block sizes, fixed and linear predictors, both Rice codings, escapes)
 whose metadata hold a seek table; `seekable=False` reads streams without one.
@@ -30,6 +30,8 @@ from symweave.llm.shared import slices, text_bytes
 
 BLOCK = PAD = 192
 RATE, POINT, RUN = 8000, 64, 4096
+#: Frames that are encoded at a time; their tables fit a core's cache.
+CODED = 512
 #: Fixed predictors: what each of the last samples counts for, latest first.
 FIXED = np.array([[0, 0, 0, 0], [1, 0, 0, 0], [2, -1, 0, 0], [3, -3, 1, 0], [4, -6, 4, -1]])
 LPC_ORDERS, PRECISION, PARTITIONS = (2, 4, 8), 10, 8
@@ -127,6 +129,17 @@ def _partitioned(u: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chosen, shown, best
 
 
+def _packed(size: int, fields: list[tuple[np.ndarray, np.ndarray | int, np.ndarray]]) -> np.ndarray:
+    """`size` bytes in which fields (first bit, width up to 32, value) stand and all else is zero; no two fields share a bit."""
+    words = np.zeros(size // 4 + 3)
+    for at, width, value in fields:
+        window = value.astype(np.uint64) << (64 - width - (at & 31)).astype(np.uint64)
+        word = at >> 5
+        words += np.bincount(word, window >> np.uint64(32), len(words))
+        words[1:] += np.bincount(word, window & np.uint64(0xFFFFFFFF), len(words))[:-1]
+    return words.astype(">u4").view(np.uint8)[:size]
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of frames (rows of samples) end to end, and their sizes."""
     count = len(samples)
@@ -186,33 +199,25 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
         k, order, u, level, lead, lpc = parameter[at], order[at], u[at], level[at], lead[at], lpc[at]
         bytes_ = size[at] - head[at] - 1 - order - 2  # from the last warm-up sample to the CRC
         first = 8 * (np.cumsum(bytes_) - bytes_)
-        packed = np.zeros(8 * int(bytes_.sum()), np.uint8)
+        fields: list[tuple[np.ndarray, np.ndarray | int, np.ndarray]] = []
         for row, o in ((np.flatnonzero(lpc & (order == o)), o) for o in LPC_ORDERS):
             if len(row):
-                for b in range(4):
-                    packed[first[row] + b] = PRECISION - 1 >> 3 - b & 1
-                for b in range(5):
-                    packed[first[row] + 4 + b] = shift[at[row]] >> 4 - b & 1
+                fields.append((first[row], 4, np.full(len(row), PRECISION - 1)))
+                fields.append((first[row] + 4, 5, shift[at[row]]))
                 for j in range(o):
-                    for b in range(PRECISION):
-                        packed[first[row] + 9 + PRECISION * j + b] = coefficients[o][at[row], j] >> PRECISION - 1 - b & 1
+                    fields.append((first[row] + 9 + PRECISION * j, PRECISION, coefficients[o][at[row], j] & (1 << PRECISION) - 1))
         first = first + lead
-        for b in range(4):
-            packed[first + 2 + b] = level >> 3 - b & 1
+        fields.append((first + 2, 4, level))
         place = np.arange(BLOCK)
         opens = place[None, :] % (BLOCK >> level)[:, None] == 0
         used = place >= order[:, None]
         q = (u >> k.astype(np.uint32)).astype(np.int64)
         width = np.where(used, q + 1 + k, 0)
         start = (first + 6)[:, None] + np.cumsum(width + 4 * opens, 1) - width
-        for b in range(4):
-            packed[(start - 4 + b)[opens]] = (k >> 3 - b & 1)[opens]
-        one = start + q
-        packed[one[used]] = 1
-        for j in range(1, int(k.max()) + 1):
-            low = used & (k >= j)
-            packed[(one + j)[low]] = (u[low] >> (k[low] - j).astype(np.uint32) & np.uint32(1))
-        packed = np.packbits(packed)
+        fields.append(((start - 4)[opens], 4, k[opens]))
+        low = k[used]
+        fields.append(((start + q)[used], low + 1, u[used].astype(np.int64) & (1 << low) - 1 | 1 << low))
+        packed = _packed(int(bytes_.sum()), fields)
         into = np.repeat(sub[at] + 1 + order - (first - lead) // 8, bytes_) + np.arange(len(packed))
         out[into] = packed
     out[sub - 1] = _crcs(out, starts, sub - 1, CRC8)
@@ -227,7 +232,7 @@ def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     frames = sizes // BLOCK
     after = np.cumsum(frames)
     numbers = np.arange(len(samples)) - np.repeat(after - frames, frames)
-    runs = [encode_frames(samples[a : a + RUN], numbers[a : a + RUN]) for a in range(0, len(samples), RUN)]
+    runs = [encode_frames(samples[a : a + CODED], numbers[a : a + CODED]) for a in range(0, len(samples), CODED)]
     data, size = np.concatenate([x for x, _ in runs]), np.concatenate([x for _, x in runs])
     at = np.concatenate([[0], np.cumsum(size)])
     streams = []
