@@ -4,7 +4,7 @@ SimHash brings texts together: a fingerprint has one bit for each of 1022 random
 shingles' vectors lies, read as 146 pieces of seven bits.  At exactly 0.8, where it is highest, a bit differs with a chance of
 0.15, so a piece agrees with one of 0.32.  First, texts that agree in six pieces at once are compared by whole shingle sets, which
 joins large groups.  Then all meet under keys of two pieces (three or four where there are many texts), so many that a pair
-at 0.8 shares none about once in 10^6; those of other components whose fingerprints are too far apart (LEADING, NEAR: a pair at 0.8 is
+at 0.8 shares none about once in 10^6 (of three pieces in 10^5); those of other components whose fingerprints are too far apart (LEADING, NEAR: a pair at 0.8 is
 once in 10^7) are discarded, the rest is compared by whole shingle sets, so no pair below the limit links.  Keys with many texts
 are dealt out as pairs of tiles, and each gives a spanning forest of its links at most, never all pairs.
 
