@@ -179,29 +179,29 @@ def near_groups(group: np.ndarray, root: np.ndarray, words: np.ndarray) -> np.nd
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(team, fp, root): near fingerprints of every run of rows with equal (key, low, high); runs may cross batches.  Equal teams have one name."""
+    """(team, fp, root): near fingerprints of every run of rows with equal slot; runs may cross batches.  Equal teams have one name."""
     held: list[np.ndarray] = []
 
     def teams(rows: np.ndarray) -> pa.RecordBatch:
         changes = np.ones(len(rows), np.int64)
-        changes[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+        changes[1:] = rows[1:, 0] != rows[:-1, 0]
         group = np.cumsum(changes)
-        parent = near_groups(group, rows[:, 4], [np.ascontiguousarray(rows[:, 5 + k]).view(np.uint64) for k in range(4)])
+        parent = near_groups(group, rows[:, 2], [np.ascontiguousarray(rows[:, 3 + k]).view(np.uint64) for k in range(4)])
         size = np.bincount(parent, minlength=len(rows))[parent]
         at = np.flatnonzero(size > 1)
         mixed = np.zeros(len(rows), np.uint64)
-        np.add.at(mixed, parent[at], mix(rows[at, 3].view(np.uint64) + _STEP))
+        np.add.at(mixed, parent[at], mix(rows[at, 1].view(np.uint64) + _STEP))
         name = mix(mixed[parent[at]] ^ size[at].astype(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rows[at, 3]), pa.array(rows[at, 4])], ["team", "fp", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rows[at, 1]), pa.array(rows[at, 2])], ["team", "fp", "root"])
 
     for batch in batches:
         if batch.num_rows:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
-            last = held[-1][-1, :3]
-            if (held[0][0, :3] == last).all():
+            last = held[-1][-1, 0]
+            if held[0][0, 0] == last:
                 continue
             rows = np.concatenate(held) if len(held) > 1 else held[0]
-            done = int(np.flatnonzero((rows[:, :3] != last).any(1))[-1]) + 1
+            done = int(np.flatnonzero(rows[:, 0] != last)[-1]) + 1
             yield teams(rows[:done])
             held = [rows[done:]]
     if held:
@@ -220,9 +220,10 @@ def _teams(prints: DataFrame) -> DataFrame:
             meet(rows, hot, ["key"], "n", how="left")
             .withColumn("tile", F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles"))))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("tiles") - 1, F.lit(0)))))
-            .select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp", "root", *WORDS)
+            # one number for a key or a pair of its tiles; should two share it, more fingerprints meet than must
+            .select(F.when(F.col("tiles").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))).alias("slot"), "fp", "root", *WORDS)
         )
-        near = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_near, "team bigint, fp bigint, root bigint")
+        near = dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(_near, "team bigint, fp bigint, root bigint")
         found.append(staged(near.distinct(), "teams"))
     return reduce(DataFrame.unionAll, found).distinct()
 
