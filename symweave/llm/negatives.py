@@ -8,8 +8,10 @@ goes to its leaf (cell), and the smallest and largest distance of all rows of a
 inequality they bound the scores of a cell's rows.  A query visits cells nearest first within its annulus, in rounds of 1, 8 and all further
 cells; after each round, what cannot hold a better row than the k-th found is out.  Results are exact, whatever the sample.
 
-Rows of a cell lie in blocks of about BLOCK rows, dealt out by a hash, the queries of a cell in tiles of about TILE; a unit of work is one block and one
-tile, and returns the k best rows of each query and window.  So neither a cell with a third of all rows nor one that all queries visit is in one task.
+Rows of a cell lie in blocks of about BLOCK rows, dealt out by a hash, the queries of a cell in groups of about TILES * TILE; a unit of work is one block
+and one group, and returns the k best rows of each query and window.  So neither a cell with a third of all rows nor one that all queries visit is in one
+task.  Rows and queries meet in their units by a shuffle: vectors that repeat are small as Parquet, so a join that goes by that size would broadcast them
+all.  Only the tree, counts of cells and the hashes that bound the sample pass through the driver.
 
 Defined cases: rows with a null vec_id, label or vector, or a null or non-finite component, take no part; shorter vectors count as filled up with
 zeros; rows that repeat, with equal vec_ids too, are rows of their own, and an anchor's row is no partner of itself; scores beyond 64 bits end at
@@ -22,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.llm.shared import staged
 
 SAMPLE, LEAVES, BLOCK, TILE = 2048, 128, 4096, 512
+#: Tiles of queries in a unit of work, which scores them one tile at a time.
+TILES = 8
 #: Cells that a query visits before the first, second and third look at what it has found; then all that are left.
 ROUNDS = (1, 8)
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -139,6 +144,11 @@ class Tree:
         return names, low - slack, high + slack
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the input, neither of which is broadcast, however small it is as Parquet."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _first(found: DataFrame, k: int, of: list[str]) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), "other", "other_row"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
@@ -154,7 +164,10 @@ class Index:
         size = F.aggregate("x", F.lit(0.0), lambda s, x: s + F.pow(F.greatest(F.abs(x), F.abs(x - 1)), F.lit(2.0)))
         stats = rows.agg(F.max(F.size("x")), F.max(size)).first()
         self.width, longest = stats[0] or 1, float(stats[1] or 0.0)
-        picked = rows.orderBy(F.xxhash64("vec_id", "row")).limit(sample).select("x").toPandas()
+        # First the largest hash of the sample, then its vectors: no task returns a whole sample.
+        hashed = rows.withColumn("hash", F.xxhash64("vec_id", "row"))
+        last = hashed.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+        picked = hashed.filter(F.col("hash") <= (0 if last is None else last)).orderBy("hash").limit(sample).select("x").toPandas()
         self.tree = Tree(_matrix(picked.x, self.width), longest, leaves)
         self.sent = spark.sparkContext.broadcast(self.tree)
         sent, width = self.sent, self.width
@@ -178,9 +191,9 @@ class Index:
                 hi.append(r.hi)
             self.held[r.cell] = r.n
         parts = F.create_map(*[F.lit(int(x)) for c, n in self.held.items() for x in (c, -(-n // BLOCK))]) if self.held else F.create_map(F.lit(0), F.lit(1))
-        block = F.pmod(F.xxhash64("vec_id", "row"), F.element_at(parts, F.col("cell").cast("int")))
-        packed = F.collect_list(F.struct("row", "vec_id", "label", "v")).alias("held")
-        self.blocks = staged(self.rows.withColumn("block", block).groupBy("cell", "block").agg(packed), "blocks")
+        #: How many blocks a row's cell has.
+        self.parts = F.element_at(parts, F.col("cell").cast("int"))
+        self.blocks = self.rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), self.parts).cast("int")).drop("way")
 
     def bounded(self, anchors: DataFrame) -> DataFrame:
         """anchors (row, v, ...) with `cells`: (cell, low, high), highest possible score first."""
@@ -201,31 +214,36 @@ class Index:
     def _visited(self, visits: DataFrame, k: int, same: bool) -> DataFrame:
         """The k best rows in each visited cell for each window, by block: row, key, other, other_row, score."""
         width = self.width
-        counts = visits.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))  # a row a cell
-        tiles = visits.join(F.broadcast(counts), "cell").withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")))
-        tiles = tiles.groupBy("cell", "tile").agg(F.collect_list(F.struct("row", "label", "v", "windows")).alias("asked"))
-        work = tiles.join(self.blocks, "cell").select("asked", "held")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for asked, held in zip(f.asked, f.held, strict=True):
-                    ids = np.array([h["vec_id"] for h in held], np.int64)
-                    rows, labels = np.array([h["row"] for h in held], np.int64), np.array([h["label"] for h in held])
-                    s = scores(_read([a["v"] for a in asked], width), _read([h["v"] for h in held], width))
-                    out = []
-                    for i, a in enumerate(asked):
-                        fits = (labels == a["label"]) == same
-                        if same:
-                            fits &= rows != a["row"]
-                        for w in a["windows"]:
-                            own = np.flatnonzero(fits & (s[i] >= w["least"]) & (s[i] <= w["most"]))
-                            if len(own) > k:  # all that reach the k-th score, then ties by id
-                                own = own[s[i, own] >= np.partition(s[i, own], len(own) - k)[len(own) - k]]
-                            for j in own[np.lexsort((rows[own], ids[own], -s[i, own]))][:k]:
-                                out.append((a["row"], w["key"], ids[j], rows[j], s[i, j]))
-                    yield pd.DataFrame(out, columns=["row", "key", "other", "other_row", "score"]).astype("int64")
-
-        return work.mapInPandas(run, "row long, key long, other long, other_row long, score long")
+        counts = F.broadcast(visits.groupBy("cell").agg(F.ceil(F.count("*") / (TILES * TILE)).cast("int").alias("groups")))  # a row a cell
+        up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        asked = visits.join(counts, "cell").withColumn("group", F.pmod(F.xxhash64("row"), F.col("groups")).cast("int")).withColumn("block", up_to(self.parts))
+        held = self.blocks.join(counts, "cell").withColumn("group", up_to(F.col("groups")))
+        unit = ["cell", "block", "group"]
+
+        def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+            ids, rows, labels = (held[c].to_numpy() for c in ("vec_id", "row", "label"))
+            v = _read(held["v"].to_pylist(), width)
+            out: list[tuple] = []
+            for at in range(0, len(asked) if len(held) else 0, TILE):
+                tile = asked.slice(at, TILE).to_pylist()
+                s = scores(_read([a["v"] for a in tile], width), v)
+                for i, a in enumerate(tile):
+                    fits = (labels == a["label"]) == same
+                    if same:
+                        fits &= rows != a["row"]
+                    for w in a["windows"]:
+                        own = np.flatnonzero(fits & (s[i] >= w["least"]) & (s[i] <= w["most"]))
+                        if len(own) > k:  # all that reach the k-th score, then ties by id
+                            own = own[s[i, own] >= np.partition(s[i, own], len(own) - k)[len(own) - k]]
+                        for j in own[np.lexsort((rows[own], ids[own], -s[i, own]))][:k]:
+                            out.append((a["row"], w["key"], ids[j], rows[j], s[i, j]))
+            columns = np.array(out, np.int64).reshape(-1, 5).T
+            return pa.table(dict(zip(("row", "key", "other", "other_row", "score"), columns, strict=True)))
+
+        asked = asked.select(*unit, "row", "label", "v", "windows")
+        held = held.select(*unit, "row", "vec_id", "label", "v").toDF(*unit, "row", "vec_id", "label", "v")  # visits may be of the same table
+        work = asked.groupBy(*unit).cogroup(held.groupBy(*unit))
+        return work.applyInArrow(run, "row long, key long, other long, other_row long, score long")
 
     def search(self, anchors: DataFrame, k: int, same: bool) -> DataFrame:
         """row, key, other, other_row, score, rank: the k best rows of equal (same) or different label within each window.
@@ -242,7 +260,7 @@ class Index:
                 # A window with k rows needs no lower score than its k-th.
                 full = best.filter(F.col("rank") == k).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("key", "score"))).alias("kth"))
                 raised = F.transform("windows", lambda w: F.struct(w["key"].alias("key"), F.greatest(w["least"], F.coalesce(F.col("kth")[w["key"]], w["least"])).alias("least"), w["most"].alias("most")))
-                now = anchors.join(full, "row", "left").withColumn("kth", F.coalesce("kth", F.create_map().cast("map<bigint,bigint>"))).withColumn("windows", raised)
+                now = _met(anchors, full, ["row"], "left").withColumn("kth", F.coalesce("kth", F.create_map().cast("map<bigint,bigint>"))).withColumn("windows", raised)
             each = now.select("row", "label", "v", "windows", F.explode(left).alias("c"))
             needed = F.filter("windows", lambda w: (F.col("c.high") >= w["least"]) & (F.col("c.low") <= w["most"]))
             visits = each.select("row", "label", "v", needed.alias("windows"), F.col("c.cell").alias("cell")).filter(F.size("windows") > 0)
@@ -268,7 +286,7 @@ def mined(vectors: DataFrame, positives: int = 5, k: int = 5, low: int = 80, hig
     up = lambda p, by: -F.floor(-(p.cast("decimal(38,0)") * by) / 100)
     down = lambda p, by: F.floor(p.cast("decimal(38,0)") * by / 100)
     windows = near.groupBy("row").agg(F.collect_list(window(F.col("rank"), up(F.col("score"), low), down(F.col("score"), high))).alias("windows"))
-    far = index.search(asked.join(windows, "row"), k, False)
+    far = index.search(_met(asked, windows, ["row"]), k, False)
     near = near.select("row", F.col("rank").cast("long").alias("key"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
-    told = far.join(near, ["row", "key"]).join(asked.select("row", F.col("vec_id").alias("anchor_id")), "row")
+    told = _met(_met(far, near, ["row", "key"]), asked.select("row", F.col("vec_id").alias("anchor_id")), ["row"])
     return told.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
