@@ -25,7 +25,10 @@ def _add(name: str, sql: str | None = None):
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A TypeScript and a Python file a nation: a function a supplier, three lines each; the TypeScript ones call the next supplier's."""
+    """A TypeScript and a Python file a nation: a function a supplier, three lines each; the TypeScript ones call the next supplier's.
+
+    Files grow with the suppliers, so queries over all functions read them without a limit of size.
+    """
     nation = driver_tables._nations(spark, sf_dir)
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
     key = F.col("s_suppkey").cast("string")
@@ -48,15 +51,13 @@ PLACED = "WITH nat AS (SELECT *, 'src/' || r_name || '/' || n_name AS stem FROM
     + " SELECT stem || '.ts' AS file_path, 's_' || s_suppkey AS name, 'function' AS kind, (3 * k - 2)::INTEGER AS start_line, (3 * k)::INTEGER AS end_line, s_suppkey % 2 = 0 AS is_exported FROM s UNION ALL SELECT stem || '.py', 's_' || s_suppkey, 'function', (3 * k - 1)::INTEGER, (3 * k)::INTEGER, true FROM s",
 )
 def symbols_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frame.extracted(_sources(spark, sf_dir)).select("path", F.explode("nodes").alias("n")).filter("n.kind = 'function'")
+    found = frame.extracted(_sources(spark, sf_dir), most=None).select("path", F.explode("nodes").alias("n")).filter("n.kind = 'function'")
     return found.select(F.col("path").alias("file_path"), "n.name", "n.kind", "n.start_line", "n.end_line", "n.is_exported")
 
 
 @_add("routes_extracted", PLACED + " SELECT stem || '.py' AS file_path, 'GET /s/' || s_suppkey AS name, 's_' || s_suppkey AS handler, (3 * k - 2)::INTEGER AS line FROM s")
 def routes_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frame.extracted(_sources(spark, sf_dir)).select("path", "nodes", F.explode("refs").alias("r")).filter("r.from_node_id like 'route:%'")
-    name = F.filter("nodes", lambda n: n["id"] == F.col("r.from_node_id"))[0]["name"]
-    return found.select(F.col("path").alias("file_path"), name.alias("name"), F.col("r.reference_name").alias("handler"), F.col("r.line").alias("line"))
+    return frame.routed(frame.extracted(_sources(spark, sf_dir), most=None)).withColumnRenamed("path", "file_path")
 
 
 @_add(
@@ -66,7 +67,7 @@ def routes_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def calls_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index, resolve, join: TypeScript calls find the TypeScript function, though a Python one has its name."""
-    graph = frame.indexed(_sources(spark, sf_dir))
+    graph = frame.indexed(_sources(spark, sf_dir), most=None)
     refs = graph.refs.filter("reference_kind = 'calls' and language = 'typescript'")
     edges = resolve.edges_of(resolve.resolved(refs, graph.nodes), refs, graph.nodes)
     at = graph.nodes.select("id", "file_path", "name")

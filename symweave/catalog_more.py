@@ -350,9 +350,7 @@ def _expected(table: tuple, *fields: str) -> str:
 
 @_add("routes_of_frameworks", _expected(ROUTES, "name", "handler"), f"t(k, ending, source, name, handler) AS (VALUES {_values(ROUTES, 'k')})", base=None)
 def routes_of_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frame.extracted(_files(spark, sf_dir, ROUTES)).select("path", "nodes", F.explode("refs").alias("r")).filter("r.from_node_id like 'route:%'")
-    name = F.filter("nodes", lambda n: n["id"] == F.col("r.from_node_id"))[0]["name"]
-    return found.select("path", name.alias("name"), F.col("r.reference_name").alias("handler"))
+    return frame.routed(frame.extracted(_files(spark, sf_dir, ROUTES))).select("path", "name", "handler")
 
 
 #: (ending, source, symbols, references) of a file in each language: kind and qualified name, kind and name.
